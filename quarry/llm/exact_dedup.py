@@ -78,10 +78,10 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", count
     heavy, _ = _shared.write_table(heavy_winners(keyed.select("__digest", doc_id), "__digest", doc_id, counters).select("__digest", F.col("winner").alias("__winner"), F.lit(True).alias("__heavy")), "heavy")
     rest = keyed.join(F.broadcast(heavy), "__digest", "left").where(F.col("__heavy").isNull() | F.col(doc_id).eqNullSafe(F.col("__winner")))
     order = [F.col(doc_id).asc_nulls_last(), *(F.col(c).asc_nulls_last() for c, t in zip(names, (f.dataType for f in df.schema), strict=True) if c not in (doc_id, text) and not isinstance(t, T.MapType))]
-    # Null digests are no group: each is a partition of its own through a random-free unique number.
-    single = rest.where("__digest IS NULL").select(*names)
+    single = df.where(df[text].isNull())  # the scan skips what has no null
     first = Window.partitionBy("__digest").orderBy(*order)
-    return rest.where("__digest IS NOT NULL").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names).unionByName(single)
+    rest = rest.where(F.col(text).isNotNull())
+    return rest.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names).unionByName(single)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

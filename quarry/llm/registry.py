@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, sharding, winnowing
+from quarry.llm import exact_dedup, sharding, simhash, winnowing
 
 _MODULES = {
     "op1_winnowing": winnowing,
+    "op3_simhash_dedup": simhash,
     "op6_exact_dedup": exact_dedup,
     "op10_sharding": sharding,
 }
