@@ -17,7 +17,9 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

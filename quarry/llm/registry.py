@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, sharding, simhash, winnowing
+from quarry.llm import bpe, exact_dedup, langid, sharding, simhash, token_files, winnowing
 
 _MODULES = {
     "op1_winnowing": winnowing,
     "op3_simhash_dedup": simhash,
     "op6_exact_dedup": exact_dedup,
+    "op7_bpe": bpe,
+    "op8_token_files": token_files,
+    "op9_language_id": langid,
     "op10_sharding": sharding,
 }
 
