@@ -285,7 +285,8 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius
     repeated, _ = _shared.write_table(ranked.where("place = 1").groupBy("id", "key").count().where("count > 1").select("id", "key"), "repeated")
     keyed = df.withColumn("__key", F.xxhash64(df[text]))
     same = lambda r: keyed[doc_id].eqNullSafe(r["id"]) & (F.col("__key") == r["key"])
-    kept = keyed.join(removed, same(removed), "left_anti")
+    # The removed rows grow with the input: both sides are shuffled, and only the narrow one is held in memory.
+    kept = keyed.join(removed.hint("shuffle_hash"), same(removed), "left_anti")
     if not repeated.isEmpty():
         rest = kept.join(repeated, kept[doc_id].eqNullSafe(repeated["id"]) & (kept["__key"] == repeated["key"]), "left_anti")
         one = kept.join(repeated, kept[doc_id].eqNullSafe(repeated["id"]) & (kept["__key"] == repeated["key"]), "left_semi")
