@@ -199,9 +199,10 @@ class Chunk:
         return len(self.words)
 
 
-def expand(sequence: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """flat's runs (of the given sizes) in the order of sequence, and the size of each."""
-    begin = np.cumsum(sizes) - sizes
+def expand(sequence: np.ndarray, sizes: np.ndarray, flat: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """flat's runs (of the given sizes; one after the other unless begin is given) in the order of sequence, and the size of each."""
+    if begin is None:
+        begin = np.cumsum(sizes) - sizes
     size = sizes[sequence]
     total = np.cumsum(size)
     n = int(total[-1]) if len(total) else 0

@@ -1,18 +1,20 @@
 """Byte-level BPE encoding by a global shuffle of distinct words, and decoding.
 
 ``encode``
-1. Each task cuts its texts into pre-tokens and keeps, for every document, the
-   numbers of its pre-tokens in order of position (compressed), and the
-   distinct pre-tokens of about CHUNK characters of text.  Both are written
-   once, to the shared folder.
+1. Each task cuts its texts into pre-tokens and, for about CHUNK characters of
+   text at once, numbers the distinct ones by frequency.  The numbers in order
+   of position go, compressed, to a file of their own in the shared folder; the
+   distinct pre-tokens and the files' names go to a table there.  A file is
+   named after its task's attempt, and only the names that a task committed are
+   in the table, so a task that is run again does no harm.
 2. The distinct pre-tokens are shuffled by hash, so all chunks' occurrences of
    a word meet in one task, which encodes it once, and sends its ids back to
    each chunk.
-3. The ids are joined to the chunk's positions, and every document's tokens are
-   put together in order.
+3. The ids come together by chunk, are joined to its positions, and every
+   document's tokens are put together in order.
 
-What is shuffled is the distinct words of each chunk and, once, a number of
-10 to 12 bits for each position, never the exploded text.
+What is shuffled is the distinct words of each chunk and their ids, and neither
+the positions nor the exploded text.
 
 ``decode`` joins the table of tokens' bytes.  That table has the size of the
 vocabulary whatever the input, which is checked, so it is joined map-side.
@@ -41,10 +43,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.llm import _shared, _text
+from quarry.llm._shared import filesystem
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters of text whose pre-tokens are numbered together.
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 #: A vocabulary above this is not broadcast but refused.
 MOST_TOKENS = 2_000_000
 _ENCODERS: dict = {}
@@ -99,16 +102,19 @@ def unpack(blob: bytes, count: int) -> list[np.ndarray]:
     return out
 
 
-def pack_words(words: list[bytes]) -> bytes:
+def pack_words(words: list[bytes], numbers: np.ndarray) -> bytes:
+    """Words and their ascending numbers."""
     sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words))
+    steps = np.diff(numbers, prepend=0).astype("<u4")
+    return zstandard.ZstdCompressor(level=6).compress(np.uint32(len(words)).tobytes() + steps.tobytes() + sizes.tobytes() + b"".join(words))
 
 
-def unpack_words(blob: bytes) -> list[bytes]:
+def unpack_words(blob: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The words, and the steps between their numbers."""
     data = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(data, "<u4", 1)[0])
-    ends = (np.cumsum(np.frombuffer(data, "<u4", n, 4)) + 4 + 4 * n).tolist()
-    return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
+    ends = (np.cumsum(np.frombuffer(data, "<u4", n, 4 + 4 * n)) + 4 + 8 * n).tolist()
+    return [data[a:b] for a, b in zip([4 + 8 * n, *ends[:-1]], ends, strict=True)] if n else [], np.frombuffer(data, "<u4", n, 4)
 
 
 def _message(batch: pa.RecordBatch) -> bytes:
@@ -147,69 +153,89 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carr
     table = spark.sparkContext.broadcast(ranks(vocabulary))
     width = len(carry)
 
+    files = _shared.new_path(spark, "positions")
+    where_, local = filesystem(files)
+    where_.create_dir(local, recursive=True)
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        context, n = TaskContext.get(), 0
+        to, place = filesystem(files)
         for rows in _cut(batches, width, chunk):
             texts = rows.column(width)
             c = _text.Chunk(_text.strings(texts))
             words = [w.encode("utf-8", "surrogatepass") for w in c.words]
-            where = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.lexsort((np.arange(len(words)), where))
+            often = np.argsort(-np.bincount(c.sequence, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))  # words are numbered bucket by bucket
+            rank[often] = np.arange(len(words))
             counts = np.where(texts.is_null().to_numpy(zero_copy_only=False), 0, c.counts + 1)
             docs = _message(rows.select(range(width)).append_column("__rows", pa.array(counts, pa.int64())))
-            key, n = (task << 32) | n, n + 1
-            edges = np.searchsorted(where[order], np.arange(buckets + 1))
+            name = f"{context.partitionId()}-{context.taskAttemptId()}-{n}"
+            with to.open_output_stream(f"{place}/{name}", compression=None) as out:
+                out.write(np.uint64(len(docs)).tobytes() + docs + pack(rank[c.sequence]))
+            bucket = np.fromiter((zlib.crc32(words[i]) % buckets for i in often.tolist()), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")  # by bucket, and in it by frequency
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edges))
-            blobs = [pack_words([words[i] for i in order[edges[b] : edges[b + 1]]]) for b in some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * (len(some) + 1)), pa.array([-1, *some.tolist()], pa.int32()), pa.array([docs, *blobs], pa.binary()), pa.array([pack(rank[c.sequence]), *[None] * len(some)], pa.binary()), pa.array([0, *([1] * len(some))], pa.int32())],
-                names=["chunk", "bucket", "data", "sequence", "kind"],
-            )
+            blobs = [pack_words([words[i] for i in often[part].tolist()], part) for part in (order[edges[b] : edges[b + 1]] for b in some)]
+            # A chunk without any word still has its documents: it is sent to bucket -1.
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1)), pa.array([-1, *some.tolist()], pa.int32()), pa.array([None, *blobs], pa.binary())], names=["chunk", "bucket", "data"])
+            n += 1
+            del c, words, rows, texts
+            pa.default_memory_pool().release_unused()
 
-    written, _ = _shared.write_table(kept.mapInArrow(number, "chunk long, bucket int, data binary, sequence binary, kind int"), "pretokens", partition_by="kind")
+    written, _ = _shared.write_table(kept.mapInArrow(number, "chunk string, bucket int, data binary"), "pretokens")
 
     def once(key, group):
-        lists = [unpack_words(b) for b in group.column("data").to_pylist()]
-        known = {w: i for i, w in enumerate(dict.fromkeys(w for words in lists for w in words))}
+        blobs = [b for b in group.column("data").to_pylist() if b is not None]
+        if not blobs:
+            return pa.table({"chunk": group.column("chunk"), "ids": pa.array([None] * group.num_rows, pa.binary())})
+        lists = [unpack_words(b) for b in blobs]
+        known = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in lists for w in words))}
         one = encoder(vocabulary, table.value)._core_bpe.encode_single_piece
         ids = [one(w) for w in known]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for g in ids for i in g), np.uint32, int(sizes.sum()))
-        blobs = []
-        for words in lists:
-            out, size = _text.expand(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), sizes, flat)
-            blobs.append(pack(size, out))
-        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "ids": pa.array(blobs, pa.binary())})
+        out = []
+        for words, steps in lists:
+            got, size = _text.expand(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), sizes, flat)
+            out.append(pack(steps, size, got))
+        return pa.table({"chunk": group.column("chunk"), "ids": pa.array(out, pa.binary())})
 
-    encoded = written.where("kind = 1").select("bucket", "chunk", "data").groupBy("bucket").applyInArrow(once, "chunk long, bucket int, ids binary")
+    encoded = written.groupBy("bucket").applyInArrow(once, "chunk string, ids binary")
     schema = T.StructType([*(kept.schema[c] for c in carry), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-
-    arrow = to_arrow_schema(schema)
-    list_type = arrow.field("token_ids").type
-
-    def assemble(left, right):
-        blobs = [b for _, b in sorted(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True))]
-        parts = [unpack(b, 2) for b in blobs]
-        sizes = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
+    list_type = to_arrow_schema(schema).field("token_ids").type
+
+    def assemble(key, group):
+        parts = [unpack(b, 3) for b in group.column("ids").to_pylist() if b is not None]
+        n = sum(len(p[0]) for p in parts)
+        sizes, begin, at = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        for steps, size, _ in parts:
+            numbers = np.cumsum(steps, dtype=np.int64)
+            sizes[numbers] = size
+            begin[numbers] = at + np.cumsum(size, dtype=np.int64) - size
+            at += int(size.sum())
+        flat = np.concatenate([p[2] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
+        to, place = filesystem(files)
+        with to.open_input_file(f"{place}/{key[0].as_py()}") as f:
+            data = f.read()
+        cut = 8 + int(np.frombuffer(data, np.uint64, 1)[0])
+        rows = pa.ipc.open_stream(data[8:cut]).read_all()
+        sequence = unpack(data[cut:], 1)[0].astype(np.int64)
+        counts = rows.column("__rows").to_numpy()
+        edges = np.concatenate([[0], np.cumsum(np.maximum(counts - 1, 0))])
+        null = counts == 0
         out = []
-        for docs, sequence in zip(left.column("data").to_pylist(), left.column("sequence").to_pylist(), strict=True):
-            rows = pa.ipc.open_stream(docs).read_all()
-            counts = rows.column("__rows").to_numpy()
-            words = np.maximum(counts - 1, 0)
-            ids, size = _text.expand(unpack(sequence, 1)[0].astype(np.int64), sizes, flat)
-            at = np.concatenate([[0], np.cumsum(size)])
-            offsets = at[np.concatenate([[0], np.cumsum(words)])]
-            null = counts == 0
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(null) if null.any() else None).cast(list_type)
-            n = pa.array(np.where(null, -1, np.diff(offsets)))
-            out.append(pa.Table.from_arrays([*(rows.column(i) for i in range(width)), n, lists], names=schema.names))
-        return pa.concat_tables(out) if out else pa.Table.from_arrays([pa.array([], f.type) for f in arrow], names=schema.names)
-
-    rows = written.where("kind = 0").select("chunk", "data", "sequence")
-    return rows.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(assemble, schema)
+        for a in range(0, len(counts), 512):  # documents at once, for the sake of memory
+            b = min(a + 512, len(counts))
+            ids, size = _text.expand(sequence[edges[a] : edges[b]], sizes, flat, begin)
+            offsets = np.concatenate([[0], np.cumsum(size)])[edges[a : b + 1] - edges[a]]
+            mask = null[a:b]
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(mask) if mask.any() else None).cast(list_type)
+            part = rows.slice(a, b - a)
+            out.append(pa.Table.from_arrays([*(part.column(i) for i in range(width)), pa.array(np.where(mask, -1, np.diff(offsets))), lists], names=schema.names))
+        return pa.concat_tables(out)
+
+    return encoded.groupBy("chunk").applyInArrow(assemble, schema)
 
 
 def token_bytes(path: str) -> list[bytes]:

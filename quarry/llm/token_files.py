@@ -31,16 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import _shared, _text
+from quarry.llm._shared import filesystem
 from quarry.llm.bpe import CHUNK, VOCABULARY, _cut, encode_words, ranks
 
 
-def filesystem(uri: str):
-    """(pyarrow file system, path in it); the same calls serve local, HDFS and object-store folders."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
-
-
 def write_part(uri: str, name: str, pieces: Iterator[bytes], attempt: str) -> int:
     """Write the pieces under a name of this attempt, then move the file to its own; bytes written."""
     where, path = filesystem(uri)

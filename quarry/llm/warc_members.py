@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _shared
-from quarry.llm.token_files import filesystem
+from quarry.llm._shared import filesystem
 
 PIECE = 1 << 20
 LEVEL = 6
