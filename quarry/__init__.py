@@ -1 +1 @@
-"""A web search and analytics engine made of Spark DataFrame operators."""
+"""Web search and analytics on Spark."""
