@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.catalog import index, text
+from quarry.catalog import index, search, store, text
 
-_MODULES = (text, index)
+_MODULES = (text, index, search, store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,16 +26,19 @@ def site_tokens(host: Column) -> Column:
     return F.filter(F.array_distinct(F.array(F.concat(F.lit("site:"), host), F.concat(F.lit("site:www."), host), host, ur.domain_without_tld(host))), lambda w: w != "")
 
 
+def _weighed(words: Column, weight: float) -> Column:
+    return F.transform(words, lambda w: F.struct(w.alias("token"), F.lit(weight).alias("weight")))
+
+
 def url_postings(urls: DataFrame, centrality: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(token, value, score, domain, url_length): each token of a page once, its columns' weights times the host's harmonic.
 
-    A page's tokens stay in the page's row until they are weighed, so building
-    needs one join with the hosts and no aggregation: a token's weight is summed
-    over the (few) columns inside the row.
+    Building needs a join with the hosts and one aggregation, whose partial sums
+    are made where the page is.
     """
     rows = joins.lookup(urls, centrality, "host", "host", "harmonic", "harmonic")
-    parts = [F.transform(tx.unique_expanded_words(F.coalesce(F.col(c), F.lit(""))), lambda w, x=x: F.struct(w.alias("token"), F.lit(x).alias("weight"))) for c, x in weights.items()]
-    site = F.transform(site_tokens(F.col("host")), lambda w: F.struct(w.alias("token"), F.lit(SITE_WEIGHT).alias("weight")))
+    parts = [_weighed(tx.unique_expanded_words(F.coalesce(F.col(c), F.lit(""))), x) for c, x in weights.items()]
+    site = _weighed(site_tokens(F.col("host")), SITE_WEIGHT)
     each = rows.select(F.col("url_key").alias("value"), F.col("host").alias("domain"), "url_length", "harmonic", F.explode(F.concat(site, *parts)).alias("t"))
     each = each.where(F.col("t.token") != "")
     return each.groupBy("value", F.col("t.token").alias("token")).agg(F.round(F.sum(F.col("t.weight") * F.col("harmonic")), 9).alias("score"), F.first("domain").alias("domain"), F.first("url_length").alias("url_length")).select("token", "value", "score", "domain", "url_length")

@@ -15,12 +15,12 @@ from quarry.operators import ranking as rk
 
 @dataclass(frozen=True)
 class Options:
-    """Limits of a search."""
+    """Limits of a search; None is no limit."""
 
     query_max_words: int = 10
-    most_links: int = 500_000
-    most_domain_links: int = 100_000
-    pre_result_limit: int = 200_000
+    most_links: int | None = 500_000
+    most_domain_links: int | None = 100_000
+    pre_result_limit: int | None = 200_000
     result_limit: int = 1000
     per_domain: int = 5
     deduplicate: bool = True
@@ -38,9 +38,13 @@ def query_words(query: str, limit: int = 10) -> list[str]:
     return list(dict.fromkeys([w for w in words if 0 < len(w.encode()) <= MOST_BYTES][:limit]))
 
 
+def _best(df: DataFrame, n: int | None) -> DataFrame:
+    return df if n is None else po.top(df, n)
+
+
 def _matching(words: list[str], urls: DataFrame, links: DataFrame, domain_links: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    hit_links = po.top(po.find_all_of(links, words, "avg", carry=("source_url", "target")), o.most_links)
-    hit_domains = po.top(po.find_all_of(domain_links, words, "avg", carry=("source_url", "target_domain")), o.most_domain_links)
+    hit_links = _best(po.find_all_of(links, words, "avg", carry=("source_url", "target")), o.most_links)
+    hit_domains = _best(po.find_all_of(domain_links, words, "avg", carry=("source_url", "target_domain")), o.most_domain_links)
     return po.find_all_of(urls, words, "sum", carry=("domain", "url_length")), hit_links, hit_domains
 
 
@@ -53,7 +57,7 @@ def scored(query: str, urls: DataFrame, links: DataFrame, domain_links: DataFram
 
 def search(query: str, urls: DataFrame, links: DataFrame, domain_links: DataFrame, options: Options = Options()) -> DataFrame:
     """The ranked results of a query. Equal scores go by value; without deduplication all of the best pages are given."""
-    best = po.top(scored(query, urls, links, domain_links, options), options.pre_result_limit)
+    best = _best(scored(query, urls, links, domain_links, options), options.pre_result_limit)
     return rk.deduplicate(best, options.result_limit, options.per_domain) if options.deduplicate else best
 
 
