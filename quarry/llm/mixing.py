@@ -2,17 +2,18 @@
 
 1. A classifier of the labelled table gives every document posteriors of the
    domains: ``toxic`` where toxic is 1, ``low`` where quality is 0, else
-   ``good``.  It is a softmax regression on the document's distinct words,
-   sign runs and a few marks of form, hashed to BUCKETS weights, fitted on at
-   most ``sample`` rows of each domain (those with the least hash of their
-   doc_id) and corrected for the domains' true frequencies.
+   ``good``.  It is a softmax regression on those of the document's distinct
+   words, sign runs (hashed to BUCKETS) and marks of form that tell the domains
+   apart, fitted on at most ``sample`` rows of each domain (those with the least
+   hash of their doc_id) and corrected for the domains' true frequencies.
 2. Document rates r >= 0 are fitted so that the expected token totals
    S_d = sum(r_i * n_i * p_id) come near to targets T_d in the least-squares
    sense.  Projected gradient starts from r = 1; each step is one distributed
    sum of S, and moves every rate by its posteriors times the residual,
-   preconditioned by the inverse Gram matrix of the posteriors (so step 1 is
-   safe), then cuts it off at 0.  A rate is a function of the posteriors and
-   the few residual vectors so far, so no vector of rates is kept.
+   preconditioned by the inverse Gram matrix of the posteriors (so the step is
+   safe), then cuts it off at 0; Nesterov's momentum, dropped whenever the
+   residual grows, takes it on faster.  A rate is a function of the posteriors
+   and the few moves so far, so no vector of rates is kept.
 3. A document with rate r is taken floor(r + u) times, u being a hash of its
    doc_id in [0, 1): r times in expectation, and the same in every run.
 
@@ -29,6 +30,7 @@ Equal residuals give equal rates; all columns of df pass through ``resample``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,9 +45,13 @@ from quarry.llm import _shared, _text
 DOMAINS = ("good", "low", "toxic")
 WEIGHTS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 SAMPLE = 2000
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+#: Features that tell the domains apart are chosen by chi-squared: at most FEATURES, in LEAST documents of the sample at least.
+FEATURES, LEAST, CHI2 = 512, 3, 12.0
+#: Buckets of the marks of form.
+MARKS = 80
 STEPS, TOLERANCE, HEADROOM = 60, 1e-4, 1.02
-EPOCHS, RATE = 80, 2.0
+EPOCHS, RATE, DECAY = 300, 0.5, 2e-4
 
 
 # ---------------------------------------------------------------- features
@@ -71,37 +77,54 @@ def features(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         key = np.concatenate([h, _text.segment_hash(cps, s, e, _text.BASE2)]) >> np.uint64(24)
         both = (np.concatenate([doc, sdoc]).astype(np.uint64) << np.uint64(40)) | key
         distinct = np.unique(both)
-        # Marks of form, by tenths: words that repeat the one before, distinct words, words in capitals.
+        # Marks of form: by tenths words that repeat the one before, distinct words, words in capitals, lines that repeat the one before; words by powers of two.
         again = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (h[1:] == h[:-1])], minlength=n) if len(h) else np.zeros(n)
         known = np.unique((doc.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
         kinds = np.bincount((known >> np.uint64(40)).astype(np.int64), minlength=n)
         capital = fold[cps] != cps
         loud = np.add.reduceat(capital, start) >= np.maximum(end - start, 2) if len(start) else np.zeros(0, bool)
         loud = np.bincount(doc[loud], minlength=n)
-        marks = [np.floor(10 * x / np.maximum(count, 1)).astype(np.int64) + 16 * i for i, x in enumerate((again, kinds, loud))]
-        d = np.concatenate([(distinct >> np.uint64(40)).astype(np.int64), *[np.flatnonzero(count)] * 3])
-        b = np.concatenate([48 + ((distinct & np.uint64((1 << 40) - 1)) % np.uint64(BUCKETS - 48)).astype(np.int64), *(m[count > 0] for m in marks)])
+        lines, repeated = repeated_lines(cps, offsets)
+        marks = [np.floor(10 * x / np.maximum(y, 1)).astype(np.int64) + 16 * i for i, (x, y) in enumerate(((again, count), (kinds, count), (loud, count), (repeated, lines)))]
+        marks.append(64 + np.minimum(np.log2(count + 1).astype(np.int64), 15))
+        d = np.concatenate([(distinct >> np.uint64(40)).astype(np.int64), *[np.flatnonzero(count)] * len(marks)])
+        b = np.concatenate([MARKS + ((distinct & np.uint64((1 << 40) - 1)) % np.uint64(BUCKETS - MARKS)).astype(np.int64), *(m[count > 0] for m in marks)])
         order = np.argsort(d, kind="stable")
         yield lo, d[order], b[order], count
 
 
+def repeated_lines(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, lines that another line of the text before it equals) of each text."""
+    n = len(offsets) - 1
+    start = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(cps == 10) + 1]))
+    start = start[start < len(cps)]
+    end = np.append(start[1:], len(cps))[: len(start)]
+    end = np.where(cps[np.maximum(end - 1, 0)] == 10, end - 1, end) if len(start) else end
+    full = end > start
+    start, end = start[full], end[full]
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    key = (doc.astype(np.uint64) << np.uint64(40)) | (_text.segment_hash(cps, start, end) >> np.uint64(24))
+    lines = np.bincount(doc, minlength=n)
+    return lines, lines - np.bincount((np.unique(key) >> np.uint64(40)).astype(np.int64), minlength=n)
+
+
 @dataclass(frozen=True)
 class Classifier:
     domains: tuple[str, ...]
-    weights: np.ndarray  # (BUCKETS, domains)
+    chosen: np.ndarray  # the buckets that count, ascending
+    weights: np.ndarray  # (chosen, domains)
     bias: np.ndarray
 
     def posteriors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """((texts, domains) posteriors, words of each text)."""
         out, words = np.zeros((len(texts), len(self.domains))), np.zeros(len(texts), np.int64)
+        place = np.full(BUCKETS, -1, np.int32)
+        place[self.chosen] = np.arange(len(self.chosen))
         for lo, d, b, count in features(texts):
             n = len(count)
-            edges = _text.by_document(d, n)
-            size = np.diff(edges)
-            z = np.zeros((n, len(self.domains)))
-            some = size > 0
-            if some.any():
-                z[some] = np.add.reduceat(self.weights[b], edges[:-1][some], axis=0) / np.sqrt(size[some])[:, None]
+            at = place[b]
+            d, at = d[at >= 0], at[at >= 0]
+            z = np.stack([np.bincount(d, self.weights[at, j], n) for j in range(len(self.domains))], axis=1)
             out[lo : lo + n], words[lo : lo + n] = softmax(z + self.bias), count
         return out, words
 
@@ -111,26 +134,35 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(docs: list[np.ndarray], label: np.ndarray, domains: tuple[str, ...], epochs: int = EPOCHS, rate: float = RATE, decay: float = 1e-6) -> Classifier:
-    """Softmax regression by Adagrad on whole passes, the classes weighted alike. docs: the buckets of each document."""
-    size = np.fromiter(map(len, docs), np.int64, len(docs))
+def fit(docs: list[np.ndarray], label: np.ndarray, domains: tuple[str, ...], epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> Classifier:
+    """Softmax regression by Adagrad on whole passes, the classes weighted alike. docs: the distinct buckets of each document."""
+    n, k = len(docs), len(domains)
+    size = np.fromiter(map(len, docs), np.int64, n)
     b = np.concatenate(docs).astype(np.int64)
-    row = np.repeat(np.arange(len(docs)), size)
-    x = (1 / np.sqrt(np.maximum(size, 1)))[row].astype(np.float32)
-    k = len(domains)
-    w, bias = np.zeros((BUCKETS, k), np.float32), np.zeros(k)
-    seen, seen_bias = np.full((BUCKETS, k), 1e-8, np.float32), np.full(k, 1e-8)
+    row = np.repeat(np.arange(n), size)
+    classes = np.bincount(label, minlength=k)
+    # Chi-squared of each bucket's documents over the domains; ties go to the lower bucket.
+    seen = np.bincount(b * k + label[row], minlength=BUCKETS * k).reshape(BUCKETS, k)
+    total = seen.sum(axis=1)
+    expected = np.maximum(total[:, None] * classes / n, 1e-12)
+    chi = np.where(total >= LEAST, ((seen - expected) ** 2 / expected).sum(axis=1), 0)
+    chosen = np.sort(np.lexsort((np.arange(BUCKETS), -chi))[: min(FEATURES, int((chi >= CHI2).sum()))])
+    place = np.full(BUCKETS, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    x = np.zeros((n, len(chosen)), np.float32)
+    x[row[place[b] >= 0], place[b][place[b] >= 0]] = 1
+    w, bias = np.zeros((len(chosen), k)), np.zeros(k)
+    sum_w, sum_b = np.full(w.shape, 1e-6), np.full(k, 1e-6)
     goal = np.eye(k)[label]
-    weight = (1 / np.bincount(label, minlength=k))[label][:, None] / k
+    weight = (1 / classes)[label][:, None] / k
     for _ in range(epochs):
-        z = np.stack([np.bincount(row, w[b, j] * x, len(docs)) for j in range(k)], axis=1) + bias
-        g = (softmax(z) - goal) * weight
-        grad = np.stack([np.bincount(b, (g[:, j].astype(np.float32))[row] * x, BUCKETS) for j in range(k)], axis=1).astype(np.float32) + decay * w
-        seen += grad**2
-        w -= rate * grad / np.sqrt(seen)
-        seen_bias += g.sum(axis=0) ** 2
-        bias -= 0.1 * g.sum(axis=0) / np.sqrt(seen_bias)
-    return Classifier(domains, w, bias)
+        g = (softmax(x @ w + bias) - goal) * weight
+        grad = x.T @ g + decay * w
+        sum_w += grad**2
+        w -= rate * grad / np.sqrt(sum_w)
+        sum_b += g.sum(axis=0) ** 2
+        bias -= rate * g.sum(axis=0) / np.sqrt(sum_b)
+    return Classifier(domains, chosen, w, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Classifier | None:
@@ -156,15 +188,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     label = np.array([present.index(g[1]) for g in got])
     model = fit([np.frombuffer(g[2], np.int32) for g in got], label, tuple(DOMAINS[d] for d in present))
     share = np.log([frequency[d] for d in present])
-    return Classifier(model.domains, model.weights, model.bias + share - share.mean())
+    return Classifier(model.domains, model.chosen, model.weights, model.bias + share - share.mean())
 
 
 # ---------------------------------------------------------------- rates
 def replay(p: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
-    """The rates after the moves, each a vector over the domains."""
-    r = np.ones(len(p))
+    """The rates after the moves; a move is the momentum, then a number for each domain."""
+    r = before = np.ones(len(p))
     for m in moves:
-        r = np.maximum(0, r - p @ m)
+        r, before = np.maximum(0, r + m[0] * (r - before) - p @ m[1:]), r
     return r
 
 
@@ -173,8 +205,10 @@ def rate_column(domains: tuple[str, ...], moves: list[np.ndarray]):
     if not moves:
         return F.lit(1.0)
     steps = F.array(*(F.array(*(F.lit(float(x)) for x in m)) for m in moves))
-    change = lambda m: sum((m[i] * F.col(f"p_{d}") for i, d in enumerate(domains)), F.lit(0.0))
-    return F.aggregate(steps, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - change(m)))
+    change = lambda m: sum((m[i + 1] * F.col(f"p_{d}") for i, d in enumerate(domains)), F.lit(0.0))
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("before"))
+    step = lambda s, m: F.struct(F.greatest(F.lit(0.0), s["r"] + m[0] * (s["r"] - s["before"]) - change(m)).alias("r"), s["r"].alias("before"))
+    return F.aggregate(steps, start, step, lambda s: s["r"])
 
 
 @dataclass(frozen=True)
@@ -192,7 +226,7 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
     p = [F.col(f"p_{d}") for d in domains]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     first = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * p[i]), F.lit(0.0)) for i in range(k)), *(F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)) for i, j in pairs)).first()
-    totals = np.array(first[:k], float)
+    totals = before = np.array(first[:k], float)
     if not totals.sum() or not w.sum():
         return Fit(domains, [], totals, totals)
     w = w / w.sum()
@@ -204,16 +238,22 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
         gram[i, j] = gram[j, i] = x
     inverse = np.linalg.pinv(gram, rcond=1e-10)
     moves: list[np.ndarray] = []
+    t = 1.0
     for _ in range(steps):
         if np.abs(totals - targets).max() <= tolerance * targets.max():
             break
-        moves.append(inverse @ (totals - targets))
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        momentum = (t - 1) / after
+        # Totals are linear in the rates, so those of the extrapolated rates need no pass.
+        ahead = totals + momentum * (totals - before)
+        moves.append(np.concatenate([[momentum], inverse @ (ahead - targets)]))
         rated = members.select("n_tokens", *p, rate_column(domains, moves).alias("r"))
         new = np.array(rated.agg(*(F.sum(F.col("r") * F.col("n_tokens") * x) for x in p)).first()[:], float)
-        if np.abs(new - totals).max() <= 1e-3 * tolerance * targets.max():  # the targets cannot be met more closely
-            totals = new
+        still = np.abs(new - totals).max() <= 1e-3 * tolerance * targets.max()  # the targets cannot be met more closely
+        t = 1.0 if np.linalg.norm(new - targets) > np.linalg.norm(totals - targets) else after
+        before, totals = totals, new
+        if still:
             break
-        totals = new
     return Fit(domains, moves, targets, totals)
 
 
@@ -261,8 +301,9 @@ def resample(df: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGH
         classifier, moves = shared.value
         return pa.array(replay(classifier.posteriors(_text.strings(column))[0], moves))
 
-    taken = df.withColumn("__copies", copies(rate(df[text]), doc_id)).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*df.columns)
+    n, copy = _shared.fresh(df.columns, "__copies", "__copy")
+    taken = df.withColumn(n, copies(rate(df[text]), doc_id)).where(F.col(n) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*df.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
