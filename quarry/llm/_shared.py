@@ -22,6 +22,17 @@ def folder(spark: SparkSession) -> str:
     return uri if "://" in uri else uri.replace(":/", ":///", 1)
 
 
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each made longer until no column has it (upper and lower case are the same to Spark)."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 

@@ -148,7 +148,8 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carr
     """The carried columns (all but the text, unless given), n_tokens and token_ids."""
     spark = df.sparkSession
     carry = tuple(c for c in (df.columns if carry is None else carry) if c != text and c not in ("n_tokens", "token_ids"))
-    kept = df.select(*carry, df[text].alias("__text"))
+    text_name, rows_name = _shared.fresh(list(carry), "__text", "__rows")
+    kept = df.select(*carry, df[text].alias(text_name))
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = spark.sparkContext.broadcast(ranks(vocabulary))
     width = len(carry)
@@ -168,7 +169,7 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carr
             rank = np.empty(len(words), np.int64)
             rank[often] = np.arange(len(words))
             counts = np.where(texts.is_null().to_numpy(zero_copy_only=False), 0, c.counts + 1)
-            docs = _message(rows.select(range(width)).append_column("__rows", pa.array(counts, pa.int64())))
+            docs = _message(rows.select(range(width)).append_column(rows_name, pa.array(counts, pa.int64())))
             name = f"{context.partitionId()}-{context.taskAttemptId()}-{n}"
             with to.open_output_stream(f"{place}/{name}", compression=None) as out:
                 out.write(np.uint64(len(docs)).tobytes() + docs + pack(rank[c.sequence]))
@@ -221,7 +222,7 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carr
         cut = 8 + int(np.frombuffer(data, np.uint64, 1)[0])
         rows = pa.ipc.open_stream(data[8:cut]).read_all()
         sequence = unpack(data[cut:], 1)[0].astype(np.int64)
-        counts = rows.column("__rows").to_numpy()
+        counts = rows.column(rows_name).to_numpy()
         edges = np.concatenate([[0], np.cumsum(np.maximum(counts - 1, 0))])
         null = counts == 0
         out = []

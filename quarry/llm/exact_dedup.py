@@ -74,14 +74,16 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", count
     if counters < 1:
         raise ValueError("there must be a counter")
     names = df.columns
-    keyed = df.withColumn("__digest", F.unhex(F.sha2(df[text], 256)))
-    heavy, _ = _shared.write_table(heavy_winners(keyed.select("__digest", doc_id), "__digest", doc_id, counters).select("__digest", F.col("winner").alias("__winner"), F.lit(True).alias("__heavy")), "heavy")
-    rest = keyed.join(F.broadcast(heavy), "__digest", "left").where(F.col("__heavy").isNull() | F.col(doc_id).eqNullSafe(F.col("__winner")))
+    digest, winner, is_heavy, number = _shared.fresh(names, "__digest", "__winner", "__heavy", "__n")
+    keyed = df.withColumn(digest, F.unhex(F.sha2(df[text], 256)))
+    found = heavy_winners(keyed.select(digest, F.col(doc_id).alias("id")), digest, "id", counters)
+    heavy, _ = _shared.write_table(found.select(digest, F.col("winner").alias(winner), F.lit(True).alias(is_heavy)), "heavy")
+    rest = keyed.join(F.broadcast(heavy), digest, "left").where(F.col(is_heavy).isNull() | F.col(doc_id).eqNullSafe(F.col(winner)))
     order = [F.col(doc_id).asc_nulls_last(), *(F.col(c).asc_nulls_last() for c, t in zip(names, (f.dataType for f in df.schema), strict=True) if c not in (doc_id, text) and not isinstance(t, T.MapType))]
     single = df.where(df[text].isNull())  # the scan skips what has no null
-    first = Window.partitionBy("__digest").orderBy(*order)
+    first = Window.partitionBy(digest).orderBy(*order)
     rest = rest.where(F.col(text).isNotNull())
-    return rest.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names).unionByName(single)
+    return rest.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).select(*names).unionByName(single)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

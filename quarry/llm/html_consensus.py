@@ -17,7 +17,8 @@ a task; pages are never shuffled unless the winners are too many to broadcast
 Defined results: a null page has text null and method ``none``; a page without
 any text has the empty text.  Pages without a host don't vote and have method
 ``own``.  Of equal scores the outer, earlier element wins; of equal votes the path
-first in the alphabet.  Repeated rows vote each time.
+first in the alphabet.  Repeated rows vote each time.  Columns that are not carried
+may have any name; a carried one named as a result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm import _shared
+
 KEEP = 0.5
 BLOCKS = frozenset("html body article aside blockquote center dd details div dl fieldset figure footer form header li main nav ol section table tbody td th tr ul".split())
 BREAKS = BLOCKS | frozenset("address br caption dt figcaption h1 h2 h3 h4 h5 h6 hr legend option p pre summary thead tfoot title".split())
@@ -233,10 +236,11 @@ def winners(voted: DataFrame, keep: float = KEEP) -> DataFrame:
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", carry: tuple[str, ...] = ("page_id", "url"), keep: float = KEEP) -> DataFrame:
     """The carried columns, host, text, path (of the element taken) and method (consensus, own or none) of each page."""
-    won = winners(votes(pages, html, url), keep)
-    kept = pages.select(*carry, host(pages[url]).alias("host"), pages[html].alias("__html"))
-    names = [c for c in carry if c != "host"]
-    joined = kept.join(won, "host", "left").select(*names, "host", "paths", "__html")
+    names = [c for c in carry if c not in ("host", "text", "path", "method")]
+    body, paths = _shared.fresh(names, "__html", "__paths")
+    won = winners(votes(pages, html, url), keep).withColumnRenamed("paths", paths)
+    kept = pages.select(*names, host(pages[url]).alias("host"), pages[html].alias(body))
+    joined = kept.join(won, "host", "left").select(*names, "host", paths, body)
     schema = T.StructType([*(joined.schema[c] for c in names), *(T.StructField(n, T.StringType()) for n in ("host", "text", "path", "method"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

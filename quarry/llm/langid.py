@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm import _text
+from quarry.llm import _shared, _text
 
 SAMPLE = 2000
 BUCKETS = 1 << 16
@@ -96,7 +96,7 @@ def word_runs(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     cut[1:] = script[1:] != script[:-1]
     cut[offsets[:-1][offsets[:-1] < len(cps)]] = True
     start = np.flatnonzero(cut)
-    end = np.append(start[1:], len(cps))
+    end = np.append(start[1:], len(cps))[: len(start)]
     real = script[start] > 0 if len(start) else np.zeros(0, bool)
     start, end = start[real], end[real]
     return start, end, np.searchsorted(offsets, start, side="right") - 1, script[start]
@@ -270,7 +270,7 @@ def label(model: Model, texts: list[str], penalty: float = PENALTY) -> Iterator[
 
 def spans(df: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",), penalty: float = PENALTY) -> DataFrame:
     """A row (carried columns, span, start, end, words, lang) for each span; start and end count characters."""
-    kept = df.select(*carry, df[text].alias("__text"))
+    kept = df.select(*carry, df[text].alias(_shared.fresh(list(carry), "__text")[0]))
     long = [T.StructField(n, T.LongType()) for n in ("start", "end", "words")]
     schema = T.StructType([*(kept.schema[c] for c in carry), T.StructField("span", T.LongType()), *long, T.StructField("lang", T.StringType())])
 

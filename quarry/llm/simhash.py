@@ -283,14 +283,16 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius
     ranked = near_groups(signed, radius, recall).withColumn("place", F.dense_rank().over(order))
     removed, _ = _shared.write_table(ranked.where("place > 1").select("id", "key").distinct(), "removed")
     repeated, _ = _shared.write_table(ranked.where("place = 1").groupBy("id", "key").count().where("count > 1").select("id", "key"), "repeated")
-    keyed = df.withColumn("__key", F.xxhash64(df[text]))
-    same = lambda r: keyed[doc_id].eqNullSafe(r["id"]) & (F.col("__key") == r["key"])
+    k, number = _shared.fresh(df.columns, "__key", "__n")
+    keyed = df.withColumn(k, F.xxhash64(df[text]))
+    same = lambda r: keyed[doc_id].eqNullSafe(r["id"]) & (keyed[k] == r["key"])
     # The removed rows grow with the input: both sides are shuffled, and only the narrow one is held in memory.
     kept = keyed.join(removed.hint("shuffle_hash"), same(removed), "left_anti")
     if not repeated.isEmpty():
-        rest = kept.join(repeated, kept[doc_id].eqNullSafe(repeated["id"]) & (kept["__key"] == repeated["key"]), "left_anti")
-        one = kept.join(repeated, kept[doc_id].eqNullSafe(repeated["id"]) & (kept["__key"] == repeated["key"]), "left_semi")
-        one = one.withColumn("__n", F.row_number().over(Window.partitionBy(doc_id, "__key").orderBy(F.lit(1)))).where("__n = 1").drop("__n")
+        is_one = kept[doc_id].eqNullSafe(repeated["id"]) & (kept[k] == repeated["key"])
+        rest = kept.join(repeated, is_one, "left_anti")
+        one = kept.join(repeated, is_one, "left_semi")
+        one = one.withColumn(number, F.row_number().over(Window.partitionBy(doc_id, k).orderBy(F.lit(1)))).where(F.col(number) == 1).drop(number)
         kept = rest.unionByName(one)
     return kept.select(*df.columns)
 

@@ -15,7 +15,7 @@ Each file gives NAME (the members), NAME.idx (a line of JSON for each record) an
 rows of the index.  Defined results: a record that is cut off, or whose header is
 not one, ends its file: what came before is kept, and a last index row without
 offset has status ``truncated`` or ``malformed``; a corrupt stream counts as
-truncated.  An empty file has no rows.  Records of length 0 are members too, and
+truncated.  A file of no bytes has no rows and gives no files (Spark lists none such).  Records of length 0 are members too, and
 repeated records are kept.  ``write_monolithic`` writes a row whose html is null as
 an empty payload and a null url as an empty one.
 """

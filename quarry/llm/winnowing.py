@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarry.llm import _text
+from quarry.llm import _shared, _text
 
 K, W = 50, 100
 #: Multiplier of the rolling hash, modulo 2**64.
@@ -95,7 +95,7 @@ def winnow(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id"
     """One row (carried columns, pos, fp) for each fingerprint; pos counts characters of the original text."""
     if k < 1 or w < 1:
         raise ValueError("k and w must be positive")
-    kept = df.select(*carry, df[text].alias("__text"))
+    kept = df.select(*carry, df[text].alias(_shared.fresh(list(carry), "__text")[0]))
     schema = T.StructType([kept.schema[c] for c in carry] + [T.StructField("pos", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,90 @@
+from collections import Counter, defaultdict
+
+import pytest
+
+from quarry.llm import html_consensus as h
+
+PAGE = '<html><head><title>t</title><style>p{{}}</style></head><body><nav class="menu"><a href="/">home page of all things that there are</a></nav><div class="post post-{n}"><p>{text}</p><script>var x = "</p>";</script></div><div class="side">{side}</div></body></html>'
+LONG = "some words that make up a paragraph of the main text. " * 6
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def by_id(df):
+    return {r.page_id: r for r in df.collect()}
+
+
+def test_consensus_beats_the_page_itself(spark):
+    rows = [(i, f"http://www.a.example/{i}", PAGE.format(n=i, text=LONG, side="ad")) for i in range(5)]
+    rows.append((9, "https://a.example:8080/x", PAGE.format(n=9, text="short", side=LONG * 3)))
+    got = by_id(h.extract(pages_of(spark, rows)))
+    assert got[9].text == "short" and got[9].method == "consensus" and got[9].path == "html/body/div.post.post-#"
+    assert got[0].text == LONG.strip() and {r.host for r in got.values()} == {"a.example"}
+
+
+def brute(rows, keep=h.KEEP):
+    """Votes and winners without Spark."""
+    import re
+
+    def host(url):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
+        return re.sub(r"^www\.", "", m[1].lower()) or None if m else None
+
+    votes = defaultdict(Counter)
+    for _, url, html in rows:
+        if host(url) and html is not None and h.vote(html) is not None:
+            votes[host(url)][h.vote(html)] += 1
+    out = {}
+    for i, url, html in rows:
+        v = votes[host(url)] if host(url) else {}
+        won = [p for p, n in sorted(v.items(), key=lambda x: (-x[1], x[0])) if n >= keep * max(v.values())]
+        out[i] = (host(url), *h.one(html, won))
+    return out
+
+
+def test_query_as_brute_force(spark, sf_dir):
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    want = brute(rows)
+    got = {r.page_id: (r.host, r.text, r.path, r.method) for r in h.query(spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_main_text_of_the_pages(spark, sf_dir):
+    """Articles come out, navigation, footers and scripts do not (where an article is longer than a footer)."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for r in h.query(spark, sf_dir).collect():
+        assert "track(" not in r.text
+        if len(pages[r.page_id].split("<article>")[1].split("</article>")[0]) > 300:
+            assert "©" not in r.text and r.path.endswith("article")
+
+
+def test_edges(spark, clashing):
+    rows = [(1, "http://a.example/", None), (2, "http://a.example/", ""), (3, None, "<p>text</p>"), (4, "no url", "<p>text</p>"), (5, "http://b.example", "x" * 2_000_000), (6, "http://b.example", "<div>" * 3000 + "deep"), (None, None, None), (7, "http://c.example", "<b>a</b>"), (7, "http://c.example", "<b>a</b>"), (8, "http://d.example", "<script>never closed")]
+    df = clashing(pages_of(spark, rows))
+    out = h.extract(df)
+    assert out.columns == ["page_id", "url", "host", "text", "path", "method"]
+    got = out.collect()
+    assert len(got) == len(rows)
+    one = {r.page_id: r for r in got}
+    assert (one[1].text, one[1].method) == (None, "none") and (one[2].text, one[2].method) == ("", "own")
+    assert (one[3].method, one[3].host, one[4].host, one[3].text) == ("own", None, None, "text")
+    assert len(one[5].text) == 2_000_000 and one[6].text == "deep" and one[8].text == ""
+    assert [r.text for r in got if r.page_id == 7] == ["a", "a"]
+    carried = h.extract(df, carry=("page_id", "__paths", "paths", "__html", "votes", "host"))
+    assert carried.columns == ["page_id", "__paths", "paths", "__html", "votes", "host", "text", "path", "method"]
+    assert carried.first()["__paths"] == "own __paths"
+    assert h.extract(df.where("false")).count() == 0
+
+
+def test_ties(spark):
+    # two paths with a vote each: the first in the alphabet leads, both win
+    rows = [(1, "http://a.example/1", f"<div class=b>{LONG}</div>"), (2, "http://a.example/2", f"<div class=a>{LONG}</div>")]
+    [won] = h.winners(h.votes(pages_of(spark, rows))).collect()
+    assert won.paths == ["div.a", "div.b"]
+
+
+@pytest.mark.parametrize(("html", "text"), [("<p>a<p>b", "a\nb"), ("<ul><li>a<li>b</ul>c", "a\nb\nc"), ("a<br>b", "a\nb"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("a<!-- <p>x --> b", "a b"), ("&lt;b&gt; &amp; &#233;", "<b> & é"), ("<p>a</div></b>c", "a\nc"), ("<a href='x>y'>t</a>", "t"), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2")])
+def test_tag_soup(html, text):
+    assert h.text([h.parse(html)]) == text
