@@ -102,5 +102,12 @@ class Store:
         for old in v[:-1]:  # the version before stays for its readers
             tables.remove(self.spark, f"{self.path}/v={old}")
 
+    def merge_from(self, other: DataFrame) -> None:
+        """Fold another table (say, shards from elsewhere) into a new version: its newer rows win, equal versions keep the store's."""
+        v = self._versions()
+        number = v[-1] + 1 if v else 1
+        out = merge_with(self.table(), latest(other).select(*self.table().columns))
+        out.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/v={number}")
+
     def truncate(self) -> None:
         tables.remove(self.spark, self.path)

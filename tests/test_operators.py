@@ -200,6 +200,8 @@ def test_store(spark):
     assert store.table().count() == 2
     assert rows(kv.has(store.table(), spark.createDataFrame([("1",), ("9",)], "key string"))) == [("1", True), ("9", False)]
     assert {r.key: r.value for r in kv.find_many(store.table(), spark.createDataFrame([("1",), ("9",)], "key string")).collect()} == {"1": "new", "9": ""}
+    store.merge_from(spark.createDataFrame([("1", "tie", 2, 99), ("3", "newer", 5, 1), ("4", "d", 1, 1)], schema))
+    assert {r.key: r.value for r in store.table().collect()} == {"1": "new", "3": "newer", "4": "d"}
     store.truncate()
     assert store.table().count() == 0
 
