@@ -186,14 +186,22 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", doc_id: str =
 
 
 # ---------------------------------------------------------------- decoding
-def word_scores(model: Model, cps: np.ndarray, start: np.ndarray, end: np.ndarray, script: np.ndarray) -> np.ndarray:
-    """(words, states) scores; NEVER where the script excludes the state."""
-    s = np.zeros((len(start), len(model.states)))
-    if model.languages:
+def candidates(model: Model, script: np.ndarray) -> np.ndarray:
+    """The states that any of the scripts allows; no path takes another."""
+    return np.flatnonzero(model.allowed[np.flatnonzero(np.bincount(script, minlength=1))].any(axis=0))
+
+
+def word_scores(model: Model, cps: np.ndarray, start: np.ndarray, end: np.ndarray, script: np.ndarray, states: np.ndarray | None = None) -> np.ndarray:
+    """(words, states) scores, of all states or of the given ones; NEVER where the script excludes the state."""
+    states = np.arange(len(model.states)) if states is None else states
+    s = np.zeros((len(start), len(states)))
+    known = states[states < model.languages]
+    if len(known):
         bucket, begin = trigrams(cps, start, end)
-        s[:, : model.languages] = np.add.reduceat(model.table[bucket], begin, axis=0)
-    s[:, -1] = model.floor * (end - start)
-    allowed = model.allowed[script]
+        table = model.table if len(known) == model.languages else model.table[:, known]
+        s[:, : len(known)] = np.add.reduceat(table[bucket], begin, axis=0)
+    s[:, states == len(model.states) - 1] = (model.floor * (end - start))[:, None]
+    allowed = model.allowed[script][:, states]
     s[~allowed] = -np.inf
     top = s.max(axis=1, keepdims=True)
     s = np.maximum(s - top, -CLIP)
@@ -234,13 +242,22 @@ def decode(scores: np.ndarray, edges: np.ndarray, penalty: float) -> np.ndarray:
     total = np.add.reduceat(scores, begin, axis=0)
     best = total.argmax(axis=1)
     path[:] = np.repeat(best, size[real])
-    gain = scores - scores[np.arange(len(scores)), path][:, None]
+    own = scores[np.arange(len(scores)), path]
+    # A stretch that gains begins and ends at words where another state is better: what lies between two such is one item.
+    other = own < scores.max(axis=1)
+    cut = np.zeros(len(scores) + 1, bool)
+    cut[begin] = True
+    cut[:-1] |= other
+    cut[1:] |= other
+    item = np.flatnonzero(cut[:-1])
+    gain = np.add.reduceat(scores, item, axis=0) - np.add.reduceat(own, item)[:, None]
+    first = np.searchsorted(item, begin)
     # The greatest sum of a stretch of one document: a running minimum that falls by more than any sum from document to document.
     fall = 2 * (np.abs(gain).sum(axis=0).max() + 1)
-    drop = np.repeat(np.arange(len(real)), size[real])[:, None] * fall
+    drop = np.repeat(np.arange(len(real)), np.diff(np.append(first, len(item))))[:, None] * fall
     after = np.cumsum(gain, axis=0) - drop
     before = after - gain
-    stretch = np.maximum.reduceat((after - np.minimum.accumulate(before, axis=0)).max(axis=1), begin)
+    stretch = np.maximum.reduceat((after - np.minimum.accumulate(before, axis=0)).max(axis=1), first)
     for d in np.flatnonzero(stretch > penalty / 2).tolist():
         a = begin[d]
         path[a : a + size[real[d]]] = viterbi(scores[a : a + size[real[d]]], penalty)
@@ -255,7 +272,8 @@ def label(model: Model, texts: list[str], penalty: float = PENALTY) -> Iterator[
         edges = _text.by_document(doc, hi - lo)
         none = np.flatnonzero(np.diff(edges) == 0)
         if len(start):
-            path = decode(word_scores(model, cps, start, end, script), edges, penalty)
+            states = candidates(model, script)
+            path = states[decode(word_scores(model, cps, start, end, script, states), edges, penalty)]
             new = np.ones(len(path), bool)
             new[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
             first = np.flatnonzero(new)
