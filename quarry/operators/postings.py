@@ -90,8 +90,10 @@ def find_all_of(df: DataFrame, keys: Iterable, combine: str = "sum", group: tupl
     """AND: the values that have all keys, with their score combined.
 
     ``sum`` and ``avg`` take all lists; ``rarest`` keeps the score of the key with
-    the fewest records (the first of equals).  ``carry`` columns belong to the
-    value. An empty query finds nothing. Only the lists of the keys are read.
+    the fewest records (the first of equals).  ``carry`` columns follow from the
+    value, so they are the same in all its records (as keys they keep the
+    aggregation a hashed one).  An empty query finds nothing. Only the lists of
+    the keys are read.
     """
     keys = _keys(keys)
     hits = df.where(F.col("token").isin(keys))
@@ -103,7 +105,7 @@ def find_all_of(df: DataFrame, keys: Iterable, combine: str = "sum", group: tupl
         how = {"sum": F.sum, "avg": F.avg}[combine](score)
     else:
         raise ValueError(combine)
-    found = hits.groupBy(*group).agg(how.alias(score), F.count(F.lit(1)).alias("__n"), *(F.first(c).alias(c) for c in carry))
+    found = hits.groupBy(*group, *carry).agg(how.alias(score), F.count(F.lit(1)).alias("__n"))
     return found.where(F.col("__n") == len(keys)).drop("__n").where(F.lit(bool(keys)))
 
 

@@ -41,7 +41,9 @@ def url_postings(urls: DataFrame, centrality: DataFrame, weights: dict[str, floa
     site = _weighed(site_tokens(F.col("host")), SITE_WEIGHT)
     each = rows.select(F.col("url_key").alias("value"), F.col("host").alias("domain"), "url_length", "harmonic", F.explode(F.concat(site, *parts)).alias("t"))
     each = each.where(F.col("t.token") != "")
-    return each.groupBy("value", F.col("t.token").alias("token")).agg(F.round(F.sum(F.col("t.weight") * F.col("harmonic")), 9).alias("score"), F.first("domain").alias("domain"), F.first("url_length").alias("url_length")).select("token", "value", "score", "domain", "url_length")
+    # A page's domain and length follow from it: as keys they leave sums only, which hash aggregation takes.
+    summed = each.groupBy("value", "domain", "url_length", F.col("t.token").alias("token")).agg(F.round(F.sum(F.col("t.weight") * F.col("harmonic")), 9).alias("score"))
+    return summed.select("token", "value", "score", "domain", "url_length")
 
 
 def link_rows(links: DataFrame, centrality: DataFrame) -> DataFrame:
