@@ -116,7 +116,7 @@ def trigrams(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return (h * np.uint64(0xE7037ED1A0B428DB) >> np.uint64(48)).astype(np.int64), begin
 
 
-# ---------------------------------------------------------------- the model
+# --- the model
 def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(counts by bucket, counts of words by script)."""
     counts, scripts = np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)
@@ -185,7 +185,7 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", doc_id: str =
     return build(got)
 
 
-# ---------------------------------------------------------------- decoding
+# --- decoding
 def candidates(model: Model, script: np.ndarray) -> np.ndarray:
     """The states that any of the scripts allows; no path takes another."""
     return np.flatnonzero(model.allowed[np.flatnonzero(np.bincount(script, minlength=1))].any(axis=0))

@@ -54,7 +54,7 @@ STEPS, TOLERANCE, HEADROOM = 60, 1e-4, 1.02
 EPOCHS, RATE, DECAY = 300, 0.5, 2e-4
 
 
-# ---------------------------------------------------------------- features
+# --- features
 def features(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices: (index of the first text, document and bucket of each distinct feature, words by document)."""
     for lo, hi in _text.slices(texts):
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     return Classifier(model.domains, model.chosen, model.weights, model.bias + share - share.mean())
 
 
-# ---------------------------------------------------------------- rates
+# --- rates
 def replay(p: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
     """The rates after the moves; a move is the momentum, then a number for each domain."""
     r = before = np.ones(len(p))

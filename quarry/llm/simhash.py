@@ -57,7 +57,7 @@ LEAF, SPLIT = 4096, 512
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-# ---------------------------------------------------------------- fingerprints
+# --- fingerprints
 def features(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document index, hash) of the distinct features, sorted by document."""
     start, end, doc = _text.words(cps, offsets)
@@ -107,7 +107,7 @@ def signatures(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return kept.mapInArrow(run, schema)
 
 
-# ---------------------------------------------------------------- the probability that a pair meets
+# --- the probability that a pair meets
 @lru_cache(maxsize=4096)
 def survival(strip: int, limit: int, rate: float) -> tuple[float, float]:
     """Probability that one, and that both, of two vectors lie within ``limit`` of a random centre on a strip.
@@ -157,7 +157,7 @@ def members(fp: np.ndarray, coordinates: np.ndarray, centres: np.ndarray, limit:
                 yield a + k, rows
 
 
-# ---------------------------------------------------------------- inside a list
+# --- inside a list
 def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join the components (each labelled by its least member) of i and j, in place."""
     while True:
@@ -214,7 +214,7 @@ def list_edges(fp: list[bytes], radius: int, recall: float, coordinates: np.ndar
     return [fp[i] for i in joined], [fp[i] for i in label[joined]]
 
 
-# ---------------------------------------------------------------- over Spark
+# --- over Spark
 def permutation(repeat: int) -> np.ndarray:
     return np.random.default_rng(7919 + repeat).permutation(BITS)
 
