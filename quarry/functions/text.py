@@ -174,7 +174,7 @@ def chunks(items: Column, size: int) -> Column:
     return F.when(items.isNotNull(), let(items, cut))
 
 
-# ---------------------------------------------------------------- over rows
+# --- over rows
 def word_counts(df: DataFrame, words: Column, *keys: str) -> DataFrame:
     """(keys, word, n)."""
     return df.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))

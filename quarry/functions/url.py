@@ -113,7 +113,7 @@ def domain_link_hash_input(source_host: Column, target_host: Column) -> Column:
     return F.concat(source_host, target_host)
 
 
-# ---------------------------------------------------------------- percent signs
+# --- percent signs
 _PERCENT = re.compile(rb"%([0-9a-fA-F]{2})|%%")
 
 
@@ -145,7 +145,7 @@ def query_map(url: Column) -> Column:
     return F.map_from_entries(let(query_pairs(url), last))
 
 
-# ---------------------------------------------------------------- relative links
+# --- relative links
 @F.arrow_udf(T.StringType())
 def resolve(base: pa.Array, href: pa.Array) -> pa.Array:
     """The absolute URL of a link on a page; null where there is none."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BEST = (F.desc, "score")
 
 
-# ---------------------------------------------------------------- build and maintain
+# --- build and maintain
 def fold(df: DataFrame, *keys: str, **aggregates: Column) -> DataFrame:
     """One row for each key; by default the greatest score. Partial sums are made before the shuffle."""
     keys = keys or ("token", "value")
@@ -75,7 +75,7 @@ def lists(df: DataFrame, *fields: str, most: int) -> DataFrame:
     return capped.groupBy("token").agg(F.array_sort(F.collect_list(F.struct(*(fields or ("value",))))).alias("records"))
 
 
-# ---------------------------------------------------------------- look up
+# --- look up
 def find(df: DataFrame, key, limit: int | None = None, *order: Column) -> DataFrame:
     """The records of one token. With a limit, the first of them in the given order (by value)."""
     hit = df.where(F.col("token") == key)
@@ -163,7 +163,7 @@ def lower_bound(df: DataFrame, value, column: str = "value") -> DataFrame:
     return df.where(F.col(column) >= value).orderBy(column).limit(1)
 
 
-# ---------------------------------------------------------------- statistics
+# --- statistics
 def key_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 

@@ -34,7 +34,7 @@ def distinct_count(df: DataFrame, column: str, precision: int = PRECISION) -> Da
     return df.agg(hll_count(hll(F.col(column), precision)).alias("estimate"))
 
 
-# ---------------------------------------------------------------- Bloom filters
+# --- Bloom filters
 SEEDS = tuple(range(1, 11))
 
 

@@ -73,7 +73,7 @@ def numeric_columns(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\t"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
 
 
-# ---------------------------------------------------------------- sorted key files
+# --- sorted key files
 def find(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == value)
 

@@ -23,8 +23,8 @@ def value(spark):
 
 
 def test_title_h1_text(parsed):
-    r = parsed("<html><title>test1</title><h1><span>Hej</span> Hopp</h1> text <b>after</b>\n it</html>")
-    assert (r.title, r.h1, r.text, r.should_insert) == ("test1", "Hej Hopp", "text after it", True)
+    r = parsed("<html lang=sv><title>a title</title>\n<h1 class=x><span>Hej</span> Hopp</h1> text <b>after</b>\n it</html>")
+    assert (r.title, r.h1, r.text, r.should_insert) == ("a title", "Hej Hopp", "text after it", True)
     assert parsed("no tags at all <h1></h1>").title == ""
     assert parsed("<title>a</title><body class=x>in <i>the</i> body<script>if (a<b) {}</script> end").text == "in the body end"
     assert parsed("<title>a</title>nothing").text == ""

@@ -27,7 +27,7 @@ def postings(spark):
     return make
 
 
-# ---------------------------------------------------------------- postings
+# --- postings
 def test_counted_fold(postings):
     p = postings([("a", 1000, 1.0), ("a", 1001, 1.0), ("a", 1000, 1.0), ("b", 1002, 1.0)])
     assert rows(po.fold_counts(p)) == [("a", 1000, 2), ("a", 1001, 1), ("b", 1002, 1)]
@@ -109,7 +109,7 @@ def test_word_stats(postings, spark):
     assert rows(po.word_stats(p, ["a", "b"], spark.range(4))) == [("a", 2, 0.5), ("b", 0, 0.0)]
 
 
-# ---------------------------------------------------------------- arrays and joins
+# --- arrays and joins
 def test_arrays(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5, 6], [2, 3, 3], [3, 9])], "a array<int>, b array<int>, c array<int>")
     r = df.select(arrays.top_k(F.col("a"), 2).alias("k"), arrays.top_k(F.col("a"), 9).alias("all"), arrays.intersection(F.col("a"), F.col("b"), F.col("c")).alias("i"), arrays.merge_sorted(F.col("b"), F.col("c")).alias("m"), arrays.partial_sort(F.col("a"), 3).alias("p")).first()
@@ -139,7 +139,7 @@ def test_hash_range(spark):
         assert sorted(r.h for r in joins.in_range(df, "h", low, high).collect()) == sorted(v for v in values if low <= v % (1 << 64) <= high)
 
 
-# ---------------------------------------------------------------- ranking
+# --- ranking
 def test_deduplicate(spark):
     items = [("d1", v, float(10 - v)) for v in range(8)] + [("d2", 20, 0.5)]
     df = spark.createDataFrame(items, "domain string, value int, score double")
@@ -168,7 +168,7 @@ def test_bm25_and_tfidf(spark):
     assert {r.score for r in ranking.bm25(df, min_size=5).where("value < 3").collect()} == {0.0}
 
 
-# ---------------------------------------------------------------- key-value
+# --- key-value
 H = "key int, value string, version long, seq long"
 
 
@@ -216,7 +216,7 @@ def test_latest_as_brute_force(spark, items):
     assert {r.key: (r.version, r.seq) for r in kv.latest(h).collect()} == want
 
 
-# ---------------------------------------------------------------- sketches
+# --- sketches
 @pytest.mark.parametrize("n", [0, 1, 1000, 200_000])
 def test_hll_within_bound(spark, n):
     df = spark.range(n).unionAll(spark.range(n))
@@ -239,7 +239,7 @@ def test_bloom(spark):
     assert sketches.bloom_might_contain(all_, "id", sketches.bloom(inside.where("false"), "id", bits), bits).count() == 0
 
 
-# ---------------------------------------------------------------- graph
+# --- graph
 EDGES = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (3, 5), (4, 2), (5, 4)]
 
 
