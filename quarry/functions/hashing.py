@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions import url as ur
+
 SEED = 0xC70F6907
 _M = np.uint64(0xC6A4A7935BD1E995)
 _R = np.uint64(47)
@@ -66,6 +68,25 @@ def token_hashes(c: Column, seed: int = SEED) -> Column:
     return run(c)
 
 
+def url_hash(url: Column) -> Column:
+    """The key of a page: the hash of host, path and query."""
+    return token_hash(ur.hash_input(url))
+
+
+def host_hash(url: Column) -> Column:
+    return token_hash(ur.host(url))
+
+
+def link_hash(source_url: Column, target_url: Column) -> Column:
+    """The key of a link from a host to a page; the link's text is no part of it."""
+    return token_hash(ur.link_hash_input(ur.host(source_url), target_url))
+
+
+def domain_link_hash(source_url: Column, target_url: Column) -> Column:
+    """The key of a link from a host to a host."""
+    return token_hash(ur.domain_link_hash_input(ur.host(source_url), ur.host(target_url)))
+
+
 def unsigned(h: Column) -> Column:
     """The bit pattern as an unsigned number."""
     return F.conv(F.hex(h), 16, 10).cast("decimal(20,0)")

@@ -48,6 +48,13 @@ def test_columns(spark):
     assert [(r.u, r.m, r.a) for r in rows if r.w is None] == [(None, None, [None])]
 
 
+def test_keys_of_pages_and_links(spark):
+    df = spark.createDataFrame([("https://www.a.com/x?q=1", "http://b.org/y")], "s string, t string")
+    s, t = F.col("s"), F.col("t")
+    r = df.select(h.url_hash(s).alias("u"), h.host_hash(s).alias("h"), h.link_hash(s, t).alias("l"), h.domain_link_hash(s, t).alias("d")).first()
+    assert [v % (1 << 64) for v in r] == [one(x) for x in (b"a.com/x?q=1", b"a.com", b"a.comhttp://b.org/y", b"a.comb.org")]
+
+
 @pytest.mark.parametrize("n", [1, 8, 4001, 1 << 30])
 def test_unsigned(spark, n):
     values = [0, 1, -1, 1 << 62, -(1 << 63), (1 << 63) - 1, -2]
