@@ -302,7 +302,8 @@ def resample(df: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGH
         return pa.array(replay(classifier.posteriors(_text.strings(column))[0], moves))
 
     n, copy = _shared.fresh(df.columns, "__copies", "__copy")
-    taken = df.withColumn(n, copies(rate(df[text]), doc_id)).where(F.col(n) > 0)
+    # A deterministic function would be run once for the filter and once more for the copies.
+    taken = df.withColumn(n, copies(rate.asNondeterministic()(df[text]), doc_id)).where(F.col(n) > 0)
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*df.columns)
 
 
