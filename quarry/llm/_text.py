@@ -8,6 +8,7 @@ whole document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,18 @@ BASE2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 _TABLES: dict = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on beside those of other stages, with all they once took."""
+    pa.default_memory_pool().release_unused()
+    if "trim" not in _TABLES:
+        try:
+            _TABLES["trim"] = ctypes.CDLL(None).malloc_trim
+        except (AttributeError, OSError):  # another C library
+            _TABLES["trim"] = None
+    if _TABLES["trim"]:
+        _TABLES["trim"](0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on unsigned 64-bit arrays."""
     x = np.asarray(x, dtype=np.uint64)

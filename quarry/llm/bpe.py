@@ -181,8 +181,8 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carr
             # A chunk without any word still has its documents: it is sent to bucket -1.
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1)), pa.array([-1, *some.tolist()], pa.int32()), pa.array([None, *blobs], pa.binary())], names=["chunk", "bucket", "data"])
             n += 1
-            del c, words, rows, texts
-            pa.default_memory_pool().release_unused()
+            del c, words, rows, texts, docs, rank, often, bucket, order, blobs
+            _text.release()
 
     written, _ = _shared.write_table(kept.mapInArrow(number, "chunk string, bucket int, data binary"), "pretokens")
 
@@ -200,7 +200,10 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carr
         for words, steps in lists:
             got, size = _text.expand(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), sizes, flat)
             out.append(pack(steps, size, got))
-        return pa.table({"chunk": group.column("chunk"), "ids": pa.array(out, pa.binary())})
+        result = pa.table({"chunk": group.column("chunk"), "ids": pa.array(out, pa.binary())})
+        del blobs, lists, known, ids, sizes, flat, out
+        _text.release()
+        return result
 
     encoded = written.groupBy("bucket").applyInArrow(once, "chunk string, ids binary")
     schema = T.StructType([*(kept.schema[c] for c in carry), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
@@ -234,6 +237,8 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carr
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(mask) if mask.any() else None).cast(list_type)
             part = rows.slice(a, b - a)
             out.append(pa.Table.from_arrays([*(part.column(i) for i in range(width)), pa.array(np.where(mask, -1, np.diff(offsets))), lists], names=schema.names))
+        del parts, sizes, begin, flat, data, sequence, edges, ids, size, offsets
+        _text.release()
         return pa.concat_tables(out)
 
     return encoded.groupBy("chunk").applyInArrow(assemble, schema)

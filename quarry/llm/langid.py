@@ -315,6 +315,8 @@ def accepted(text: Column, model: Model, penalty: float = PENALTY, share: float
             known = np.bincount(doc, words * (state < model.languages), n)
             total = np.bincount(doc, words, n)
             out[lo : lo + n] = (total > 0) & (known >= share * total)
+        del texts
+        _text.release()
         return pa.array(out)
 
     return run(text)

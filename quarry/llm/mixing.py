@@ -266,6 +266,7 @@ def posterior_table(df: DataFrame, model: Classifier, text: str = "text", doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, n = shared.value.posteriors(_text.strings(batch.column(1)))
+            _text.release()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in p.T)], names=schema.names)
 
     return kept.mapInArrow(run, schema)
@@ -299,7 +300,9 @@ def resample(df: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGH
     @F.arrow_udf(T.DoubleType())
     def rate(column: pa.Array) -> pa.Array:
         classifier, moves = shared.value
-        return pa.array(replay(classifier.posteriors(_text.strings(column))[0], moves))
+        out = pa.array(replay(classifier.posteriors(_text.strings(column))[0], moves))
+        _text.release()
+        return out
 
     n, copy = _shared.fresh(df.columns, "__copies", "__copy")
     # A deterministic function would be run once for the filter and once more for the copies.

@@ -102,7 +102,9 @@ def signatures(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(simhash(_text.strings(b.column(2))), pa.binary())], names=schema.names)
+            fps = pa.array(simhash(_text.strings(b.column(2))), pa.binary())
+            _text.release()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
