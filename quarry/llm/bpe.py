@@ -87,7 +87,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         planes = a.view(np.uint8).reshape(-1, 4)
         used = max((i + 1 for i in range(4) if planes[:, i].any()), default=1)
         parts += [np.array([len(a), used], "<u4").tobytes(), planes[:, :used].T.tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=9).compress(b"".join(parts))
 
 
 def unpack(blob: bytes, count: int) -> list[np.ndarray]:
@@ -106,7 +106,7 @@ def pack_words(words: list[bytes], numbers: np.ndarray) -> bytes:
     """Words and their ascending numbers."""
     sizes = np.fromiter(map(len, words), "<u4", len(words))
     steps = np.diff(numbers, prepend=0).astype("<u4")
-    return zstandard.ZstdCompressor(level=6).compress(np.uint32(len(words)).tobytes() + steps.tobytes() + sizes.tobytes() + b"".join(words))
+    return zstandard.ZstdCompressor(level=12).compress(np.uint32(len(words)).tobytes() + steps.tobytes() + sizes.tobytes() + b"".join(words))
 
 
 def unpack_words(blob: bytes) -> tuple[list[bytes], np.ndarray]:
