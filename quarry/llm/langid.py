@@ -1,9 +1,11 @@
 """Language identification of mixed-language text.
 
-1. A word is a maximal run of letters of one script; the script, found from
-   ranges of code points, narrows the candidates to the languages of the model
-   that are written in it.  A script without a language in the model gives
-   ``und-Cyrl`` and the like.
+1. A word is a maximal run of letters of one script.  Every letter has one,
+   from ranges of code points or Unicode's property; letters that Unicode gives
+   no script of their own take that of the letters they stand at, or ``Zzzz``.
+   The script narrows the candidates to the languages of the model that have at
+   least SHARE of their training words in it, or most of them.  A script without
+   a language in the model gives ``und-Cyrl`` and the like.
 2. Each candidate scores the word by the log-probabilities of its hashed
    character trigrams; ``und`` scores a constant a letter, a little below what
    any language gives its own text.  A word's scores differ by at most CLIP.
@@ -31,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,8 @@ SAMPLE = 2000
 BUCKETS = 1 << 16
 PENALTY, CLIP, SLACK = 12.0, 6.0, 2.5
 NEVER = -1000.0
+#: Of a language's training words in a script, for it to be a candidate there.
+SHARE = 0.1
 
 #: (name, ranges of code points); of the Latin ranges only letters count.
 SCRIPTS = (
@@ -60,17 +65,37 @@ SCRIPTS = (
     ("Kana", ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F))),
     ("Hani", ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))),
 )
+#: Scripts of which letters and marks count by Unicode's property; Hira is one with Kana.
+OTHERS = """Adlm Aghb Ahom Armi Avst Bali Bamu Bass Batk Berf Bhks Bopo Brah Brai Bugi Buhd Cakm Cans Cari Cham Cher Chrs Copt Cpmn
+Cprt Diak Dogr Dsrt Dupl Egyp Elba Elym Gara Glag Gong Gonm Goth Gran Gujr Gukh Guru Hano Hatr Hluw Hmng Hmnp Hung Ital Java Jurc Kali
+Kawi Khar Khmr Khoj Kits Knda Krai Kthi Lana Laoo Lepc Limb Lina Linb Lisu Lyci Lydi Mahj Maka Mand Mani Marc Medf Mend Merc Mero
+Miao Mlym Modi Mong Mroo Mtei Mult Mymr Nagm Nand Narb Nbat Newa Nkoo Nshu Ogam Olck Onao Orkh Orya Osge Osma Ougr Palm Pauc Pcun Perm
+Phag Phli Phlp Phnx Prti Rjng Rohg Runr Samr Sarb Saur Seal Sgnw Shaw Shrd Sidd Sidt Sind Sinh Sogd Sogo Sora Soyo Sund Sunu Sylo Syrc
+Tagb Takr Tale Talu Tang Tavt Tayo Telu Tfng Tglg Thaa Tibt Tirh Tnsa Todr Tols Toto Tutg Ugar Vaii Vith Wara Wcho Xpeo Xsux Yezi
+Yiii Zanb""".split()
+NAMES = (*(name for name, _ in SCRIPTS), *OTHERS, "Zzzz")
 _TABLE: list[np.ndarray] = []
 
 
 def script_table() -> np.ndarray:
-    """Number of the script of each code point, from 1; 0 where it has none."""
+    """Number of the script of each code point, from 1; 0 where it is neither a letter nor a script's mark."""
     if not _TABLE:
         kind = _text.class_tables()[0]
         table = np.zeros(0x110000, np.uint8)
         for n, (_, ranges) in enumerate(SCRIPTS, 1):
             for lo, hi in ranges:
                 table[lo : hi + 1] = np.where((kind[lo : hi + 1] == 1) | ((n > 1) & ((kind[lo : hi + 1] & 6) == 0)), n, 0)
+        marks = np.zeros(0x110000, bool)
+        marks[[ord(m) for m in regex.findall(r"\p{M}", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))]] = True
+        rest = "".join(map(chr, np.flatnonzero(((kind == 1) | marks) & (table == 0)).tolist()))
+        for code in (*NAMES[:-1], "Hira"):
+            try:
+                found = regex.findall(rf"\p{{Script={code}}}", rest)
+            except regex.error:  # a script that an older library doesn't know
+                continue
+            at = np.fromiter(map(ord, found), np.int64, len(found))
+            table[at[(code != "Latn") | (kind[at] == 1)]] = NAMES.index("Kana" if code == "Hira" else code) + 1
+        table[(kind == 1) & (table == 0)] = len(NAMES)
         _TABLE.append(table)
     return _TABLE[0]
 
@@ -89,9 +114,23 @@ class Model:
         return self.table.shape[1]
 
 
+def adopt(script: np.ndarray, offsets: np.ndarray) -> None:
+    """Give runs of letters without a script of their own that of the letter before them in their document, or else after them."""
+    odd = np.flatnonzero(script == len(NAMES))
+    if not len(odd):
+        return
+    first = np.concatenate([[True], (np.diff(odd) > 1) | np.isin(odd[1:], offsets)])
+    start, end = odd[first], odd[np.append(first[1:], True)] + 1
+    before = np.where(np.isin(start, offsets), 0, script[start - 1])
+    after = np.where(np.isin(end, offsets), 0, script[np.minimum(end, len(script) - 1)])
+    own = np.where(before > 0, before, np.where(after > 0, after, len(NAMES)))
+    script[odd] = np.repeat(own, end - start)
+
+
 def word_runs(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, document and script of the words."""
     script = script_table()[cps]
+    adopt(script, offsets)
     cut = np.ones(len(cps), bool)
     cut[1:] = script[1:] != script[:-1]
     cut[offsets[:-1][offsets[:-1] < len(cps)]] = True
@@ -119,7 +158,7 @@ def trigrams(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 # --- the model
 def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(counts by bucket, counts of words by script)."""
-    counts, scripts = np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)
+    counts, scripts = np.zeros(BUCKETS, np.int64), np.zeros(len(NAMES) + 1, np.int64)
     for lo, hi in _text.slices(texts):
         cps, offsets = _text.code_points(texts[lo:hi])
         start, end, _, script = word_runs(cps, offsets)
@@ -133,19 +172,20 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """A model from trigram and script counts by language."""
     langs = sorted(k for k, (c, _) in counts.items() if c.sum())
     table = np.zeros((BUCKETS, len(langs)), np.float32)
-    own, floor = {}, 0.0
+    own: dict[str, set[int]] = {}
+    floor = 0.0
     for i, lang in enumerate(langs):
         c, s = counts[lang]
         p = (c + 0.1) / (c.sum() + 0.1 * BUCKETS)
         table[:, i] = np.log(p)
         floor = min(floor, float((c * np.log(p)).sum() / c.sum()))
-        own[lang] = int(np.argmax(s))
-    bare = [n for n in range(1, len(SCRIPTS) + 1) if n not in own.values()]
-    states = (*langs, *(f"und-{SCRIPTS[n - 1][0]}" for n in bare), "und")
-    allowed = np.zeros((len(SCRIPTS) + 1, len(states)), bool)
+        own[lang] = {int(np.argmax(s)), *np.flatnonzero(s >= max(1, SHARE * s.sum())).tolist()}
+    bare = [n for n in range(1, len(NAMES) + 1) if n not in set().union(*own.values())]
+    states = (*langs, *(f"und-{NAMES[n - 1]}" for n in bare), "und")
+    allowed = np.zeros((len(NAMES) + 1, len(states)), bool)
     allowed[:, -1] = True
     for i, lang in enumerate(langs):
-        allowed[own[lang], i] = True
+        allowed[sorted(own[lang]), i] = True
     for i, n in enumerate(bare):
         allowed[n, len(langs) + i] = True
         allowed[n, -1] = False
@@ -177,7 +217,7 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", doc_id: str =
     counted = rows.mapInArrow(count, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, kind, bucket, n = (counted.column(i).to_numpy(zero_copy_only=False) for i in range(4))
     for name in sorted(set(lang.tolist())):
-        c, s = np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)
+        c, s = np.zeros(BUCKETS, np.int64), np.zeros(len(NAMES) + 1, np.int64)
         for k, values in ((0, c), (1, s)):
             mine = (lang == name) & (kind == k)
             values[bucket[mine]] = n[mine]
@@ -201,7 +241,7 @@ def word_scores(model: Model, cps: np.ndarray, start: np.ndarray, end: np.ndarra
         table = model.table if len(known) == model.languages else model.table[:, known]
         s[:, : len(known)] = np.add.reduceat(table[bucket], begin, axis=0)
     s[:, states == len(model.states) - 1] = (model.floor * (end - start))[:, None]
-    allowed = model.allowed[script][:, states]
+    allowed = model.allowed[:, states][script]
     s[~allowed] = -np.inf
     top = s.max(axis=1, keepdims=True)
     s = np.maximum(s - top, -CLIP)

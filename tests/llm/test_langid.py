@@ -69,6 +69,41 @@ def test_scripts(model):
     assert states("한국어 नमस्ते") == ["und-Hang", "und-Deva"]
 
 
+TELUGU, ENGLISH = "ఇది తెలుగు భాషలో రాసిన వాక్యం మరియు దీనికి పదాలు ఉన్నాయి", "the quick brown fox jumps over the lazy dog and runs away"
+
+
+def test_every_letter_has_a_script(model):
+    kind, table = g._text.class_tables()[0], g.script_table()
+    assert (table[kind == 1] > 0).all() and len(set(g.NAMES)) == len(g.NAMES) < 256
+    for text, name in (("తెలుగు", "Telu"), ("ಕನ್ನಡ", "Knda"), ("മലയാളം", "Mlym"), ("ગુજરાતી", "Gujr"), ("ਪੰਜਾਬੀ", "Guru"), ("ଓଡ଼ିଆ", "Orya"), ("සිංහල", "Sinh"), ("ខ្មែរ", "Khmr"), ("ລາວ", "Laoo"), ("မြန်မာ", "Mymr"), ("བོད", "Tibt"), ("ᠮᠣᠩᠭᠣᠯ", "Mong"), ("𝔘𝔫𝔦", "Zzzz")):
+        [(_, _, start, end, words, state)] = g.label(model, [text])
+        assert ([model.states[s] for s in state], start.tolist(), end.tolist(), words.tolist()) == ([f"und-{name}"], [0], [len(text)], [1])
+    # what has no script of its own joins the letters beside it, but not those of another document
+    cps, offsets = g._text.code_points(["Hawaiʻi ʻokina", "ʻ", "a𝔘", "𝔘"])
+    start, end, doc, script = g.word_runs(cps, offsets)
+    assert (end - start).tolist() == [7, 6, 1, 2, 1] and doc.tolist() == [0, 0, 1, 2, 3]
+    assert [g.NAMES[n - 1] for n in script] == ["Latn", "Latn", "Zzzz", "Latn", "Zzzz"]
+
+
+def test_languages_of_other_scripts_are_learned_and_kept(spark):
+    rows = [(i, f"{TELUGU} {i}", "te") for i in range(20)] + [(20 + i, f"{ENGLISH} {i}", "en") for i in range(20)] + [(40, TELUGU + " dog", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = g.train(docs)
+    assert model.states[:2] == ("en", "te")
+    assert {(r.doc_id, r.lang) for r in g.spans(docs.where("lang = 'te'"), model).collect()} == {(i, "te") for i in range(20)}
+    assert g.keep_identified(docs, model).count() == 41
+    # without its language, a text almost wholly in Telugu is not English
+    english = g.train(docs.where("lang = 'en'"))
+    assert not g.keep_identified(docs.where("doc_id = 40"), english).count()
+
+
+def test_language_of_two_scripts(spark):
+    rows = [(i, "ово је српски језик" if i % 4 else "ovo je srpski jezik", "sr") for i in range(20)]
+    model = g.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for text in ("ово је српски језик", "ovo je srpski jezik"):
+        assert [model.states[s] for *_, state in g.label(model, [text]) for s in state] == ["sr"]
+
+
 def test_edges(docs_of, model, edge_texts, clashing):
     df = clashing(docs_of(edge_texts, 3))
     got = {}
