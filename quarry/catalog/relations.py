@@ -15,15 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, host, url_key, url_length, title, h1, meta, text) of all pages."""
-    parsed = ib.with_url_columns(ht.parse_pages(table(spark, sf_dir, "pages")))
+    """(page_id, url, host, url_key, url_length, title, h1, meta, text) of all pages, with their whole texts."""
+    parsed = ib.with_url_columns(ht.parse_pages(table(spark, sf_dir, "pages"), most=ht.UNBOUNDED))
     return parsed.select("page_id", "url", "host", "url_key", "url_length", "title", "h1", "meta", "text")
 
 
 def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with what links need of them."""
     p = table(spark, sf_dir, "pages")
-    return ib.with_url_columns(p).select("page_id", "host", "url_key", ht.title(ht.visible(p["html"])).alias("title"))
+    return ib.with_url_columns(p).select("page_id", "host", "url_key", ht.title(ht.visible(p["html"]), ht.UNBOUNDED).alias("title"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:

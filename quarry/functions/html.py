@@ -16,6 +16,8 @@ from quarry.functions import text as tx
 from quarry.functions import url as ur
 
 LONG_TEXT = 100_000
+#: As many bytes as no string has.
+UNBOUNDED = (1 << 31) - 1
 MOST_TITLE = MOST_H1 = 400
 _ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
 
@@ -68,18 +70,18 @@ def tag_content(shown: Column, tag: str) -> Column:
     return F.regexp_extract(shown, rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
 
 
-def title(shown: Column) -> Column:
-    return clean(tag_content(shown, "title"))
+def title(shown: Column, most: int = LONG_TEXT) -> Column:
+    return clean(tag_content(shown, "title"), most)
 
 
-def h1(shown: Column) -> Column:
-    return clean(tag_content(shown, "h1"))
+def h1(shown: Column, most: int = LONG_TEXT) -> Column:
+    return clean(tag_content(shown, "h1"), most)
 
 
-def meta_description(shown: Column) -> Column:
+def meta_description(shown: Column, most: int = LONG_TEXT) -> Column:
     """The content of the first meta tag that names a description; the quotes go when it is trimmed."""
     tag = F.regexp_extract(shown, r'(<meta[^>]*description"[^>]*)>', 1)
-    return clean(F.regexp_extract(tag, r"content=(.*)", 1))
+    return clean(F.regexp_extract(tag, r"content=(.*)", 1), most)
 
 
 def body_text(shown: Column, most: int = LONG_TEXT) -> Column:
@@ -103,9 +105,9 @@ def is_captcha(body: Column) -> Column:
 
 
 def parse_pages(df: DataFrame, html: str = "html", most: int = LONG_TEXT) -> DataFrame:
-    """df with title, h1, meta, text, encoding and should_insert; columns of these names are replaced."""
+    """df with title, h1, meta, text, encoding and should_insert; columns of these names are replaced. ``most`` as in ``clean``; text is cut there."""
     out = df.withColumn("__shown", visible(F.col(html)))
-    out = out.withColumns({"title": title(F.col("__shown")), "h1": h1(F.col("__shown")), "meta": meta_description(F.col("__shown")), "text": body_text(F.col("__shown"), most), "encoding": encoding(F.col(html))}).drop("__shown")
+    out = out.withColumns({"title": title(F.col("__shown"), most), "h1": h1(F.col("__shown"), most), "meta": meta_description(F.col("__shown"), most), "text": body_text(F.col("__shown"), most), "encoding": encoding(F.col(html))}).drop("__shown")
     return out.withColumn("should_insert", should_insert())
 
 

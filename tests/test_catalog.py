@@ -42,6 +42,29 @@ def test_as_sql(spark, duck, sf_dir, name):
     assert normal(got) == normal(want)
 
 
+@pytest.fixture(scope="module")
+def long_pages(spark, sf_dir, tmp_path_factory):
+    """Pages of which one has over 100,000 characters of body text, with a word and an entity behind them, and one such a title."""
+    folder = tmp_path_factory.mktemp("long")
+    pages = pd.read_parquet(f"{sf_dir}/pages.parquet").head(20)
+    body = "word&amp;sign " * 15_000 + "lastword &copy; end"
+    pages.loc[3, "html"] = f"<html><title>long page</title><body><h1>h</h1><p>{body}</p></body></html>"
+    pages.loc[4, "html"] = f"<html><title>{'a&amp;b ' * 20_000}lasttitle</title><body><h1>h</h1><p>text</p></body></html>"
+    pages.to_parquet(f"{folder}/pages.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["htm1_pages", "rnk1_url_index"])
+def test_long_pages_are_whole(spark, long_pages, name):
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW pages AS SELECT * FROM '{long_pages}/pages.parquet'")
+        want = c.execute(SQL[name]).df()
+    got = QUERIES[name](spark, long_pages).toPandas()
+    assert normal(got) == normal(want)
+    whole = got.to_csv()
+    assert "lastword" in whole and "lasttitle" in whole
+
+
 def test_queries_without_sql(spark, sf_dir):
     from tests.test_hashing import one
 
