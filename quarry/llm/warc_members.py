@@ -12,10 +12,13 @@ piece of PIECE bytes is held.  Output files are written under a name of the
 attempt and then renamed; a repeated task replaces them by equal ones.
 
 Each file gives NAME (the members), NAME.idx (a line of JSON for each record) and
-rows of the index.  Defined results: a record that is cut off, or whose header is
-not one, ends its file: what came before is kept, and a last index row without
-offset has status ``truncated`` or ``malformed``; a corrupt stream counts as
-truncated.  A file of no bytes has no rows and gives no files (Spark lists none such).  Records of length 0 are members too, and
+rows of the index.  Defined results: for a record that is cut off, or whose header
+is not one or has a length at which no record ends, there is an index row without
+offset of status ``truncated`` or ``malformed``, and reading goes on at the next
+line after its beginning that starts with ``WARC/1.``; a gzip member that is corrupt
+or cut off counts as truncated, and reading goes on at the next gzip magic; records
+that came whole before its check sum failed stay.  Raw offsets count what could be
+inflated.  A file of no bytes has no rows and gives no files (Spark lists none such).  Records of length 0 are members too, and
 repeated records are kept.  ``write_monolithic`` writes a row whose html is null as
 an empty payload and a null url as an empty one.
 """
@@ -40,54 +43,109 @@ SCHEMA = "file string, record long, offset long, length long, raw_offset long, r
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 #: A header longer than this is none.
 MOST_HEADER = 1 << 20
+MAGIC, MARK = b"\x1f\x8b\x08", b"WARC/1."
 
 
 class Broken(Exception):
     """A stream that does not go on as WARC; args[0] is the status."""
 
 
-def inflate(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The content of all gzip members of a stream, in pieces."""
-    engine, started = zlib.decompressobj(31), False
-    for data in pieces:
-        while data:
-            started = True
+def inflate(pieces: Iterator[bytes]) -> Iterator[bytes | None]:
+    """The content of all gzip members of a stream, in pieces; None for a gap, where a member is corrupt or cut off. It goes on at the next gzip magic."""
+    pieces, engine, data, lost, gap = filter(None, pieces), zlib.decompressobj(31), b"", False, False
+    past = b""  # what the open member took of the stream, PIECE bytes at most: a corrupt one may have run into the next
+    while True:
+        if not data or (lost and MAGIC not in data):
+            more = next(pieces, None)
+            if more is not None:
+                data = data[-2:] + more
+                continue
+            if lost or not past:
+                return
             try:
-                out = engine.decompress(data, PIECE)
-            except zlib.error as e:
-                raise Broken("truncated") from e
-            if out:
-                yield out
-            if engine.eof:
-                data, engine, started = engine.unused_data.lstrip(b"\0"), zlib.decompressobj(31), False
-            else:
-                data = engine.unconsumed_tail
-    if started:
-        rest = engine.flush()
-        if rest:
-            yield rest
-        if not engine.eof:
-            raise Broken("truncated")
+                rest = engine.flush()
+            except zlib.error:
+                rest = b""
+            if rest:
+                yield rest
+            if rest or not gap:
+                yield None
+            data, past, lost, gap = past[1:], b"", True, True
+            continue
+        if lost:
+            data, engine, lost = data[data.find(MAGIC) :], zlib.decompressobj(31), False
+        try:
+            out = engine.decompress(data, PIECE)
+        except zlib.error:
+            if not gap:
+                yield None
+            data, past, lost, gap = (past + data)[1:], b"", True, True
+            continue
+        if out:
+            yield out
+            gap = False
+        if engine.eof:
+            data, past, engine = engine.unused_data.lstrip(b"\0"), b"", zlib.decompressobj(31)
+        else:
+            rest = engine.unconsumed_tail
+            past, data = (past + data[: len(data) - len(rest)])[-PIECE:], rest
 
 
 class Buffer:
     """Reads a stream of pieces by separators and by counts."""
 
     def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.held, self.place = pieces, bytearray(), 0
-        self.broken: Broken | None = None
+        self.sources, self.held, self.place = [pieces], bytearray(), 0
+        self.broken: Broken | None = None  # set at a gap, until ``skip`` goes past it
 
     def more(self) -> bool:
-        if self.broken:
-            return False
-        try:
-            piece = next(self.pieces, None)
-        except Broken as e:
-            self.broken, piece = e, None
-        if piece is None:
-            return False
-        self.held += piece
-        return True
+        while self.sources and not self.broken:
+            piece = next(self.sources[-1], b"")
+            if piece is None:
+                self.broken = Broken("truncated")
+            elif piece:
+                self.held += piece
+                return True
+            else:
+                self.sources.pop()
+        return False
+
+    def back(self, pieces: Iterator[bytes], size: int) -> None:
+        """Put pieces of together ``size`` bytes before what is still to be read."""
+        self.sources += [iter([None])] if self.broken else []
+        self.sources += [iter([bytes(self.held)])] if self.held else []
+        self.sources.append(pieces)
+        self.held, self.broken = bytearray(), None
+        self.place -= size
+
+    def drop(self, n: int) -> None:
+        del self.held[:n]
+        self.place += n
+
+    def ended(self) -> bool:
+        """Whether a record can end here: before a blank line, another record, or nothing."""
+        while len(self.held) < 5 and self.more():
+            pass
+        return self.held[:2] in (b"", b"\r", b"\r\n") or self.held[:1] == b"\n" or self.held.startswith(b"WARC/"[: len(self.held)])
+
+    def skip(self) -> None:
+        """Go to the next line, but not this one, that starts with WARC/1., or past a gap to one; else to the end."""
+        begins = False
+        while True:
+            if begins and self.held.startswith(MARK):
+                return
+            at = self.held.find(b"\n" + MARK)
+            if at >= 0:
+                return self.drop(at + 1)
+            if len(self.held) > len(MARK):
+                self.drop(len(self.held) - len(MARK))
+                begins = False
+            if self.more():
+                continue
+            self.drop(len(self.held))
+            if not self.broken:
+                return
+            self.broken, begins = None, True
 
     def header(self) -> bytes | None:
         """Up to and with the next blank line; None at the end."""
@@ -133,7 +191,7 @@ def members(pieces: Iterator[bytes], level: int = LEVEL) -> Iterator[tuple[bytes
     """Pieces of the normalised file; the last piece of a record comes with its index entry."""
     source, offset, number = Buffer(inflate(pieces)), 0, 0
     while True:
-        begin = source.place
+        head = None
         try:
             head = source.header()
             if head is None:
@@ -142,21 +200,32 @@ def members(pieces: Iterator[bytes], level: int = LEVEL) -> Iterator[tuple[bytes
                 return
             begin = source.place - len(head)
             f = fields(head)
-            if not f.get("content-length", "").isdecimal():
+            if b"\n" + MARK in head or not f.get("content-length", "").isdecimal():  # a header without its blank line ran into the next
                 raise Broken("malformed")
             size = int(f["content-length"])
         except Broken as e:
-            yield b"", {"record": number, "raw_offset": begin, "status": e.args[0]}
-            return
+            if head:
+                source.back(iter([head]), len(head))
+            yield b"", {"record": number, "raw_offset": source.place, "status": e.args[0]}
+            number += 1
+            source.skip()
+            continue
         # A member is given out only when its record is whole; a large one waits as compressed pieces.
         engine = zlib.compressobj(level, zlib.DEFLATED, 31)
         out = [engine.compress(head)]
         try:
             for piece in source.take(size):
                 out.append(engine.compress(piece))
+            if not source.ended():
+                raise Broken("malformed")
         except Broken as e:
             yield b"", {"record": number, "raw_offset": begin, "status": e.args[0]}
-            return
+            number += 1
+            # What its length took in may hold other records.
+            out.append(engine.flush())
+            source.back(inflate(iter(out)), source.place - begin)
+            source.skip()
+            continue
         out += [engine.compress(b"\r\n\r\n"), engine.flush()]
         member = b"".join(out)
         yield member, {"record": number, "offset": offset, "length": len(member), "raw_offset": begin, "raw_length": len(head) + size, "type": f.get("warc-type"), "uri": f.get("warc-target-uri"), "id": f.get("warc-record-id"), "status": "ok"}

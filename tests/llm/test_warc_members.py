@@ -57,6 +57,33 @@ def test_cut_stream(cut, status):
     assert "offset" not in index[-1]
 
 
+@pytest.mark.parametrize("piece", [None, 1, 7919])
+def test_records_after_a_bad_one_are_kept(piece):
+    a, b, c = (rec(t, f"http://a.example/{t[:1].decode()}") for t in (b"abc", b"b" * 300, b"c" * 70))
+    wrong = {
+        "malformed": (b"WARC/1.0\r\nA: b\r\n\r\nbody\r\n\r\n", b"HTTP/1.1 200 OK\r\n\r\n", b"WARC/1.0\r\nno blank line\r\n", b"WARC/1.0\r\nContent-Length: 2\r\n\r\nmore than two\r\n\r\n", b"WARC/1.0\r\nContent-Length: 90\r\n\r\nshort\r\n\r\n"),
+        "truncated": (b"WARC/1.0\r\nContent-Length: 99999\r\n\r\nshort\r\n\r\n",),
+    }
+    for status, bads in wrong.items():
+        for bad in bads:
+            out, index = normalised(gzip.compress(a + bad + b + c), piece)
+            assert [e["status"] for e in index] == ["ok", status, "ok", "ok"] and gzip.decompress(out) == a + b + c
+            assert [e["record"] for e in index] == [0, 1, 2, 3] and [e["raw_offset"] for e in index] == [0, len(a), len(a + bad), len(a + bad + b)]
+            assert all(gzip.decompress(out[e["offset"] : e["offset"] + e["length"]]) in (b, c) for e in index[2:])
+
+
+@pytest.mark.parametrize("piece", [None, 1, 7919])
+def test_members_after_a_corrupt_one_are_kept(piece):
+    a, b, c = rec(b"abc"), rec(os.urandom(30_000)), rec(b"c" * 70)
+    good = gzip.compress(b)
+    flipped, header = bytearray(good), bytearray(good)
+    flipped[2000] ^= 255  # found by its check sum
+    header[2] = 9
+    for bad in (*([] if piece == 1 else [bytes(flipped)]), bytes(header), good[:5000], b"no gzip at all"):
+        out, index = normalised(gzip.compress(a) + bad + gzip.compress(c) + gzip.compress(a), piece)
+        assert gzip.decompress(out) == a + c + a and [e["status"] for e in index] == ["ok", "truncated", "ok", "ok"]
+
+
 def test_cut_record_bad_header_and_corruption():
     good = rec(b"abc")
     for bad, status in ((b"WARC/1.0\r\nContent-Length: 100\r\n\r\nshort", "truncated"), (b"HTTP/1.1 200 OK\r\n\r\n", "malformed"), (b"WARC/1.0\r\nContent-Length: many\r\n\r\n", "malformed"), (b"WARC/1.0\r\nA: b\r\n\r\n", "malformed")):
