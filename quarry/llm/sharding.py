@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm import _shared
 from quarry.llm._text import mix64
 
 SHARDS, SHARDS_AFTER = 1000, 1200
@@ -68,8 +69,13 @@ def write_shards(df: DataFrame, key: str, shards: int, path: str) -> None:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars")
-    return plan_growth(docs, "doc_id", SHARDS, SHARDS_AFTER)
+    """All documents written to their shards, whole, and the plan of growth of what the shards hold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = _shared.new_path(spark, "shards")
+    write_shards(docs, "doc_id", SHARDS, path)
+    placed = spark.read.schema(T.StructType([*docs.schema, T.StructField("shard", T.IntegerType())])).parquet(path)
+    placed = placed.select("doc_id", "source", "n_chars", F.when(F.col("doc_id").isNotNull(), F.col("shard")).alias("shard"))
+    return placed.withColumn("shard_after", shard_of(placed, "doc_id", SHARDS_AFTER)).withColumn("moved", F.col("shard") != F.col("shard_after"))
 
 
 def _sql() -> str:

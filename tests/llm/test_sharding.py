@@ -61,3 +61,16 @@ def test_write(spark, docs_of, tmp_path):
     assert back.count() == 51
     for r in back.collect():
         assert r["shard"] == (0 if r.doc_id is None else one(int(mix64(np.array([r.doc_id]))[0]), 4))
+
+
+def test_query_writes_whole_documents(spark, sf_dir, monkeypatch, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    monkeypatch.setattr("quarry.llm._shared.new_path", lambda *_: path)
+    got = s.query(spark, sf_dir).collect()
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    back = spark.read.parquet(path)
+    assert sorted(map(str, back.select(*documents.columns).collect())) == sorted(map(str, documents.collect()))
+    want = duckdb.sql(s.SQL.replace("FROM documents", f"FROM '{sf_dir}/documents.parquet'")).fetchall()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert {(r.doc_id, r["shard"]) for r in got} == {(r.doc_id, r["shard"]) for r in back.collect()}
