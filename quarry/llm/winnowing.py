@@ -5,12 +5,18 @@ these gets a 63-bit rolling hash; of every window of w consecutive hashes the
 least is chosen, the rightmost of equals, and each chosen k-gram is kept once
 with its position.  Hence (Schleimer, Wilkerson and Aiken) two documents that
 share w + k - 1 letters and digits in a row share a fingerprint, and none is
-shared by less than k.
-
-Defined results: a null or empty text, and one of fewer than k letters and
-digits, has no fingerprints; one of fewer than w k-grams forms a single window.
-A repeated row is fingerprinted each time.  Other columns are passed by unless
-``carry`` names them.  Nothing is shuffled.
+shared by less than k, but for whole texts: one of fewer than k letters and
+digits is a single gram (the hash of its letters with zeros up to k, which no
+other text has), so that copies of short texts share it too.  With the default
+K and W a shared passage of 79 letters and digits is always found.
+
+Defined results, by row: a null or empty text, and one without letters or digits,
+has no fingerprints; one of fewer than w k-grams forms a single window.  A very
+long text is processed whole.  Of equal hashes in a window the rightmost is
+chosen.  A repeated row is fingerprinted each time, and a null in any other
+column changes nothing.  An empty table gives no rows.  Other columns are passed
+by unless ``carry`` names them; their names may be any, also those used inside,
+but a carried column must not be called pos or fp.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import types as T
 
 from quarry.llm import _shared, _text
 
-K, W = 50, 100
+K, W = 30, 50
 #: Multiplier of the rolling hash, modulo 2**64.
 B = 6364136223846793005
 
@@ -88,7 +94,16 @@ def fingerprints(texts: list[str], k: int = K, w: int = W) -> tuple[np.ndarray,
         chosen[edges[i] + grams[i] - 1 - np.argmin(part[::-1])] = True
     at = np.flatnonzero(chosen)
     doc = np.searchsorted(edges, at, side="right") - 1
-    return doc, place[at] - offsets[doc], h[at].astype(np.int64)
+    found = h[at]
+    short = np.flatnonzero((grams <= 0) & (np.diff(edges) > 0))
+    if len(short):  # each whole text is one gram
+        steps = np.array([pow(B, k - 1 - j, 1 << 64) for j in range(k - 1)], np.uint64)
+        whole = [(fold[cps[place[a:b]]].astype(np.uint64) * steps[: b - a]).sum(dtype=np.uint64) for a, b in zip(edges[short].tolist(), edges[short + 1].tolist(), strict=True)]
+        at, doc = np.concatenate([at, edges[short]]), np.concatenate([doc, short])
+        found = np.concatenate([found, _text.mix64(np.array(whole, np.uint64)) >> np.uint64(1)])
+        order = np.argsort(doc, kind="stable")
+        at, doc, found = at[order], doc[order], found[order]
+    return doc, place[at] - offsets[doc], found.astype(np.int64)
 
 
 def winnow(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), k: int = K, w: int = W) -> DataFrame:
@@ -114,29 +129,23 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    m = "18446744073709551616::UHUGEINT"
+    """One running sum of terms value * B**-i gives all k-grams: that of a frame of K rows, times B**(i + K - 1)."""
+    low = f"{(1 << 64) - 1}::UHUGEINT"
     power = lambda n: f"{pow(B, n, 1 << 64)}::UHUGEINT"
-    steps, size = [], 1
-    while size * 2 <= K:
-        steps.append(f"d{size * 2} AS (SELECT *, (h{size} * {power(size)} + lead(h{size}, {size}) OVER o) % {m} AS h{size * 2} FROM d{size} WINDOW o AS (PARTITION BY doc_id ORDER BY i))")
-        size *= 2
-    parts = [1 << b for b in range(K.bit_length()) if K >> b & 1]
-    length, name, last = parts[0], f"h{parts[0]}", f"d{size}"
-    for p in parts[1:]:
-        steps.append(f"c{length + p} AS (SELECT *, (h{p} * {power(length)} + lead({name}, {p}) OVER o) % {m} AS g{length + p} FROM {last} WINDOW o AS (PARTITION BY doc_id ORDER BY i))")
-        length += p
-        name, last = f"g{length}", f"c{length}"
-    x = f"{name}::UBIGINT"
-    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        steps.append(f"m{shift} AS (SELECT doc_id, i, pos, n, ((xor({x}, ({x}) >> {shift}))::UHUGEINT * {by}::UHUGEINT % {m})::UBIGINT AS x{shift} FROM {last}{f' WHERE i <= n - {K}' if shift == 30 else ''})")
-        x, last = f"x{shift}", f"m{shift}"
-    return f"""WITH chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM documents WHERE text <> ''),
-d1 AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, unicode(lower(c))::UHUGEINT AS h1 FROM chars WHERE regexp_matches(c, '[\\p{{L}}\\p{{N}}]')),
-{", ".join(steps)},
-f AS (SELECT doc_id, i, pos, n, xor({x}, ({x}) >> 31) >> 1 AS fp FROM {last}),
-v AS (SELECT doc_id, i, n, min(fp::UHUGEINT * 4294967296::UHUGEINT + (4294967295 - i)::UHUGEINT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS best FROM f),
-b AS (SELECT DISTINCT doc_id, 4294967295 - (best % 4294967296::UHUGEINT)::BIGINT AS i FROM v WHERE i <= greatest(n - {K + W - 1}, 0))
-SELECT f.doc_id, f.pos::BIGINT AS pos, f.fp::BIGINT AS fp FROM f JOIN b ON f.doc_id = b.doc_id AND f.i = b.i"""
+    table = lambda name, i, end, step: f"{name} AS (SELECT 0 AS {i}, 1::UHUGEINT AS {i}_up, 1::UHUGEINT AS {i}_down UNION ALL SELECT {i} + 1, ({i}_up * {power(step)}) & {low}, ({i}_down * {power(-step)}) & {low} FROM {name} WHERE {i} < {end})"
+    return f"""WITH RECURSIVE chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM documents WHERE text <> ''),
+kept AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, unicode(lower(c)) AS v FROM chars WHERE regexp_matches(c, '[\\p{{L}}\\p{{N}}]')),
+{table("small", "a", 1023, 1)}, {table("large", "b", "(SELECT max(n) // 1024 FROM kept)", 1024)},
+powers AS (SELECT b * 1024 + a AS i, (a_up * b_up) & {low} AS up, (a_down * b_down) & {low} AS down FROM small, large),
+terms AS (SELECT doc_id, pos, i, n, up, ((v::UHUGEINT * down) & {low})::HUGEINT AS t FROM kept JOIN powers USING (i)),
+sums AS (SELECT doc_id, pos, i, n, up, (sum(t) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {K - 1} FOLLOWING))::UHUGEINT & {low} AS s FROM terms),
+grams AS (SELECT doc_id, pos, i, n, (((s * up) & {low}) * {power(K - 1)}) & {low} AS h FROM sums WHERE i <= greatest(n - {K}, 0)),
+m1 AS (SELECT doc_id, pos, i, n, (xor(h, h >> 30) * {0xBF58476D1CE4E5B9}::UHUGEINT) & {low} AS h FROM grams),
+m2 AS (SELECT doc_id, pos, i, n, (xor(h, h >> 27) * {0x94D049BB133111EB}::UHUGEINT) & {low} AS h FROM m1),
+f AS (SELECT doc_id, pos::BIGINT AS pos, i, n, (xor(h, h >> 31) >> 1)::BIGINT AS fp FROM m2),
+v AS (SELECT doc_id, i, n, min(fp::HUGEINT * 4294967296 + 4294967295 - i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS best FROM f),
+b AS (SELECT DISTINCT doc_id, 4294967295 - (best % 4294967296)::BIGINT AS i FROM v WHERE i <= greatest(n - {K + W - 1}, 0))
+SELECT doc_id, pos, fp FROM f SEMI JOIN b USING (doc_id, i)"""
 
 
 SQL = _sql()

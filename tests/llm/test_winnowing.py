@@ -25,10 +25,13 @@ def brute(text, k, width):
         for _, c in kept[i : i + k]:
             h = (h * w.B + ord(c)) % (1 << 64)
         hashes.append(mix64(h) >> 1)
+    if 0 < len(kept) < k:
+        whole = sum(ord(c) * pow(w.B, k - 1 - j, 1 << 64) for j, (_, c) in enumerate(kept))
+        return [(kept[0][0], mix64(whole % (1 << 64)) >> 1)]
     chosen = set()
     for a in range(max(1, len(hashes) - width + 1) if hashes else 0):
         part = hashes[a : a + width]
-        chosen.add(a + max(i for i, h in enumerate(part) if h == min(part)))
+        chosen.add(a + len(part) - 1 - part[::-1].index(min(part)))
     return [(kept[i][0], hashes[i]) for i in sorted(chosen)]
 
 
@@ -69,13 +72,28 @@ def test_edges(docs_of, edge_texts, clashing):
     for r in rows:
         got.setdefault(r.doc_id, []).append((r.pos, r.fp))
     for i, t in enumerate(edge_texts):
-        if i != 11:
-            assert sorted(got.get(i, [])) == (brute(t, 5, 8) if len(t or "") < 1000 else sorted(got[i]))
-    assert 0 not in got and 2 not in got and 6 not in got  # null, empty, shorter than k
+        assert sorted(got.get(i, [])) == (brute(t, 5, 8) if t != "x" * 700_000 else [(p, got[12][0][1]) for p in range(7, 700_000 - 4)])
+    assert all(i not in got for i in (0, 2, 4, 5))  # null, empty, blank, without letters
+    assert got[6] == got[7] and len(got[6]) == 1  # shorter than k
     assert got[9] == got[10]  # a repeated row
     assert len(got[12]) == 700_000 - 5 - 8 + 2  # ties throughout a very long text
 
 
+def test_default_parameters_on_a_long_text(docs_of, sentence):
+    """The production K and W, on a text of some 700,000 characters and on short ones."""
+    texts = [sentence(2, 120_000), sentence(3, 400), sentence(4, 3), "Ab1 " * 900]
+    got = {}
+    for r in w.winnow(docs_of(texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.pos, r.fp))
+    assert len(texts[0]) > 600_000 and len(got[0]) > 10_000
+    assert [sorted(got[i]) for i in range(len(texts))] == [brute(t, w.K, w.W) for t in texts]
+
+
+def test_copies_of_short_texts_share():
+    a, b, c = found(["Don't.", "dont", "dont x"], w.K, w.W)
+    assert [h for _, h in a] == [h for _, h in b] != [h for _, h in c]
+
+
 def test_null_ids_and_empty_table(docs_of, sentence, spark):
     assert w.winnow(docs_of([(None, sentence(1, 80))])).first().doc_id is None
     assert w.winnow(docs_of([(1, "x")]).where("false")).count() == 0
@@ -83,8 +101,8 @@ def test_null_ids_and_empty_table(docs_of, sentence, spark):
         w.winnow(docs_of(["a"]), k=0)
 
 
-def test_sql(docs_of, edge_texts):
-    texts = [t for t in edge_texts if len(t or "") < 1000] + ["word " * 60, "Ab1 " * 100]
+def test_sql(docs_of, edge_texts, sentence):
+    texts = [t for t in edge_texts if len(t or "") < 1000] + ["word " * 60, "Ab1 " * 100, "short", sentence(2, 9000)]
     documents = docs_of(texts).toPandas()  # noqa: F841
     want = sorted(duckdb.sql(w.SQL).fetchall())
     assert sorted(tuple(r) for r in w.winnow(docs_of(texts)).collect()) == want and want
