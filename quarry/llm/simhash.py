@@ -8,31 +8,38 @@ stays.
 
 Search over the distinct fingerprints, as May and Ozerov do it:
 
-1. ``repeats`` times the coordinates are permuted.  On the first strip, a list
+1. ``REPEATS`` times the coordinates are permuted.  On the first strip, a list
    is opened for each of many random centres and takes the fingerprints whose
    partial weight there (their distance from the centre on the strip) is low.
    Near fingerprints fall into the same list far more often than others.
-2. Each list is one group of a shuffle.  In its task, a list that is still
-   large is split by random centres on the following strips, again by partial
-   weight, until lists are small.
+2. Each list is split once more, by partial weights from random centres on the
+   next strip.  All lists of a repeat share these centres, so a fingerprint's
+   second-level centres are found once, where its lists are, and travel with it.
 3. Small lists are compared by brute force, with no cap on partners; a list
    passes on a spanning star of each of its components only, so a group of n
-   copies costs n edges and not n * n pairs.
-
-The number of centres follows from the exact binomial probability that two
-fingerprints at distance ``radius`` share a list, so that a pair at the very
-radius is found with probability ``recall`` and nearer ones more surely.  Fixed
-seeds make a run repeatable.
-
-Defined results: a null text, or one without any word, has no fingerprint and
-stays.  Equal doc_ids are told apart by their text; of identical rows one
-stays; null doc_ids come last in the order.  All columns of df are kept.
+   copies costs n edges and not n * n pairs.  A group that fills a small list is
+   taken out of it by a pivot first (see ``compare``), which loses no pair.
+
+``plan`` chooses limits and numbers of centres by the exact law of the whole
+search: the places where a pair differs are split over a repeat's strips
+hypergeometrically, all centres of a strip see the same split, and repeats are
+independent.  A pair at the very radius is found with probability ``recall`` at
+any number of fingerprints, and one at half of it five times as surely (0.99);
+up to LEAF fingerprints are one list, compared whole.  Fixed seeds make a run repeatable.
+
+Defined results: a null or empty text, or one without any word, has no
+fingerprint and stays; a very long text counts whole.  Equal doc_ids are told apart
+by their text; of identical rows one stays; null doc_ids come last in the order;
+nulls in other columns change nothing.  Of equal counts of a bit the least
+feature decides.  An empty table stays empty.  All columns of df are kept, and
+may be named as those used inside.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -46,12 +53,13 @@ from quarry.llm import _shared, _text
 BITS = 256
 RADIUS = 56
 RECALL = 0.95
-REPEATS = 4
-STRIP, INNER_STRIP = 96, 80
-#: Share of all fingerprints that a first-level list takes; for very many fingerprints less, so that a list has LIST of them.
-SHARE, LIST = 1 / 128, 200_000
-#: Lists up to LEAF are compared by brute force; larger ones are split into lists of about SPLIT.
-LEAF, SPLIT = 4096, 512
+REPEATS = 8
+#: Coordinates of the two levels of a repeat.
+STRIPS = (96, 96)
+#: As many fingerprints are one list, compared whole.
+LEAF = 256
+#: First-level lists are planned to be smaller than this.
+LIST = 4 << 20
 
 #: A byte's eight bits as the eight bytes of an integer.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
@@ -109,54 +117,124 @@ def signatures(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return kept.mapInArrow(run, schema)
 
 
-# --- the probability that a pair meets
-@lru_cache(maxsize=4096)
-def survival(strip: int, limit: int, rate: float) -> tuple[float, float]:
-    """Probability that one, and that both, of two vectors lie within ``limit`` of a random centre on a strip.
-
-    The two differ in each coordinate with probability ``rate``, independently.
-    """
+# --- the plan of a search
+@lru_cache(maxsize=1024)
+def meeting(strip: int, limit: int) -> np.ndarray:
+    """Probability that two vectors which differ in d places, d = 0 ... strip, both lie within ``limit`` of a random centre."""
     binom = lambda n: np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n
-    one = float(binom(strip)[: limit + 1].sum())
-    both = 0.0
+    out = np.zeros(strip + 1)
     for d in range(strip + 1):
-        p = math.comb(strip, d) * rate**d * (1 - rate) ** (strip - d)
-        if p < 1e-12:
-            continue
         same = np.cumsum(binom(strip - d))
-        for b, q in enumerate(binom(d)):
-            left = limit - max(b, d - b)
-            if left >= 0:
-                both += p * q * float(same[min(left, strip - d)])
-    return one, both
+        left = limit - np.maximum(np.arange(d + 1), d - np.arange(d + 1))
+        out[d] = (binom(d) * np.where(left >= 0, same[np.clip(left, 0, strip - d)], 0)).sum()
+    return np.minimum(out, 1.0)
+
+
+@lru_cache(maxsize=64)
+def split_law(total: int, strip: int, most: int) -> np.ndarray:
+    """(r, d): probability that d of r differing places out of ``total`` lie on the strip."""
+    ways = lambda n, k: math.comb(n, k) if 0 <= k <= n else 0
+    return np.array([[ways(r, d) * ways(total - r, strip - d) / math.comb(total, strip) for d in range(most + 1)] for r in range(most + 1)])
+
+
+@dataclass(frozen=True)
+class Plan:
+    repeats: int
+    limits: tuple[int, ...]
+    centres: tuple[int, ...]
+
+    def found(self, distance: int) -> float:
+        """Exact probability that a pair at this distance shares a small list."""
+        state, left = np.zeros(distance + 1), BITS
+        state[distance] = 1.0
+        for strip, limit, centres in zip(STRIPS, self.limits, self.centres, strict=True):
+            p = np.zeros(distance + 1)
+            known = meeting(strip, limit)[: distance + 1]
+            p[: len(known)] = known
+            with np.errstate(divide="ignore"):
+                shares = -np.expm1(centres * np.log1p(-p))
+            both = state[:, None] * split_law(left, strip, distance) * shares
+            state = np.array([sum(both[r + d, d] for d in range(distance + 1 - r)) for r in range(distance + 1)])
+            left -= strip
+        return float(-np.expm1(self.repeats * np.log1p(-min(float(state.sum()), 1 - 1e-16))))
+
+    def sizes(self, n: int) -> tuple[float, float, float, float]:
+        """Expected, for n spread fingerprints: size of a list and of a small list, lists and small lists that a fingerprint is in."""
+        q = [float(meeting(s, w)[0]) for s, w in zip(STRIPS, self.limits, strict=True)]
+        rows = self.repeats * self.centres[0] * q[0]
+        return n * q[0], n * q[0] * q[1], rows, rows * self.centres[1] * q[1]
+
+    def cost(self, n: int) -> float:
+        """Nanoseconds a fingerprint, about: tests of centres, rows shuffled, small lists opened, pairs compared."""
+        _, leaf, rows, places = self.sizes(n)
+        return self.repeats * sum(c * (0.06 * s + 1.5) for c, s in zip(self.centres, STRIPS, strict=True)) + 4000 * rows + places * (100 + 1e5 / leaf + 3 * leaf)
+
+
+def _centres(limits: tuple[int, int], radius: int, recall: float) -> Plan:
+    """The fewest centres, in proportion to how seldom a pair at the radius shares one, that give the recall there and a fifth of its misses at half the radius."""
+    rare = [float((meeting(s, w)[: radius + 1] * split_law(BITS, s, radius)[radius, : s + 1]).sum()) for s, w in zip(STRIPS, limits, strict=True)]
+    make = lambda k: Plan(REPEATS, limits, tuple(max(1, math.ceil(k / p)) for p in rare))
+    enough = lambda one: one.found(radius) >= recall and one.found(radius // 2) >= 1 - (1 - recall) / 5
+    low, high = 0.01, 4.0
+    while not enough(make(high)):
+        high *= 2
+    for _ in range(8):
+        middle = math.sqrt(low * high)
+        low, high = (low, middle) if enough(make(middle)) else (middle, high)
+    return make(high)
+
+
+@lru_cache(maxsize=256)
+def plan(n: int, radius: int = RADIUS, recall: float = RECALL) -> Plan:
+    """The cheapest plan for n fingerprints of those that find a pair at the radius with probability ``recall``."""
+    if n <= LEAF:
+        return Plan(1, STRIPS, (1, 1))
+    share = lambda strip, limit: float(meeting(strip, limit)[0])
+    best = None
+    for first in range(STRIPS[0] // 2, 0, -1):
+        size = n * share(STRIPS[0], first)
+        if size >= LIST:
+            continue
+        if size < LEAF / 4:
+            break
+        for goal in (150, 400):
+            second = next((w for w in range(STRIPS[1] // 2, 0, -1) if size * share(STRIPS[1], w) <= goal), 1)
+            one = _centres((first, second), radius, recall)
+            if best is None or one.cost(n) < best.cost(n):
+                best = one
+        if best.cost(n) < STRIPS[0] * 0.06 * REPEATS * one.centres[0]:  # still tighter lists have too many centres
+            break
+    return best
+
+
+def centres(repeat: int, level: int, count: int) -> np.ndarray:
+    """The packed random centres of a repeat's strip."""
+    width = STRIPS[level] // 8
+    return np.frombuffer(np.random.default_rng((104729, repeat, level)).bytes(count * width), np.uint8).reshape(count, width)
 
 
-@lru_cache(maxsize=4096)
-def plan(strip: int, share: float, rate: float, recall: float) -> tuple[int, int]:
-    """(limit, centres): lists of at most ``share`` of all, and as many as find a pair with probability ``recall``."""
-    limit = 0
-    while limit < strip and survival(strip, limit + 1, rate)[0] <= share:
-        limit += 1
-    return limit, max(1, math.ceil(-math.log(1 - recall) / survival(strip, limit, rate)[1]))
+def signs(packed: np.ndarray) -> np.ndarray:
+    """Packed bits as -1 and 1."""
+    return np.unpackbits(packed, axis=1, bitorder="little").astype(np.float32) * 2 - 1
 
 
-def signs(fp: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
-    """The chosen bits of packed fingerprints as -1 and 1."""
+def on_strip(fp: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
+    """The chosen bits of fingerprints as -1 and 1."""
     bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), BITS // 8), axis=1, bitorder="little")
     return bits[:, coordinates].astype(np.float32) * 2 - 1
 
 
-def members(fp: np.ndarray, coordinates: np.ndarray, centres: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(centre, rows within the limit on the strip), by blocks of centres so that memory stays bounded."""
-    x = signs(fp, coordinates)
-    least = len(coordinates) - 2 * limit
-    step = max(1, (1 << 22) // max(1, len(fp)))
-    for a in range(0, len(centres), step):
-        close = centres[a : a + step] @ x.T >= least
-        for k in range(len(close)):
-            rows = np.flatnonzero(close[k])
-            if len(rows) > 1:
-                yield a + k, rows
+def within(x: np.ndarray, packed: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, centre) of all rows within the limit of a centre, by row; blocks of centres bound the memory."""
+    least, rows, found = x.shape[1] - 2 * limit, [], []
+    for a in range(0, len(packed), 2048):
+        z = signs(packed[a : a + 2048])
+        row, centre = np.divmod(np.flatnonzero(x @ z.T >= least), len(z))
+        rows.append(row)
+        found.append(centre + a)
+    row, centre = np.concatenate(rows), np.concatenate(found)
+    order = np.argsort(row, kind="stable") if len(rows) > 1 else slice(None)
+    return row[order], centre[order]
 
 
 # --- inside a list
@@ -176,44 +254,74 @@ def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def compare(fp: np.ndarray, rows: np.ndarray, label: np.ndarray, radius: int) -> None:
-    """Brute force over rows: join all pairs within the radius."""
-    x = fp[rows]
-    n = len(x)
-    step = max(1, (1 << 19) // n)
-    for a in range(0, n - 1, step):
-        block, rest = x[a : a + step], x[a:]
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def join_near(x: np.ndarray, rows: np.ndarray, y: np.ndarray, others: np.ndarray | None, label: np.ndarray, radius: int) -> None:
+    """Join all pairs of rows within the radius of others; without others, all pairs of rows."""
+    same = others is None
+    y, others = (x, rows) if same else (y, others)
+    step = max(1, (1 << 19) // max(1, len(y)))
+    for a in range(0, len(x), step):
+        block, rest = x[a : a + step], y[a:] if same else y
         half = np.bitwise_count(block[:, None, 0] ^ rest[None, :, 0]) + np.bitwise_count(block[:, None, 1] ^ rest[None, :, 1])
-        i, j = np.nonzero(half <= radius)  # half of the bits decide most pairs, and lose none
-        ahead = j > i
-        i, j = i[ahead], j[ahead]
-        d = half[i, j].astype(np.int64) + np.bitwise_count(block[i, 2:] ^ rest[j, 2:]).sum(axis=1)
-        near = d <= radius
-        join_labels(label, rows[a + i[near]], rows[a + j[near]])
-
-
-def search(fp: np.ndarray, rows: np.ndarray, label: np.ndarray, radius: int, recall: float, coordinates: np.ndarray, seed: int, leaf: int = LEAF, split: int = SPLIT, strip: int = INNER_STRIP) -> None:
-    """The recursion: split a large list by partial weights on the next strip, else compare it."""
-    if len(rows) <= leaf or len(coordinates) < strip:
-        compare(fp, rows, label, radius)
-        return
-    limit, centres = plan(strip, max(split / len(rows), 1 / 256), radius / BITS, recall)
-    z = np.random.default_rng(seed).integers(0, 2, (centres, strip)).astype(np.float32) * 2 - 1
-    for k, part in members(fp[rows], coordinates[:strip], z, limit):
-        if len(part) < len(rows):
-            search(fp, rows[part], label, radius, recall, coordinates[strip:], seed * 1_000_003 + k + 1, leaf, split, strip)
-        else:  # nothing was split off: one strip on
-            search(fp, rows[part], label, radius, recall, coordinates[strip:], seed + 1, leaf, split, strip)
-
-
-def list_edges(fp: list[bytes], radius: int, recall: float, coordinates: np.ndarray, seed: int) -> tuple[list[bytes], list[bytes]]:
-    """Edges (member, least member) of the near components that a list shows."""
-    fp = sorted(fp)
-    x = np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), BITS // 64)
-    label = np.arange(len(fp))
-    search(x, label.copy(), label, radius, recall, coordinates, seed)
-    joined = np.flatnonzero(label != np.arange(len(fp)))
-    return [fp[i] for i in joined], [fp[i] for i in label[joined]]
+        i, j = np.divmod(np.flatnonzero(half.ravel() <= radius), len(rest))  # half of the bits decide most pairs, and lose none
+        if same:
+            ahead = j > i
+            i, j = i[ahead], j[ahead]
+        if len(i):
+            d = half[i, j].astype(np.int64) + np.bitwise_count(block[i, 2:] ^ rest[j, 2:]).sum(axis=1)
+            near = d <= radius
+            join_labels(label, rows[a + i[near]], others[(a if same else 0) + j[near]])
+
+
+def compare(fp: np.ndarray, rows: np.ndarray, label: np.ndarray, radius: int, most: int = 2048) -> None:
+    """Join all pairs of rows within the radius.
+
+    A list above ``most`` may hold a large group of near copies, of which all
+    pairs would be too many.  So while a pivot has a sixteenth of the rows within
+    the radius, these are joined to it and taken out: pairs among them say nothing
+    new, and of pairs with other rows only those are compared that the triangle
+    inequality leaves.  What no pivot takes is compared whole.
+    """
+    while len(rows) > most:
+        sample = fp[rows[:: len(rows) // 512]]
+        trial = sample[:: len(sample) // 32]
+        close = (np.bitwise_count(trial[:, None] ^ sample[None]).sum(axis=2, dtype=np.int64) <= radius).sum(axis=1)
+        if close.max() * 16 < len(sample):
+            break
+        d = distances(fp[rows], trial[close.argmax()])
+        taken = d <= radius
+        mine, rest = rows[taken], rows[~taken]
+        join_labels(label, mine, np.full(len(mine), mine[0]))
+        reach = d[~taken] <= radius + d[taken].max()
+        if reach.any():
+            hit = d[taken] >= d[~taken][reach].min() - radius
+            join_near(fp[mine[hit]], mine[hit], fp[rest[reach]], rest[reach], label, radius)
+        rows = rest
+    join_near(fp[rows], rows, fp[rows], None, label, radius)
+
+
+def gather(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """(len(at), width) bytes of data from the given places on."""
+    out = np.empty((len(at), width), np.uint8)
+    for a in range(0, len(at), 1 << 16):
+        out[a : a + (1 << 16)] = data[at[a : a + (1 << 16), None] + np.arange(width)]
+    return out
+
+
+def list_edges(x: np.ndarray, row: np.ndarray, centre: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, least member) of the near components that the small lists of a list show; row ``row`` of x lies at second-level centre ``centre``."""
+    label = np.arange(len(x))
+    order = np.argsort(centre, kind="stable")
+    row, centre = row[order], centre[order]
+    cuts = np.flatnonzero(np.append(True, centre[1:] != centre[:-1])) if len(centre) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)], strict=bool(len(cuts))):
+        if b - a > 1:
+            compare(x, row[a:b], label, radius)
+    joined = np.flatnonzero(label != np.arange(len(x)))
+    return joined, label[joined]
 
 
 # --- over Spark
@@ -221,30 +329,55 @@ def permutation(repeat: int) -> np.ndarray:
     return np.random.default_rng(7919 + repeat).permutation(BITS)
 
 
-def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, repeats: int = REPEATS) -> DataFrame:
+def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
     """(a, b) edges whose components are the groups of near fingerprints; distinct has a column fp, n rows."""
-    share = min(SHARE, LIST / max(n, 1))
-    limit, total = plan(STRIP, share, radius / BITS, recall)
-    centres = -(-total // repeats)
+    chosen = plan(n, radius, recall)
+    kind = np.dtype("<u2" if chosen.centres[1] <= 1 << 16 else "<u4")
+    width = BITS // 8
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = [np.random.default_rng(104729 + r).integers(0, 2, (centres, STRIP)).astype(np.float32) * 2 - 1 for r in range(repeats)]
+        packed = [[centres(r, level, chosen.centres[level]) for level in range(2)] for r in range(chosen.repeats)]
         for batch in batches:
-            column = batch.column(0)
-            x = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            for r in range(repeats):
-                strip = permutation(r)[:STRIP]
-                for a in range(0, len(x), 2048):
-                    close = signs(x[a : a + 2048], strip) @ z[r].T >= STRIP - 2 * limit
-                    row, centre = np.nonzero(close)
-                    yield pa.RecordBatch.from_arrays([pa.array(centre + r * centres, pa.int64()), column.take(pa.array(row + a))], names=["list", "fp"])
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            for a in range(0, len(x), 2048):
+                block = x[a : a + 2048]
+                for r in range(chosen.repeats):
+                    at = permutation(r)
+                    row, second = within(on_strip(block, at[STRIPS[0] : sum(STRIPS)]), packed[r][1], chosen.limits[1])
+                    # The fingerprint, and its second-level centres behind it.
+                    count = np.bincount(row, minlength=len(block))
+                    ends = np.cumsum(width + kind.itemsize * count)
+                    begin = ends - width - kind.itemsize * count
+                    data = np.empty(int(ends[-1]), np.uint8)
+                    data[begin[:, None] + np.arange(width)] = block.view(np.uint8).reshape(len(block), width)
+                    place = np.repeat(begin + width - kind.itemsize * (np.cumsum(count) - count), count) + kind.itemsize * np.arange(len(row))
+                    data[place[:, None] + np.arange(kind.itemsize)] = second.astype(kind).view(np.uint8).reshape(-1, kind.itemsize)
+                    row, first = within(on_strip(block, at[: STRIPS[0]]), packed[r][0], chosen.limits[0])
+                    some = count[row] > 0
+                    row, first = row[some], first[some]
+                    whole = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([pa.array(first + r * chosen.centres[0], pa.int64()), whole.take(pa.array(row))], names=["list", "data"])
 
     def edges(key, table):
-        k = key[0].as_py()
-        a, b = list_edges(table.column("fp").to_pylist(), radius, recall, permutation(k // centres)[STRIP:], k)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    listed = distinct.select("fp").mapInArrow(lists, "list long, fp binary")
+        column = table.column("data").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)
+        x = gather(data, ends[:-1], width).view(np.uint64)
+        order = np.lexsort(x.T)  # whatever the order of the rows, the same edges
+        count = (np.diff(ends) - width) // kind.itemsize
+        row = np.repeat(np.arange(len(x)), count)
+        place = np.repeat(ends[:-1] + width - kind.itemsize * (np.cumsum(count) - count), count) + kind.itemsize * np.arange(len(row))
+        second = gather(data, place, kind.itemsize).view(kind).reshape(-1)
+        new = np.empty(len(x), np.int64)
+        new[order] = np.arange(len(x))
+        x = np.ascontiguousarray(x[order])
+        i, j = list_edges(x, new[row], second, radius)
+        out = pa.table({n: pa.array([x[k].tobytes() for k in at.tolist()], pa.binary()) for n, at in (("a", i), ("b", j))})
+        _text.release()
+        return out
+
+    listed = distinct.select("fp").mapInArrow(lists, "list long, data binary")
     return listed.groupBy("list").applyInArrow(edges, "a binary, b binary").distinct()
 
 

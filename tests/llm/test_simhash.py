@@ -86,36 +86,85 @@ def test_recall_and_exactness(spark, docs_of, sentence):
     assert all(len(v) == 1 for v in members.values())
 
 
-def test_search_splits_large_lists(sentence):
-    """The recursion over further strips, with small lists, still finds near pairs."""
-    r = random.Random(3)
-    texts = [t for k in range(300) for base in [sentence(k, 60)] for t in (base, edit(base, r, 0.03))]
-    fps = [f for f in s.simhash(texts)]
-    x = np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), 4)
-    label = np.arange(len(fps))
-    s.search(x, label.copy(), label, s.RADIUS, 0.95, np.random.default_rng(0).permutation(256), 1, leaf=100, split=60, strip=60)
-    pairs = near_pairs(fps)
-    assert sum(label[i] == label[j] for i, j in pairs) >= 0.9 * len(pairs)
-    truth = components(len(fps), pairs)
-    assert all(truth[i] == truth[label[i]] for i in range(len(fps)))
-
-
-@pytest.mark.parametrize(("strip", "limit", "rate"), [(96, 40, 0.2), (80, 33, 0.1)])
-def test_survival_probability(strip, limit, rate):
-    r = np.random.default_rng(1)
-    a = r.integers(0, 2, (200_000, strip), dtype=np.int8)
-    b = a ^ (r.random(a.shape) < rate)
-    wa, wb = a.sum(axis=1), b.sum(axis=1)  # weights are distances from the centre 0
-    one, both = s.survival(strip, limit, rate)
-    assert (wa <= limit).mean() == pytest.approx(one, abs=0.004)
-    assert ((wa <= limit) & (wb <= limit)).mean() == pytest.approx(both, abs=0.004)
-
-
-def test_all_documents_as_brute_force(spark, sf_dir):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    got = sorted((r.doc_id for r in s.query(spark, sf_dir).collect()), key=str)
+@pytest.mark.parametrize("n", [100, 300, 1000, 10**4, 10**5, 240_000, 10**6, 10**7, 10**8, 10**9, 10**10])
+def test_exact_recall_at_every_size(n):
+    p = s.plan(n)
+    assert p.found(s.RADIUS) >= 0.95 and p.found(s.RADIUS // 2) >= 0.99
+    assert all(p.found(d) <= p.found(d - 8) + 1e-9 for d in range(16, 57, 8))
+    size, small, rows, _ = p.sizes(n)
+    assert size < s.LIST and (small <= 400 or n <= s.LEAF) and rows < 400
+
+
+def test_law_of_a_search():
+    """``found`` against searches played with random pairs, permutations and centres."""
+    r = np.random.default_rng(4)
+    p = s.Plan(2, (40, 38), (30, 40))
+    for distance in (24, 56):
+        hits = 0
+        for _ in range(1500):
+            for _ in range(p.repeats):
+                differ = np.zeros(256, bool)
+                differ[r.permutation(256)[:distance]] = True
+                met, begin = True, 0
+                for strip, limit, centres in zip(s.STRIPS, p.limits, p.centres, strict=True):
+                    x = r.integers(0, 2, (centres, strip)) != 0  # differences from the centres
+                    y = x ^ differ[begin : begin + strip]
+                    met &= bool(((x.sum(axis=1) <= limit) & (y.sum(axis=1) <= limit)).any())
+                    begin += strip
+                if met:
+                    hits += 1
+                    break
+        assert hits / 1500 == pytest.approx(p.found(distance), abs=0.04)
+
+
+@pytest.mark.parametrize("distance", [50, 53, 56])
+def test_recall_of_edges(spark, distance):
+    """Single pairs, so no chain helps: of those at the distance, at least 0.93 get an edge among 20,000 fingerprints."""
+    r = np.random.default_rng(distance)
+    x = r.integers(0, 256, (20_000, 32), dtype=np.uint8)
+    y = np.unpackbits(x[:700], axis=1)
+    for row in y:
+        row[r.permutation(256)[:distance]] ^= 1
+    fps = [v.tobytes() for v in np.concatenate([x, np.packbits(y, axis=1)])]
+    assert s.plan(len(fps)).repeats > 1
+    edges = s.near_edges(spark.createDataFrame([(f,) for f in fps], "fp binary").repartition(4), len(fps)).collect()
+    got = {frozenset((bytes(e.a), bytes(e.b))) for e in edges}
+    pairs = {frozenset((fps[i], fps[20_000 + i])) for i in range(700)}
+    assert got <= pairs and len(got) >= 0.93 * len(pairs)
+
+
+@pytest.mark.parametrize("spread", [4, 30, 70])
+def test_pivots_lose_no_pair(spread):
+    """Large groups of copies of any spread in one small list: components as by all pairs."""
+    r = np.random.default_rng(spread)
+    centre = r.integers(0, 2, (2, 256), dtype=np.uint8)
+    bits = np.concatenate([c ^ (r.random((900, 256)) < spread / 512) for c in centre] + [r.integers(0, 2, (900, 256))]).astype(np.uint8)
+    x = np.packbits(bits[r.permutation(len(bits))], axis=1).view(np.uint64)
+    label, plain = np.arange(len(x)), np.arange(len(x))
+    s.compare(x, np.arange(len(x)), label, s.RADIUS, most=600)
+    s.join_near(x, np.arange(len(x)), x, None, plain, s.RADIUS)
+    assert label.tolist() == plain.tolist() == components(len(x), near_pairs([v.tobytes() for v in x]))
+
+
+def test_within_is_exact():
+    r = np.random.default_rng(8)
+    fp, packed = r.integers(0, 1 << 63, (50, 4)).astype(np.uint64), s.centres(3, 0, 5000)
+    at = s.permutation(3)[:96]
+    bits = np.unpackbits(fp.view(np.uint8).reshape(50, 32), axis=1, bitorder="little")[:, at]
+    far = (bits[:, None] != np.unpackbits(packed, axis=1, bitorder="little")[None]).sum(axis=2)
+    row, centre = s.within(s.on_strip(fp, at), packed, 40)
+    assert list(zip(row.tolist(), centre.tolist(), strict=True)) == list(zip(*(v.tolist() for v in np.nonzero(far <= 40)), strict=True))
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_all_documents_as_brute_force(spark, sf):
+    """The smaller table is one list; the larger one takes both levels of lists."""
+    folder = f"/root/testdata/sf{sf}"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    assert s.plan(len({t for _, t in rows})).repeats == (1 if sf == "0.001" else s.REPEATS)
+    got = sorted((r.doc_id for r in s.query(spark, folder).collect()), key=str)
     want = brute(rows)
-    assert set(want) <= set(got) and len(set(got) - set(want)) <= 0.02 * len(rows)
+    assert set(want) <= set(got) and len(set(got) - set(want)) <= 0.01 * len(rows)
 
 
 def test_edges(docs_of, clashing, edge_texts, sentence):
