@@ -5,20 +5,26 @@
    sorted), without positions.  A block element scores its own text and half of
    its children's scores, less its links; the best one gets the page's vote.
 2. Spark adds the votes by host and path.  A host's winning paths are those
-   with at least KEEP of the leading path's votes.
+   with at least KEEP of the leading path's votes and a MOST-th of all the host's
+   votes, so there are MOST of them at most.
 3. Pages are parsed once more; the text of all elements on the first winning
    path that the page has is its main text.  A page without any gets its own
    best element's.
 
 Votes are summed before the shuffle, which holds a row for each host and path of
-a task; pages are never shuffled unless the winners are too many to broadcast
-(Spark checks their size).
+a task.  The winners are written first, so Spark knows their size when it plans the
+join: it broadcasts them below spark.sql.autoBroadcastJoinThreshold, and the pages
+are not shuffled; beyond it both sides are shuffled by host, and AQE splits the
+partition of a host that has very many pages.  Parsing takes time in proportion to the
+page, whatever is left open in it.
 
 Defined results: a null page has text null and method ``none``; a page without
-any text has the empty text.  Pages without a host don't vote and have method
-``own``.  Of equal scores the outer, earlier element wins; of equal votes the path
-first in the alphabet.  Repeated rows vote each time.  Columns that are not carried
-may have any name; a carried one named as a result column is replaced by it.
+any text, as an empty one, has the empty text; a very long page is parsed whole.
+Pages without a host (a null url too) don't vote and have method ``own``.  Of equal
+scores the outer, earlier element wins; of equal votes the path first in the
+alphabet.  Repeated rows vote each time, and come out each time; an empty table
+gives no rows.  Columns that are not carried may have any name; a carried one named
+as a result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import types as T
 
 from quarry.llm import _shared
 
-KEEP = 0.5
+KEEP, MOST = 0.5, 64
 BLOCKS = frozenset("html body article aside blockquote center dd details div dl fieldset figure footer form header li main nav ol section table tbody td th tr ul".split())
 BREAKS = BLOCKS | frozenset("address br caption dt figcaption h1 h2 h3 h4 h5 h6 hr legend option p pre summary thead tfoot title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,7 +49,7 @@ HIDDEN = frozenset("script style noscript template head title svg iframe object
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: An opening tag ends these open ones first, up to the nearest block that holds them.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 CLASS = re.compile(r"""(?<![\w-])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
@@ -70,10 +76,38 @@ def segment(tag: str, attributes: str) -> str:
     return ".".join([tag, *names])
 
 
+class Open:
+    """The open elements of a page, from the root on, with the depths of each tag's and of the blocks, so that nothing is searched for."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths, self.blocks = [root], {}, [0]
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        """The greatest depth at which one of the tags is open; 0 where none is."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        tag = self.nodes.pop().tag
+        self.depths[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
+
+    def cut(self, depth: int) -> None:
+        """Close all from this depth on."""
+        while len(self.nodes) > depth:
+            self.pop()
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are put up with."""
     root = Node("", "", None)
-    node, at, raw = root, 0, None
+    stack, at, raw = Open(root), 0, None
     for m in TOKEN.finditer(page):
         if raw:  # only its own end tag ends it
             if m[2] is None or not m[1] or m[2].lower() != raw:
@@ -81,6 +115,7 @@ def parse(page: str) -> Node:
             raw = None
         if m.start() < at:
             continue
+        node = stack.nodes[-1]
         if m.start() > at:
             node.parts.append(page[at : m.start()])
         at = m.end()
@@ -88,38 +123,34 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag and not (up.tag in BLOCKS and tag not in BLOCKS):
-                up = up.parent
-            if up is not root and up.tag == tag:
-                node = up.parent
+            depth = stack.nearest((tag,))
+            if depth and (tag in BLOCKS or depth > stack.blocks[-1]):  # a tag that is no block ends nothing outside of one
+                stack.cut(depth)
             if tag in BREAKS:
-                node.parts.append(None)
+                stack.nodes[-1].parts.append(None)
             continue
         if tag in BREAKS:
             # A block or a paragraph closes an open paragraph and what is open in it.
-            ends = ENDS.get(tag, ()) or ("p",)
-            up = node
-            while up is not root and up.tag not in ends and up.tag not in BLOCKS:
-                up = up.parent
-            if up is not root and up.tag in ends:
-                node = up.parent
-                while tag == "tr" and node.tag in ("td", "th", "tr"):
-                    node = node.parent
+            depth = stack.nearest(ENDS.get(tag, ("p",)))
+            if depth and depth >= stack.blocks[-1]:
+                stack.cut(depth)
+                while tag == "tr" and stack.nodes[-1].tag in ("td", "th", "tr"):
+                    stack.pop()
             elif tag in BLOCKS or tag == "p":
-                while node.tag and node.tag not in BREAKS:  # inline elements end at a block
-                    node = node.parent
-            node.parts.append(None)
+                while stack.nodes[-1].tag and stack.nodes[-1].tag not in BREAKS:  # inline elements end at a block
+                    stack.pop()
+            stack.nodes[-1].parts.append(None)
         if tag in VOID or m[3].endswith("/"):
             continue
+        node = stack.nodes[-1]
         child = Node(tag, segment(tag, m[3]), node)
         node.children.append(child)
         node.parts.append(child)
-        node = child
+        stack.push(child)
         if tag in RAW:
             raw = tag
     if at < len(page) and not raw:
-        node.parts.append(page[at:])
+        stack.nodes[-1].parts.append(page[at:])
     return root
 
 
@@ -228,9 +259,10 @@ def _votes(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([h for h, _ in total], pa.string()), pa.array([p for _, p in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["host", "path", "votes"])
 
 
-def winners(voted: DataFrame, keep: float = KEEP) -> DataFrame:
-    """(host, paths): the winning paths, the leading one first."""
-    led = voted.withColumn("top", F.max("votes").over(Window.partitionBy("host"))).where(F.col("votes") >= keep * F.col("top"))
+def winners(voted: DataFrame, keep: float = KEEP, most: int = MOST) -> DataFrame:
+    """(host, paths): the winning paths, at most ``most`` of a host, the leading one first."""
+    leads = voted.groupBy("host").agg(F.max("votes").alias("top"), F.sum("votes").alias("all"))
+    led = voted.join(leads, "host").where((F.col("votes") >= keep * F.col("top")) & (F.col("votes") * most >= F.col("all")))
     return led.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path"))), lambda x: x["path"]).alias("paths"))
 
 
@@ -238,7 +270,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", carry: tuple
     """The carried columns, host, text, path (of the element taken) and method (consensus, own or none) of each page."""
     names = [c for c in carry if c not in ("host", "text", "path", "method")]
     body, paths = _shared.fresh(names, "__html", "__paths")
-    won = winners(votes(pages, html, url), keep).withColumnRenamed("paths", paths)
+    voted, path = _shared.write_table(votes(pages, html, url), "votes")
+    won, _ = _shared.write_table(winners(voted, keep).withColumnRenamed("paths", paths), "winners")
+    _shared.remove(pages.sparkSession, path)
     kept = pages.select(*names, host(pages[url]).alias("host"), pages[html].alias(body))
     joined = kept.join(won, "host", "left").select(*names, "host", paths, body)
     schema = T.StructType([*(joined.schema[c] for c in names), *(T.StructField(n, T.StringType()) for n in ("host", "text", "path", "method"))])
