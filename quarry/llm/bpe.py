@@ -7,9 +7,12 @@
    distinct pre-tokens and the files' names go to a table there.  A file is
    named after its task's attempt, and only the names that a task committed are
    in the table, so a task that is run again does no harm.
-2. The distinct pre-tokens are shuffled by hash, so all chunks' occurrences of
-   a word meet in one task, which encodes it once, and sends its ids back to
-   each chunk.
+2. The distinct pre-tokens are shuffled by hash into buckets, of which there is
+   one for each BUCKET bytes of text, but at most MOST_BUCKETS, so that a chunk's
+   part of a bucket stays some twenty words.  All chunks' occurrences of a word meet
+   in one bucket.  A task goes through its buckets one after the other, a piece of
+   rows at a time, encodes each distinct word of a bucket once, and sends its ids
+   back to each chunk; it holds the bucket's distinct words and no more.
 3. The ids come together by chunk, are joined to its positions, and every
    document's tokens are put together in order.
 
@@ -20,16 +23,19 @@ the positions nor the exploded text.
 vocabulary whatever the input, which is checked, so it is joined map-side.
 
 Defined results: a null text has null ids and -1 tokens, and decodes to null; an
-empty text has no ids.  Strings of special tokens are ordinary text.  Rows are
-never merged, so repeated rows and equal or null doc_ids come out as they went
-in.  A column of ``df`` named as an added one is replaced.  A decoded id outside the
-vocabulary is an error.
+empty text has no ids; a very long one is encoded whole, as a chunk of its own.
+Strings of special tokens are ordinary text.  Of merges the one of least rank
+goes first, the leftmost of ties.  Rows are never merged, so repeated rows and
+equal or null doc_ids come out as they went in, and nulls in other columns pass
+through.  An empty table gives no rows.  A column of ``df`` named as an added one
+is replaced; other names are free.  A decoded id outside the vocabulary is an error.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +54,8 @@ from quarry.llm._shared import filesystem
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters of text whose pre-tokens are numbered together.
 CHUNK = 6 << 20
+#: Bytes of text for each bucket of words, and the most buckets.
+BUCKET, MOST_BUCKETS = 32 << 20, 5000
 #: A vocabulary above this is not broadcast but refused.
 MOST_TOKENS = 2_000_000
 _ENCODERS: dict = {}
@@ -79,6 +87,27 @@ def encode_words(words: list[str], path: str, table: dict[bytes, int]) -> tuple[
     return sizes, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
 
 
+class Words:
+    """The ids of all words asked for so far, each encoded once."""
+
+    def __init__(self, path: str, table: dict[bytes, int]):
+        self.one = encoder(path, table)._core_bpe.encode_single_piece
+        self.number: dict[bytes, int] = {}
+        self.sizes, self.begin, self.flat = array("L"), array("L"), array("I")
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the words in order, the size of each)."""
+        for w in words:
+            if w not in self.number:
+                got = self.one(w)
+                self.number[w] = len(self.number)
+                self.sizes.append(len(got))
+                self.begin.append(len(self.flat))
+                self.flat.extend(got)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return _text.expand(at, *(np.frombuffer(x, kind) for x, kind in ((self.sizes, np.int64), (self.flat, np.uint32), (self.begin, np.int64))))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of small unsigned integers, each stored by planes of bytes."""
     parts = []
@@ -144,13 +173,14 @@ def _cut(batches: Iterator[pa.RecordBatch], text_at: int, most: int) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carry: tuple[str, ...] | None = None, chunk: int = CHUNK) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carry: tuple[str, ...] | None = None, chunk: int = CHUNK, bucket_size: int = BUCKET) -> DataFrame:
     """The carried columns (all but the text, unless given), n_tokens and token_ids."""
     spark = df.sparkSession
     carry = tuple(c for c in (df.columns if carry is None else carry) if c != text and c not in ("n_tokens", "token_ids"))
     text_name, rows_name = _shared.fresh(list(carry), "__text", "__rows")
     kept = df.select(*carry, df[text].alias(text_name))
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = kept.agg(F.sum(F.octet_length(text_name))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, 1 + size // bucket_size)
     table = spark.sparkContext.broadcast(ranks(vocabulary))
     width = len(carry)
 
@@ -178,34 +208,32 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carr
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edges))
             blobs = [pack_words([words[i] for i in often[part].tolist()], part) for part in (order[edges[b] : edges[b + 1]] for b in some)]
-            # A chunk without any word still has its documents: it is sent to bucket -1.
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1)), pa.array([-1, *some.tolist()], pa.int32()), pa.array([None, *blobs], pa.binary())], names=["chunk", "bucket", "data"])
+            # A chunk without any word still has its documents: it is sent once more, without words.
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1)), pa.array([zlib.crc32(name.encode()) % buckets, *some.tolist()], pa.int32()), pa.array([None, *blobs], pa.binary())], names=["chunk", "bucket", "data"])
             n += 1
             del c, words, rows, texts, docs, rank, often, bucket, order, blobs
             _text.release()
 
     written, _ = _shared.write_table(kept.mapInArrow(number, "chunk string, bucket int, data binary"), "pretokens")
 
-    def once(key, group):
-        blobs = [b for b in group.column("data").to_pylist() if b is not None]
-        if not blobs:
-            return pa.table({"chunk": group.column("chunk"), "ids": pa.array([None] * group.num_rows, pa.binary())})
-        lists = [unpack_words(b) for b in blobs]
-        known = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in lists for w in words))}
-        one = encoder(vocabulary, table.value)._core_bpe.encode_single_piece
-        ids = [one(w) for w in known]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for g in ids for i in g), np.uint32, int(sizes.sum()))
-        out = []
-        for words, steps in lists:
-            got, size = _text.expand(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), sizes, flat)
-            out.append(pack(steps, size, got))
-        result = pa.table({"chunk": group.column("chunk"), "ids": pa.array(out, pa.binary())})
-        del blobs, lists, known, ids, sizes, flat, out
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, Words(vocabulary, table.value)
+        for batch in batches:
+            chunks = batch.column(0).to_pylist()
+            for i, bucket in enumerate(batch.column(1).to_pylist()):
+                if bucket != now:
+                    now, known = bucket, Words(vocabulary, table.value)
+                blob = batch.column(2)[i].as_py()
+                ids = None
+                if blob is not None:
+                    words, steps = unpack_words(blob)
+                    got, size = known.ids(words)
+                    ids = pack(steps, size, got)
+                yield pa.RecordBatch.from_arrays([pa.array([chunks[i]]), pa.array([ids], pa.binary())], names=["chunk", "ids"])
+        del known
         _text.release()
-        return result
 
-    encoded = written.groupBy("bucket").applyInArrow(once, "chunk string, ids binary")
+    encoded = written.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(once, "chunk string, ids binary")
     schema = T.StructType([*(kept.schema[c] for c in carry), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     list_type = to_arrow_schema(schema).field("token_ids").type
 

@@ -48,17 +48,33 @@ def check(df, reference, **options):
 
 @pytest.mark.parametrize("chunk", [300, bpe.CHUNK])
 def test_ids_as_the_library(docs_of, edge_texts, reference, chunk):
-    texts = [t for t in edge_texts if len(t or "") < 700_000] + ["x" * 3000, "<|endoftext|> is text"]
+    texts = [*edge_texts, "x" * 3000, "<|endoftext|> is text"]
+    assert max(len(t or "") for t in texts) >= 700_000
     check(docs_of(texts, 3), reference, chunk=chunk)
 
 
+@pytest.mark.parametrize("bucket_size", [100, 1 << 40])
+def test_any_number_of_buckets(docs_of, sentence, reference, bucket_size):
+    check(docs_of([*(sentence(i, 300) for i in range(20)), None, ""], 3), reference, chunk=4000, bucket_size=bucket_size)
+
+
+def test_a_word_is_encoded_once(reference):
+    calls = []
+    words = bpe.Words(bpe.VOCABULARY, bpe.ranks(bpe.VOCABULARY))
+    plain = words.one
+    words.one = lambda w: calls.append(w) or plain(w)
+    for group in ([b"one", b" two", b"zzzzqqqq"], [b" two", b"three"], [], [b"zzzzqqqq", b"one"]):
+        ids, size = words.ids(group)
+        assert ids.tolist() == [i for w in group for i in reference(w.decode())] and size.tolist() == [len(reference(w.decode())) for w in group]
+    assert sorted(calls) == sorted({b"one", b" two", b"zzzzqqqq", b"three"})
+
+
 def test_all_documents(spark, sf_dir, reference):
     check(spark.read.parquet(f"{sf_dir}/documents.parquet"), reference)
 
 
 def test_round_trip(docs_of, edge_texts):
-    texts = [t for t in edge_texts if len(t or "") < 700_000]
-    df = docs_of(texts, 3)
+    df = docs_of(edge_texts, 3)
     back = bpe.decode(bpe.encode(df, chunk=5000))
     assert sorted(((r.doc_id, r.text) for r in back.collect()), key=str) == sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
 
