@@ -7,20 +7,22 @@ member lies, so that any record can later be read by a seek.  Streams of any
 mixture of members are accepted, so the result normalises to itself.
 
 A gzip stream can only be inflated in order, so one file is the work of one
-task; files are spread over the tasks, and within a task nothing larger than a
-piece of PIECE bytes is held.  Output files are written under a name of the
+task; files are spread over the tasks, and a task holds a piece of PIECE bytes, a
+record's header and, compressed, the record at hand.  Output files are written under a name of the
 attempt and then renamed; a repeated task replaces them by equal ones.
 
 Each file gives NAME (the members), NAME.idx (a line of JSON for each record) and
-rows of the index.  Defined results: for a record that is cut off, or whose header
+rows of the index.  Lines may end with CR LF or LF alone, and a header may be of any
+length.  Defined results: for a record that is cut off, or whose header
 is not one or has a length at which no record ends, there is an index row without
 offset of status ``truncated`` or ``malformed``, and reading goes on at the next
 line after its beginning that starts with ``WARC/1.``; a gzip member that is corrupt
 or cut off counts as truncated, and reading goes on at the next gzip magic; records
 that came whole before its check sum failed stay.  Raw offsets count what could be
 inflated.  A file of no bytes has no rows and gives no files (Spark lists none such).  Records of length 0 are members too, and
-repeated records are kept.  ``write_monolithic`` writes a row whose html is null as
-an empty payload and a null url as an empty one.
+repeated records are kept; a very long record is one member.  ``write_monolithic`` writes a row whose html is null as
+an empty payload and a null url as an empty one; other columns of pages may have any
+name, and pages without rows give no records.
 """
 
 from __future__ import annotations
@@ -41,8 +43,6 @@ PIECE = 1 << 20
 LEVEL = 6
 SCHEMA = "file string, record long, offset long, length long, raw_offset long, raw_length long, type string, uri string, id string, status string"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-#: A header longer than this is none.
-MOST_HEADER = 1 << 20
 MAGIC, MARK = b"\x1f\x8b\x08", b"WARC/1."
 
 
@@ -149,23 +149,26 @@ class Buffer:
 
     def header(self) -> bytes | None:
         """Up to and with the next blank line; None at the end."""
-        while self.held[:2] in (b"\r\n", b"\r", b"") and (self.held[:2] == b"\r\n" or self.more()):
-            if self.held[:2] == b"\r\n":  # blank lines between records
-                del self.held[:2]
-                self.place += 2
+        while True:  # blank lines between records
+            if self.held[:2] == b"\r\n":
+                self.drop(2)
+            elif self.held[:1] == b"\n":
+                self.drop(1)
+            elif self.held[:2] not in (b"", b"\r") or not self.more():
+                break
         if not self.held:
             return None
         seen = 0
         while True:
-            at = self.held.find(b"\r\n\r\n", max(0, seen - 3))
-            if at >= 0:
-                head = bytes(self.held[: at + 4])
-                del self.held[: at + 4]
-                self.place += at + 4
+            begin = max(0, seen - len(MARK))
+            at = min((i + len(end) for end in (b"\n\r\n", b"\n\n") if (i := self.held.find(end, begin)) >= 0), default=0)
+            if at:
+                head = bytes(self.held[:at])
+                self.drop(at)
                 return head
-            seen = len(self.held)
-            if not self.held.startswith(b"WARC/"[: len(self.held)]) or seen > MOST_HEADER:
+            if not self.held.startswith(b"WARC/"[: len(self.held)]) or self.held.find(b"\n" + MARK, begin) >= 0:
                 raise Broken("malformed")
+            seen = len(self.held)
             if not self.more():
                 raise self.broken or Broken("truncated")
 
@@ -183,7 +186,7 @@ class Buffer:
 def fields(header: bytes) -> dict[str, str]:
     if not header.startswith(b"WARC/"):
         raise Broken("malformed")
-    lines = header.decode("utf-8", "replace").split("\r\n")[1:]
+    lines = header.decode("utf-8", "replace").split("\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if ":" in x)}
 
 

@@ -113,10 +113,39 @@ def test_files_over_spark(spark, tmp_path):
     assert not [p for p in os.listdir(target) if "attempt" in p] and not (target / "empty.warc.gz").exists()
 
 
-def test_query(spark, sf_dir):
-    pages = {r.url: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+@pytest.mark.parametrize("piece", [None, 1, 7919])
+def test_lines_that_end_with_lf(piece):
+    one = b"WARC/1.0\nWARC-Type: response\nWARC-Target-URI: http://a.example/\nContent-Length: 9\n\nline\n\nend"
+    mixed = b"WARC/1.1\r\nWARC-Target-URI: http://b.example/\r\nContent-Length: 3\n\r\nabc"
+    out, index = normalised(gzip.compress(one + b"\n\n" + mixed + b"\n\n" + rec(b"x") + one), piece)
+    assert [(e["status"], e["uri"]) for e in index] == [("ok", f"http://{h}.example/") for h in "abaa"]
+    got = [gzip.decompress(out[e["offset"] : e["offset"] + e["length"]]) for e in index]
+    assert got == [one + b"\r\n\r\n", mixed + b"\r\n\r\n", rec(b"x"), one + b"\r\n\r\n"]
+
+
+@pytest.mark.parametrize("piece", [7919, 1 << 20])
+def test_header_of_two_mebibytes(piece):
+    records = [rec(b"a"), rec(b"long", extra="X-Long: " + "v" * (2 << 20) + "\r\n"), rec(b"b"), b"WARC/1.0\r\n" + b"no end " * 300_000 + b"\r\n", rec(b"c")]
+    out, index = normalised(gzip.compress(b"".join(records)), piece)
+    assert [e["status"] for e in index] == ["ok", "ok", "ok", "malformed", "ok"]
+    assert gzip.decompress(out) == b"".join(records[:3] + records[4:])
+
+
+def test_query(spark, sf_dir, monkeypatch):
+    """Each record of the query is read by its offset and holds its page."""
+    from quarry.llm import _shared
+
+    made = []
+    new_path = _shared.new_path
+    monkeypatch.setattr(_shared, "new_path", lambda *a: made.append(new_path(*a)) or made[-1])
+    pages = [w.record(r.url, r.html, str(r.page_id)) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     rows = w.query(spark, sf_dir).collect()
-    assert {r.uri for r in rows} == set(pages) and {r.status for r in rows} == {"ok"}
+    assert {r.status for r in rows} == {"ok"} and {r.type for r in rows} == {"response"}
+    assert sorted(w.read_member(f"{made[0]}/members/{r.file}", r.offset, r.length) for r in rows) == sorted(pages)
+    raw = {}
+    for r in sorted(rows, key=lambda r: (r.file, r.record)):  # places in the whole stream, without gap
+        assert r.raw_offset == raw.get(r.file, 0)
+        raw[r.file] = r.raw_offset + r.raw_length + 4
 
 
 def test_pages_with_nulls_repeats_and_no_rows(spark, tmp_path):
