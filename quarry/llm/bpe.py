@@ -95,8 +95,8 @@ class Words:
         self.number: dict[bytes, int] = {}
         self.sizes, self.begin, self.flat = array("L"), array("L"), array("I")
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids of the words in order, the size of each)."""
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The words' places in sizes and begin."""
         for w in words:
             if w not in self.number:
                 got = self.one(w)
@@ -104,8 +104,22 @@ class Words:
                 self.sizes.append(len(got))
                 self.begin.append(len(self.flat))
                 self.flat.extend(got)
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        return _text.expand(at, *(np.frombuffer(x, kind) for x, kind in ((self.sizes, np.int64), (self.flat, np.uint32), (self.begin, np.int64))))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the words in order, the size of each)."""
+        return _text.expand(self.numbers(words), *(np.frombuffer(x, kind) for x, kind in ((self.sizes, np.int64), (self.flat, np.uint32), (self.begin, np.int64))))
+
+
+def token_counts(texts: list[str], words: Words) -> np.ndarray:
+    """The number of tokens of each text."""
+    out = []
+    for lo, hi in _text.slices(texts, CHUNK // 2):
+        c = _text.Chunk(texts[lo:hi])
+        at = words.numbers([w.encode("utf-8", "surrogatepass") for w in c.words])
+        total = np.concatenate([[0], np.cumsum(np.frombuffer(words.sizes, np.int64)[at][c.sequence])])
+        out.append(np.diff(total[np.concatenate([[0], np.cumsum(c.counts)])]))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def pack(*arrays: np.ndarray) -> bytes:

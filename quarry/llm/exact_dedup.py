@@ -12,7 +12,11 @@
 
 Defined results: the row with the least doc_id stays (nulls last; then by the
 other columns, so repeated rows leave one).  A null text equals no other: all
-such rows stay.  Empty texts are equal to each other.  All columns are kept.
+such rows stay.  Empty texts are equal to each other.  Nulls in other columns
+change nothing but come last in that order.  A very long text is hashed whole.
+Digests that are as frequent as each other may or may not be candidates, with the
+same result.  An empty table stays empty.  All columns are kept, under any names,
+also those used inside.
 """
 
 from __future__ import annotations

@@ -21,9 +21,11 @@ those with the least hash of their id.  Everything else reads all texts whole.
 
 Defined results: a null, empty or wordless text has one span (0, length, 0
 words, ``und``) and is rejected by ``accepted``; ties go to staying, then to
-the language first in the alphabet; repeated rows get the same spans.  Rows
-without a label are not trained on; with no labelled row at all, every Latin
-word is ``und-Latn``.
+the language first in the alphabet; repeated rows get the same spans.  A very
+long text is decoded whole.  Rows without a label are not trained on; with no
+labelled row at all, every Latin word is ``und-Latn``.  An empty table gives no
+spans.  Columns of df may have any names; a carried one must not be called span,
+start, end, words or lang.
 """
 
 from __future__ import annotations

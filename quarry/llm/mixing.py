@@ -6,6 +6,7 @@
    words, sign runs (hashed to BUCKETS) and marks of form that tell the domains
    apart, fitted on at most ``sample`` rows of each domain (those with the least
    hash of their doc_id) and corrected for the domains' true frequencies.
+   A document's tokens n_i are those of byte-level BPE.
 2. Document rates r >= 0 are fitted so that the expected token totals
    S_d = sum(r_i * n_i * p_id) come near to targets T_d in the least-squares
    sense.  Projected gradient starts from r = 1; each step is one distributed
@@ -13,19 +14,25 @@
    preconditioned by the inverse Gram matrix of the posteriors (so the step is
    safe), then cuts it off at 0; Nesterov's momentum, dropped whenever the
    residual grows, takes it on faster.  A rate is a function of the posteriors
-   and the few moves so far, so no vector of rates is kept.
+   and the few moves so far, so no vector of rates is kept.  It ends where the
+   targets are met, or where a step changes nothing, or after STEPS steps;
+   ``Fit.ended`` says which.
 3. A document with rate r is taken floor(r + u) times, u being a hash of its
-   doc_id in [0, 1): r times in expectation, and the same in every run.
+   doc_id and text in [0, 1): r times in expectation, and the same in every run.
 
 Targets are shares of ``budget`` tokens; by default the budget is such that
 ``good`` meets its share with HEADROOM times what it has, so good documents have
 rates of about 1 and stay.
 
 Defined results: a null or empty text has 0 tokens and the posteriors of a text
-without features; repeated rows share posteriors, rate and copies.  Labels that
-are null, or of unknown documents, train nothing.  Domains without a labelled
-document get no share.  Without any labels, or any token, all rates are 1.
-Equal residuals give equal rates; all columns of df pass through ``resample``.
+without features; a very long one counts whole.  Repeated rows share posteriors,
+rate, u and copies; rows of equal or null doc_ids but different texts have each
+their own u.  Labels that are null, or of unknown documents, train nothing; a
+document with several labels trains once for each.  Domains without a labelled
+document get no share.  Without any labels, or any token, all rates are 1.  An
+empty table stays empty.  Of features with equal chi-squared those of the lower
+bucket are taken.  All columns of df pass through ``resample``, under any names,
+and nulls in them change nothing.
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm import _shared, _text
+from quarry.llm import _shared, _text, bpe
 
 DOMAINS = ("good", "low", "toxic")
 WEIGHTS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
@@ -50,6 +57,8 @@ BUCKETS = 1 << 18
 FEATURES, LEAST, CHI2 = 512, 3, 12.0
 #: Buckets of the marks of form.
 MARKS = 80
+#: Words whose number of tokens a task remembers.
+KNOWN = 200_000
 STEPS, TOLERANCE, HEADROOM = 60, 1e-4, 1.02
 EPOCHS, RATE, DECAY = 300, 0.5, 2e-4
 
@@ -217,6 +226,7 @@ class Fit:
     moves: list[np.ndarray]
     targets: np.ndarray
     totals: np.ndarray
+    ended: str  # "met", "still" or "steps"
 
 
 def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, float], budget: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
@@ -228,7 +238,7 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
     first = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * p[i]), F.lit(0.0)) for i in range(k)), *(F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)) for i, j in pairs)).first()
     totals = before = np.array(first[:k], float)
     if not totals.sum() or not w.sum():
-        return Fit(domains, [], totals, totals)
+        return Fit(domains, [], totals, totals, "met")
     w = w / w.sum()
     if budget is None:
         budget = HEADROOM * totals[0] / w[0] if domains[0] == DOMAINS[0] and w[0] > 0 else totals.sum()
@@ -238,9 +248,11 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
         gram[i, j] = gram[j, i] = x
     inverse = np.linalg.pinv(gram, rcond=1e-10)
     moves: list[np.ndarray] = []
-    t = 1.0
-    for _ in range(steps):
+    t, ended = 1.0, "steps"
+    for _ in range(steps + 1):
         if np.abs(totals - targets).max() <= tolerance * targets.max():
+            ended = "met"
+        if ended != "steps" or len(moves) == steps:
             break
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         momentum = (t - 1) / after
@@ -253,28 +265,35 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
         t = 1.0 if np.linalg.norm(new - targets) > np.linalg.norm(totals - targets) else after
         before, totals = totals, new
         if still:
-            break
-    return Fit(domains, moves, targets, totals)
+            ended = "still"
+    return Fit(domains, moves, targets, totals, ended)
 
 
-def posterior_table(df: DataFrame, model: Classifier, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, p_domain...) for each row; n_tokens counts words."""
-    kept = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = T.StructType([kept.schema["doc_id"], T.StructField("n_tokens", T.LongType()), *(T.StructField(f"p_{d}", T.DoubleType()) for d in model.domains)])
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def posterior_table(df: DataFrame, model: Classifier, text: str = "text", doc_id: str = "doc_id", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """(doc_id, key, n_tokens, p_domain...) for each row; key is the text's hash."""
+    kept = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(df[text]).alias("key"), F.col(text).alias("text"))
+    schema = T.StructType([kept.schema["doc_id"], kept.schema["key"], T.StructField("n_tokens", T.LongType()), *(T.StructField(f"p_{d}", T.DoubleType()) for d in model.domains)])
+    shared = df.sparkSession.sparkContext.broadcast((model, bpe.ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier, table = shared.value
+        words = bpe.Words(vocabulary, table)
         for batch in batches:
-            p, n = shared.value.posteriors(_text.strings(batch.column(1)))
+            texts = _text.strings(batch.column(2))
+            n = bpe.token_counts(texts, words)
+            if len(words.number) > KNOWN:  # memory, not results: words are encoded again
+                words = bpe.Words(vocabulary, table)
+            p, _ = classifier.posteriors(texts)
+            del texts
             _text.release()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in p.T)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in p.T)], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
-def copies(rate, doc_id: str = "doc_id"):
-    """floor(rate + u), u from the hash of doc_id."""
-    u = F.xxhash64(F.lit("mix"), F.col(doc_id)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+def copies(rate, doc_id: str = "doc_id", key: str = "key"):
+    """floor(rate + u), u from the hash of doc_id and of the text."""
+    u = F.xxhash64(F.lit("mix"), F.col(doc_id), F.col(key)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     return F.floor(rate + u).cast("int")
 
 
@@ -287,7 +306,7 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, b
     members, _ = _shared.write_table(posterior_table(df, model, text, doc_id), "posteriors")
     fitted = fit_rates(members, model.domains, weights, budget)
     rate = rate_column(model.domains, fitted.moves)
-    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"))), model, fitted
+    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"))).drop("key"), model, fitted
 
 
 def resample(df: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | None = None, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -304,9 +323,10 @@ def resample(df: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGH
         _text.release()
         return out
 
-    n, copy = _shared.fresh(df.columns, "__copies", "__copy")
+    n, copy, key = _shared.fresh(df.columns, "__copies", "__copy", "__key")
     # A deterministic function would be run once for the filter and once more for the copies.
-    taken = df.withColumn(n, copies(rate.asNondeterministic()(df[text]), doc_id)).where(F.col(n) > 0)
+    keyed = df.withColumn(key, F.xxhash64(df[text]))
+    taken = keyed.withColumn(n, copies(rate.asNondeterministic()(df[text]), doc_id, key)).where(F.col(n) > 0)
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*df.columns)
 
 

@@ -7,8 +7,10 @@ either stays or moves to one of the new shards, which happens to the fraction
 
 Defined results: a null key has shard null (``assign`` and ``plan_growth``) and
 is written to shard 0 (``write_shards``); equal keys, so all repeats of a row,
-share a shard; the empty string is a key as any other.  A column of ``df`` that
-has the name of an added one is replaced.
+share a shard, in no order of theirs; the empty string is a key as any other.
+Other columns, nulls and very long texts among them, are written as they are.  An
+empty table has no shard folder.  A column of ``df`` that has the name of an added
+one is replaced.
 """
 
 from __future__ import annotations

@@ -1,6 +1,12 @@
+import itertools
+
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 
+from quarry.llm import _text as T
+from quarry.llm import bpe
 from quarry.llm import mixing as m
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -22,6 +28,97 @@ def gradient(n, p, targets, steps=20_000):
     return np.linalg.norm(a.T @ r - targets)
 
 
+def plain_features(text):
+    """Distinct buckets of a text, from its words, sign runs and marks of form, a character at a time."""
+    kind, fold = T.class_tables()
+    code = [ord(c) for c in text]
+    word = [bool(kind[c] & 3) for c in code]
+    sign = [kind[c] == 0 for c in code]
+
+    def runs(flags):
+        return [[i for i, _ in g] for on, g in itertools.groupby(enumerate(flags), key=lambda x: x[1]) if on]
+
+    def hashed(codes, base):
+        x = np.array(codes, np.uint32)
+        return int(T.segment_hash(x, np.array([0]), np.array([len(x)]), base)[0]) >> 24
+
+    words = [hashed([int(fold[code[i]]) for i in r], T.BASE) for r in runs(word)]
+    keys = {*words, *(hashed([code[i] for i in r], T.BASE2) for r in runs(sign))}
+    if not words:
+        return {m.MARKS + k % (m.BUCKETS - m.MARKS) for k in keys}, 0
+    loud = sum(sum(int(fold[code[i]]) != code[i] for i in r) >= max(len(r), 2) for r in runs(word))
+    lines = [x for x in text.split("\n") if x]
+    shares = (sum(a == b for a, b in itertools.pairwise(words)), len(words)), (len(set(words)), len(words)), (loud, len(words)), (len(lines) - len(set(lines)), max(1, len(lines)))
+    marks = {int(np.floor(10 * x / y)) + 16 * i for i, (x, y) in enumerate(shares)} | {64 + min(int(np.log2(len(words) + 1)), 15)}
+    return marks | {m.MARKS + k % (m.BUCKETS - m.MARKS) for k in keys}, len(words)
+
+
+def plain_posteriors(model, texts):
+    out = []
+    for t in texts:
+        found = plain_features(t)[0]
+        at = [i for i, b in enumerate(model.chosen.tolist()) if b in found]
+        z = [model.bias[d] + sum(model.weights[i, d] for i in at) for d in range(len(model.domains))]
+        e = [np.exp(x - max(z)) for x in z]
+        out.append([x / sum(e) for x in e])
+    return np.array(out)
+
+
+def plain_rates(p, n, domains, weights=m.WEIGHTS):
+    """The descent on a vector of rates: gradient preconditioned by the Gram matrix, cut off at 0, momentum that is dropped when the residual grows."""
+    w = np.array([weights[d] for d in domains])
+    targets = w / w.sum() * (m.HEADROOM * (n @ p)[0] / (w / w.sum())[0])
+    inverse = np.linalg.pinv((p * n[:, None]).T @ p, rcond=1e-10)
+    rate = old = np.ones(len(n))
+    t = 1.0
+    far = lambda r: (r * n) @ p - targets
+    for _ in range(m.STEPS):
+        if np.abs(far(rate)).max() <= m.TOLERANCE * targets.max():
+            break
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        momentum = (t - 1) / after
+        # The gradient is taken where the totals, which are linear, are carried on to.
+        step = far(rate) + momentum * (far(rate) - far(old))
+        new = np.maximum(0, rate + momentum * (rate - old) - p @ (inverse @ step))
+        still = np.abs(far(new) - far(rate)).max() <= 1e-3 * m.TOLERANCE * targets.max()
+        t = 1.0 if np.linalg.norm(far(new)) > np.linalg.norm(far(rate)) else after
+        rate, old = new, rate
+        if still:
+            break
+    return rate
+
+
+def test_query_as_plain_python(spark, sf_dir):
+    """Posteriors, tokens, rates and copies of all documents."""
+    docs, labels = split(spark, sf_dir)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = m.query(spark, sf_dir).orderBy("doc_id").toPandas()
+    model = m.train(docs, labels)
+    ids = rows.doc_id.tolist()
+    assert sorted(texts) == ids
+    p = plain_posteriors(model, [texts[i] for i in ids])
+    assert rows[[f"p_{d}" for d in model.domains]].to_numpy() == pytest.approx(p, abs=1e-9)
+    encode = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(bpe.VOCABULARY), special_tokens={}).encode_ordinary
+    n = np.array([len(encode(texts[i])) for i in ids])
+    assert rows.n_tokens.tolist() == n.tolist()
+    rate = plain_rates(p, n, model.domains)
+    assert rows.rate.to_numpy() == pytest.approx(rate, abs=1e-6)
+    assert ((rows.copies == np.floor(rate)) | (rows.copies == np.floor(rate) + 1)).all()
+
+
+def test_token_counts(edge_texts):
+    encode = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(bpe.VOCABULARY), special_tokens={}).encode_ordinary
+    texts = [t or "" for t in edge_texts]
+    assert bpe.token_counts(texts, bpe.Words(bpe.VOCABULARY, bpe.ranks(bpe.VOCABULARY))).tolist() == [len(encode(t)) for t in texts]
+
+
+def test_fit_says_how_it_ended(spark):
+    rows = [(i, 10, 0.8, 0.15, 0.05) for i in range(10)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+    ends = {m.fit_rates(members, m.DOMAINS, w, b, steps=s).ended for w, b, s in (({"good": 0.8, "low": 0.15, "toxic": 0.05}, 100.0, 60), ({"good": 0.1, "low": 0.1, "toxic": 0.8}, 100.0, 60), ({"good": 0.8, "low": 0.15, "toxic": 0.05}, 7.0, 0))}
+    assert ends == {"met", "still", "steps"}
+
+
 def test_rates_meet_targets_as_well_as_brute_force(spark):
     r = np.random.default_rng(0)
     p = r.dirichlet([0.4, 0.3, 0.2], 400)
@@ -72,7 +169,7 @@ def test_clean_documents_stay(spark):
 
 def test_copies_are_the_rate_in_expectation(spark):
     df = spark.range(20_000).selectExpr("id as doc_id", "0.3 + (id % 3) as rate")
-    got = df.withColumn("n", m.copies(df.rate)).groupBy((df.doc_id % 3).alias("k")).avg("n").collect()
+    got = df.withColumn("key", df.doc_id).withColumn("n", m.copies(df.rate)).groupBy((df.doc_id % 3).alias("k")).avg("n").collect()
     assert {r.k: round(r["avg(n)"], 1) for r in got} == {0: 0.3, 1: 1.3, 2: 2.3}
 
 
@@ -93,6 +190,9 @@ def test_edges(spark, docs_of, edge_texts, clashing):
     out = m.resample(df, labels)
     assert out.columns == df.columns
     n = {r.doc_id: r.copies for r in rows}
+    # null ids: each text has its own u
+    many = docs_of([(None, f"text {i}") for i in range(400)]).selectExpr("xxhash64(text) as key", "doc_id", "0.5 as rate")
+    assert 120 < many.select(m.copies(many.rate).alias("c")).where("c = 1").count() < 280
     got = {r.doc_id: r["count"] for r in out.select("doc_id").groupBy("doc_id").count().collect() if r.doc_id is not None}
     assert got == {i: c for i, c in n.items() if c and i is not None}
 

@@ -1,30 +1,47 @@
-from collections import Counter
+import math
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 
 import corpus_pipeline as c
-from quarry.llm import bpe, langid, mixing, simhash
+from quarry.llm import _text, bpe, langid, mixing, simhash
+from tests.llm.test_mixing import plain_posteriors, plain_rates
 from tests.llm.test_simhash import brute as near_brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def known_share(model, text):
+    """Share of a text's words that lie in spans of the model's languages, by Viterbi over the words of this text alone; None without a word."""
+    cps, offsets = _text.code_points([text or ""])
+    start, end, _, script = langid.word_runs(cps, offsets)
+    if not len(start):
+        return None
+    return float((best_path(langid.word_scores(model, cps, start, end, script), langid.PENALTY) < model.languages).mean())
+
+
+def best_path(scores, penalty):
+    """The best labels by the plain recurrence; staying wins ties."""
+    value, came = scores[0], []
+    for row in scores[1:]:
+        jump = value.max() - penalty
+        came.append(np.where(value >= jump, np.arange(len(value)), value.argmax()))
+        value = np.maximum(value, jump) + row
+    path = [int(value.argmax())]
+    for c in reversed(came):
+        path.append(int(c[path[-1]]))
+    return np.array(path[::-1])
+
+
 def test_run_as_brute_force(spark, sf_dir):
     """Each stage by itself in plain Python, on what the stage before keeps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = [tuple(r) for r in docs.select(*COLUMNS).collect()]
     model = langid.train(docs)
-
-    def known(text):
-        words = Counter()
-        for *_, n, state in langid.label(model, [text or ""]):
-            for k, s in zip(n.tolist(), state.tolist(), strict=True):
-                words[s < model.languages] += k
-        return words[True] + words[False] > 0 and words[True] >= 0.25 * (words[True] + words[False])
-
-    rows = [r for r in rows if known(r[1])]
+    rows = [r for r in rows if (known_share(model, r[1]) or 0) >= 0.25]
     first = {}
     for r in sorted(rows):
         first.setdefault(r[1], r)
@@ -32,15 +49,13 @@ def test_run_as_brute_force(spark, sf_dir):
     stay = set(near_brute([r[:2] for r in rows]))
     rows = [r for r in rows if r[0] in stay]
     df = spark.createDataFrame(rows, docs.select(*COLUMNS).schema)
-    _, classifier, fit = mixing.mix(df, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    p, _ = classifier.posteriors([r[1] for r in rows])
-    rate = mixing.replay(p, fit.moves)
-    u = {r.doc_id: r.c for r in df.select("doc_id", mixing.copies(mixing.F.lit(0.0)).alias("c")).collect()}
-    assert set(u.values()) == {0}
-    whole = {r.doc_id: r.copies for r in mixing.mix(df, spark.read.parquet(f"{sf_dir}/labels.parquet"))[0].collect()}
-    assert all(int(x) <= whole[r[0]] <= int(x) + 1 for r, x in zip(rows, rate.tolist(), strict=True))
     encode = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(bpe.VOCABULARY), special_tokens={}).encode_ordinary
-    want = sorted((r[0], r[2], r[3], r[4], tuple(encode(r[1]))) for r in rows for _ in range(whole[r[0]]))
+    ids = [encode(r[1]) for r in rows]
+    classifier = mixing.train(df, labels)
+    rate = plain_rates(plain_posteriors(classifier, [r[1] for r in rows]), np.array(list(map(len, ids))), classifier.domains)
+    hashes = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64('mix', doc_id, xxhash64(text)) as h").collect()}
+    copies = [math.floor(x + (hashes[r[0]] & ((1 << 52) - 1)) / (1 << 52)) for r, x in zip(rows, rate.tolist(), strict=True)]
+    want = sorted((r[0], r[2], r[3], r[4], tuple(i)) for r, i, n in zip(rows, ids, copies, strict=True) for _ in range(n))
     out = c.run(spark, sf_dir)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids"]
     assert sorted((r.doc_id, r.lang, r.source, r.n_chars, tuple(r.token_ids)) for r in out.collect()) == want
@@ -49,7 +64,8 @@ def test_run_as_brute_force(spark, sf_dir):
 @pytest.mark.parametrize("k", range(5))
 def test_stage_on_edges(spark, sf_dir, docs_of, edge_texts, clashing, k):
     """Nulls in any column, empty and very long texts, repeats, extra columns."""
-    rows = [*enumerate(t for t in edge_texts if len(t or "") < 700_000), (None, "no id at all"), (None, None)]
+    rows = [*enumerate(edge_texts), (None, "no id at all"), (None, None)]
+    assert max(len(t or "") for _, t in rows) >= 700_000
     df = docs_of(rows, 3).selectExpr("doc_id", "text", "nullif(lang, case when doc_id % 2 = 0 then 'en' end) as lang", "nullif(source, case when doc_id = 1 then 'src0' end) as source", "n_chars")
     name, stage = c.STAGES[k]
     out = stage(spark, clashing(df), sf_dir)
@@ -59,7 +75,19 @@ def test_stage_on_edges(spark, sf_dir, docs_of, edge_texts, clashing, k):
     assert rows_out <= 2 * len(rows)
     plain = stage(spark, df, sf_dir)
     assert plain.columns == (COLUMNS if k < 4 else ["doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids"])
-    assert plain.count() == rows_out
+    got = plain.collect()
+    assert len(got) == rows_out
+    ids = {r.doc_id for r in got}
+    without = {0, 1, 2, 3, 4, 5}  # null, empty, blank, wordless
+    assert {9, 11, 12} & ids == ids & {9, 11, 12} and 11 in ids  # the long prose stays in every stage
+    if k == 0:
+        assert not ids & without
+    elif k == 1:
+        assert ids == {0, 1, 2, 4, 5, 6, 8, 9, 11, 12, None} and sum(r.doc_id is None for r in got) == 2
+    elif k == 2:
+        assert ids == set(range(13)) - {7, 10} | {None}
+    elif k == 4:
+        assert len(got) == len(rows) and {r.doc_id: r.n_tokens for r in got if r.doc_id is not None and r.doc_id < 4} == {0: -1, 1: -1, 2: 0, 3: 0}
     assert stage(spark, df.where("false"), sf_dir).count() == 0
 
 
