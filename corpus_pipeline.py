@@ -2,9 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs.  All but the last return the
-columns of documents; the last returns doc_id, lang, source, n_chars, n_tokens
-and token_ids.  Language models, the mixing classifier and all statistics are
-fitted on the stage's own input.
+columns of documents, and any others that docs has; the last returns all but the
+text, n_tokens and token_ids.  Language models, the mixing classifier and all
+statistics are fitted on the stage's own input.
+
+Defined results by stage (more in the operators' modules).  Null, empty and
+wordless texts are rejected by language ID; the later stages, given such, keep
+null texts apart and count them as 0 tokens (BPE: null ids, -1 tokens).  Nulls in
+doc_id, lang, source or n_chars reject nothing; rows without lang are not trained
+on.  Very long texts are processed whole by every stage.  Of equal texts the row
+with the least doc_id stays (nulls last), of near ones too; ties of scores and
+counts are settled as the modules say.  Identical rows leave one in both dedup
+stages; the others treat each by itself and alike.  An empty table stays empty in
+every stage.  Extra columns pass through under any name, also those that the
+operators use inside.
 """
 
 from __future__ import annotations
