@@ -28,6 +28,7 @@ name, and pages without rows give no records.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +44,7 @@ PIECE = 1 << 20
 LEVEL = 6
 SCHEMA = "file string, record long, offset long, length long, raw_offset long, raw_length long, type string, uri string, id string, status string"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-MAGIC, MARK = b"\x1f\x8b\x08", b"WARC/1."
+MAGIC, MARK, BLANK = b"\x1f\x8b\x08", b"WARC/1.", re.compile(rb"\n\r?\n")
 
 
 class Broken(Exception):
@@ -161,8 +162,9 @@ class Buffer:
         seen = 0
         while True:
             begin = max(0, seen - len(MARK))
-            at = min((i + len(end) for end in (b"\n\r\n", b"\n\n") if (i := self.held.find(end, begin)) >= 0), default=0)
-            if at:
+            end = BLANK.search(self.held, begin)
+            if end:
+                at, end = end.end(), None  # a match keeps the buffer from being changed
                 head = bytes(self.held[:at])
                 self.drop(at)
                 return head
