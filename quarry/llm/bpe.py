@@ -58,6 +58,8 @@ CHUNK = 6 << 20
 BUCKET, MOST_BUCKETS = 32 << 20, 5000
 #: A vocabulary above this is not broadcast but refused.
 MOST_TOKENS = 2_000_000
+#: Pre-tokens whose number of tokens a task remembers.
+KNOWN = 1 << 20
 _ENCODERS: dict = {}
 
 
@@ -95,8 +97,8 @@ class Words:
         self.number: dict[bytes, int] = {}
         self.sizes, self.begin, self.flat = array("L"), array("L"), array("I")
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The words' places in sizes and begin."""
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the words in order, the size of each)."""
         for w in words:
             if w not in self.number:
                 got = self.one(w)
@@ -104,22 +106,58 @@ class Words:
                 self.sizes.append(len(got))
                 self.begin.append(len(self.flat))
                 self.flat.extend(got)
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return _text.expand(at, *(np.frombuffer(x, kind) for x, kind in ((self.sizes, np.int64), (self.flat, np.uint32), (self.begin, np.int64))))
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids of the words in order, the size of each)."""
-        return _text.expand(self.numbers(words), *(np.frombuffer(x, kind) for x, kind in ((self.sizes, np.int64), (self.flat, np.uint32), (self.begin, np.int64))))
-
-
-def token_counts(texts: list[str], words: Words) -> np.ndarray:
-    """The number of tokens of each text."""
-    out = []
-    for lo, hi in _text.slices(texts, CHUNK // 2):
-        c = _text.Chunk(texts[lo:hi])
-        at = words.numbers([w.encode("utf-8", "surrogatepass") for w in c.words])
-        total = np.concatenate([[0], np.cumsum(np.frombuffer(words.sizes, np.int64)[at][c.sequence])])
-        out.append(np.diff(total[np.concatenate([[0], np.cumsum(c.counts)])]))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+class TokenCounts:
+    """The numbers of tokens of texts; of each pre-token it has once been encoded, it keeps two 64-bit hashes and the number."""
+
+    def __init__(self, path: str, table: dict[bytes, int]):
+        self.one = encoder(path, table)._core_bpe.encode_single_piece
+        self.hash, self.check, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = []
+        for lo, hi in _text.slices(texts):
+            cps, offsets = _text.code_points(texts[lo:hi])
+            start = _text.pretokens(cps, offsets)
+            end = np.append(start[1:], len(cps))[: len(start)]
+            total = np.concatenate([[0], np.cumsum(self.sizes(cps, start, end))])
+            out.append(np.diff(total[np.searchsorted(start, offsets)]))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def sizes(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of tokens of each pre-token."""
+        h, g = _text.segment_hash(cps, start, end), _text.segment_hash(cps, start, end, _text.BASE2)
+        distinct, at, sequence = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, distinct)
+        there, known = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+        inside = place < len(self.hash)
+        there[inside] = self.hash[place[inside]] == distinct[inside]
+        known[there] = self.check[place[there]] == g[at[there]]
+        n = np.empty(len(distinct), np.int64)
+        n[known] = self.size[place[known]]
+        new = np.flatnonzero(~known)
+        n[new] = self.encoded(cps, start[at[new]], end[at[new]])
+        size = n[sequence.reshape(-1)]
+        odd = np.flatnonzero(g != g[at][sequence.reshape(-1)])  # another word of the same hash
+        size[odd] = self.encoded(cps, start[odd], end[odd])
+        fresh = new[~there[new]]
+        if len(fresh):
+            if len(self.hash) > KNOWN:  # memory, not results: words are encoded again
+                self.hash, self.check, self.size = self.hash[:0], self.check[:0], self.size[:0]
+            place = np.searchsorted(self.hash, distinct[fresh])
+            self.hash, self.check, self.size = (np.insert(old, place, x) for old, x in ((self.hash, distinct[fresh]), (self.check, g[at[fresh]]), (self.size, n[fresh])))
+        return size
+
+    def encoded(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[int]:
+        """Encode these words, each by itself."""
+        size = end - start
+        begin = np.cumsum(size) - size
+        flat = cps[np.repeat(start - begin, size) + np.arange(int(size.sum()))]
+        joined, one = flat.tobytes().decode("utf-32-le", "surrogatepass"), self.one
+        return [len(one(joined[a:b].encode("utf-8", "surrogatepass"))) for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -57,8 +57,6 @@ BUCKETS = 1 << 18
 FEATURES, LEAST, CHI2 = 512, 3, 12.0
 #: Buckets of the marks of form.
 MARKS = 80
-#: Words whose number of tokens a task remembers.
-KNOWN = 200_000
 STEPS, TOLERANCE, HEADROOM = 60, 1e-4, 1.02
 EPOCHS, RATE, DECAY = 300, 0.5, 2e-4
 
@@ -84,12 +82,13 @@ def features(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         e = np.flatnonzero(before & (~sign | edge))
         sdoc = np.searchsorted(offsets, s, side="right") - 1
         key = np.concatenate([h, _text.segment_hash(cps, s, e, _text.BASE2)]) >> np.uint64(24)
-        both = (np.concatenate([doc, sdoc]).astype(np.uint64) << np.uint64(40)) | key
-        distinct = np.unique(both)
+        signs = np.repeat(np.array([0, 1], np.uint64), [len(doc), len(sdoc)]) << np.uint64(63)
+        both = signs | (np.concatenate([doc, sdoc]).astype(np.uint64) << np.uint64(40)) | key
+        distinct = _text.unique(both)
+        kinds = np.bincount((distinct[distinct < 1 << 63] >> np.uint64(40)).astype(np.int64), minlength=n)  # distinct words
+        distinct &= np.uint64((1 << 63) - 1)
         # Marks of form: by tenths words that repeat the one before, distinct words, words in capitals, lines that repeat the one before; words by powers of two.
         again = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (h[1:] == h[:-1])], minlength=n) if len(h) else np.zeros(n)
-        known = np.unique((doc.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
-        kinds = np.bincount((known >> np.uint64(40)).astype(np.int64), minlength=n)
         capital = fold[cps] != cps
         loud = np.add.reduceat(capital, start) >= np.maximum(end - start, 2) if len(start) else np.zeros(0, bool)
         loud = np.bincount(doc[loud], minlength=n)
@@ -105,7 +104,7 @@ def features(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
 def repeated_lines(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lines, lines that another line of the text before it equals) of each text."""
     n = len(offsets) - 1
-    start = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(cps == 10) + 1]))
+    start = _text.unique(np.concatenate([offsets[:-1], np.flatnonzero(cps == 10) + 1]))
     start = start[start < len(cps)]
     end = np.append(start[1:], len(cps))[: len(start)]
     end = np.where(cps[np.maximum(end - 1, 0)] == 10, end - 1, end) if len(start) else end
@@ -114,7 +113,7 @@ def repeated_lines(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     doc = np.searchsorted(offsets, start, side="right") - 1
     key = (doc.astype(np.uint64) << np.uint64(40)) | (_text.segment_hash(cps, start, end) >> np.uint64(24))
     lines = np.bincount(doc, minlength=n)
-    return lines, lines - np.bincount((np.unique(key) >> np.uint64(40)).astype(np.int64), minlength=n)
+    return lines, lines - np.bincount((_text.unique(key) >> np.uint64(40)).astype(np.int64), minlength=n)
 
 
 @dataclass(frozen=True)
@@ -277,12 +276,10 @@ def posterior_table(df: DataFrame, model: Classifier, text: str = "text", doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier, table = shared.value
-        words = bpe.Words(vocabulary, table)
+        tokens = bpe.TokenCounts(vocabulary, table)
         for batch in batches:
             texts = _text.strings(batch.column(2))
-            n = bpe.token_counts(texts, words)
-            if len(words.number) > KNOWN:  # memory, not results: words are encoded again
-                words = bpe.Words(vocabulary, table)
+            n = tokens(texts)
             p, _ = classifier.posteriors(texts)
             del texts
             _text.release()

@@ -106,10 +106,24 @@ def test_query_as_plain_python(spark, sf_dir):
     assert ((rows.copies == np.floor(rate)) | (rows.copies == np.floor(rate) + 1)).all()
 
 
-def test_token_counts(edge_texts):
+def test_token_counts(edge_texts, sentence, monkeypatch):
     encode = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(bpe.VOCABULARY), special_tokens={}).encode_ordinary
-    texts = [t or "" for t in edge_texts]
-    assert bpe.token_counts(texts, bpe.Words(bpe.VOCABULARY, bpe.ranks(bpe.VOCABULARY))).tolist() == [len(encode(t)) for t in texts]
+    texts = [t or "" for t in edge_texts] + [sentence(i, 200) for i in range(9)]
+    want = [len(encode(t)) for t in texts]
+    for known in (1 << 20, 3):
+        monkeypatch.setattr(bpe, "KNOWN", known)
+        tokens = bpe.TokenCounts(bpe.VOCABULARY, bpe.ranks(bpe.VOCABULARY))
+        assert tokens(texts).tolist() == want == tokens(texts).tolist()
+        assert [int(tokens([t])[0]) for t in texts] == want
+
+
+def test_token_counts_of_words_that_share_a_hash(monkeypatch):
+    encode = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(bpe.VOCABULARY), special_tokens={}).encode_ordinary
+    plain = T.segment_hash
+    monkeypatch.setattr(T, "segment_hash", lambda v, s, e, base=T.BASE: plain(v, s, e, base) & np.uint64(3) if base == T.BASE else plain(v, s, e, base))
+    tokens = bpe.TokenCounts(bpe.VOCABULARY, bpe.ranks(bpe.VOCABULARY))
+    for text in ("one two three extraordinarily four", "four zzzzqqqq 123 one one", "one"):
+        assert tokens([text]).tolist() == [len(encode(text))]
 
 
 def test_fit_says_how_it_ended(spark):
