@@ -10,9 +10,9 @@
 2. The distinct pre-tokens are shuffled by hash into buckets, of which there is
    one for each BUCKET bytes of text, but at most MOST_BUCKETS, so that a chunk's
    part of a bucket stays some twenty words.  All chunks' occurrences of a word meet
-   in one bucket.  A task goes through its buckets one after the other, a piece of
-   rows at a time, encodes each distinct word of a bucket once, and sends its ids
-   back to each chunk; it holds the bucket's distinct words and no more.
+   in one bucket.  A task has one bucket, goes through it a piece of rows at a time,
+   encodes each distinct word once, and sends its ids back to each chunk; it holds
+   the bucket's distinct words and no more.
 3. The ids come together by chunk, are joined to its positions, and every
    document's tokens are put together in order.
 
@@ -55,7 +55,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters of text whose pre-tokens are numbered together.
 CHUNK = 6 << 20
 #: Bytes of text for each bucket of words, and the most buckets.
-BUCKET, MOST_BUCKETS = 32 << 20, 5000
+BUCKET, MOST_BUCKETS = 24 << 20, 5000
 #: A vocabulary above this is not broadcast but refused.
 MOST_TOKENS = 2_000_000
 #: Pre-tokens whose number of tokens a task remembers.
@@ -269,23 +269,19 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, carr
     written, _ = _shared.write_table(kept.mapInArrow(number, "chunk string, bucket int, data binary"), "pretokens")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, Words(vocabulary, table.value)
+        known = Words(vocabulary, table.value)
         for batch in batches:
-            chunks = batch.column(0).to_pylist()
-            for i, bucket in enumerate(batch.column(1).to_pylist()):
-                if bucket != now:
-                    now, known = bucket, Words(vocabulary, table.value)
-                blob = batch.column(2)[i].as_py()
-                ids = None
+            for i, chunk_name in enumerate(batch.column(0).to_pylist()):
+                blob, ids = batch.column(2)[i].as_py(), None
                 if blob is not None:
                     words, steps = unpack_words(blob)
                     got, size = known.ids(words)
                     ids = pack(steps, size, got)
-                yield pa.RecordBatch.from_arrays([pa.array([chunks[i]]), pa.array([ids], pa.binary())], names=["chunk", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk_name]), pa.array([ids], pa.binary())], names=["chunk", "ids"])
         del known
         _text.release()
 
-    encoded = written.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(once, "chunk string, ids binary")
+    encoded = written.repartitionById(buckets, "bucket").mapInArrow(once, "chunk string, ids binary")
     schema = T.StructType([*(kept.schema[c] for c in carry), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     list_type = to_arrow_schema(schema).field("token_ids").type
 
