@@ -41,7 +41,9 @@ def harmonic_exact(vertices: DataFrame, edges: DataFrame, depth: int, vertex: st
     reached = levels[1][0] if len(levels) > 1 else levels[0][0].where("false")
     for df, _ in levels[2:]:
         reached = reached.unionByName(df)
-    sums = reached.groupBy("vertex").agg(F.sum(1 / F.col("level")).alias("harmonic"))
+    sums, _ = tables.cut(reached.groupBy("vertex").agg(F.sum(1 / F.col("level")).alias("harmonic")), "harmonic")
+    for _, path in levels:
+        tables.remove(spark, path)
     return vertices.select(F.col(vertex).alias("vertex")).join(sums, "vertex", "left").select(F.col("vertex").alias(vertex), F.coalesce("harmonic", F.lit(0.0)).alias("harmonic"))
 
 
@@ -49,7 +51,8 @@ def hyper_ball(vertices: DataFrame, edges: DataFrame, precision: int = 10, verte
     """(vertex, harmonic): each vertex keeps a sketch of who reaches it in t steps, and what a round adds counts 1 / t.
 
     All sketches of a round come from those of the round before, so the result does
-    not depend on the order of tasks.  It ends when no estimate changes.  A round
+    not depend on the order of tasks.  It ends when no estimate changes, and is an
+    error if that takes more than ``most_rounds``.  A round
     shuffles a sketch for each edge, combined before the shuffle.
     """
     spark = vertices.sparkSession
@@ -66,6 +69,8 @@ def hyper_ball(vertices: DataFrame, edges: DataFrame, precision: int = 10, verte
         tables.remove(spark, old)
         if not now.agg(F.bool_or("changed")).first()[0]:
             break
+    else:
+        raise RuntimeError(f"estimates still change after {most_rounds} rounds")
     tables.remove(spark, back_path)
     return now.select(F.col("vertex").alias(vertex), "harmonic")
 

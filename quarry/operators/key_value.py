@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import tables
+from quarry.operators import staging
 
 MOST_BYTES = 20 << 20
 
@@ -57,8 +58,11 @@ def size(table: DataFrame) -> DataFrame:
 class Store:
     """A key-value table in a folder: additions are staged, a merge writes a new version and then turns to it.
 
-    The table that is being read is never overwritten.  A merge that was broken off
-    leaves a version without its mark, which the next one passes over.
+    The table that is being read is never overwritten.  A merge takes the batches
+    that are whole when it begins, and removes these only; one that is staged
+    meanwhile waits for the next.  A merge that was broken off leaves a version
+    without its mark, which the next one passes over, or batches that the mark
+    names, which the next one removes unread.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -70,12 +74,7 @@ class Store:
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and tables.exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
-
-    def _staged(self) -> DataFrame | None:
-        if not tables.exists(self.spark, f"{self.path}/staged"):
-            return None
-        return self.spark.read.parquet(f"{self.path}/staged")
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and tables.exists(self.spark, f"{self.path}/{n}/{staging.MARK}"))
 
     def table(self) -> DataFrame:
         """The merged table; empty before the first merge."""
@@ -90,24 +89,29 @@ class Store:
 
     def merge(self, removed: DataFrame | None = None) -> None:
         """Fold the staged rows into a new version of the table, without the removed keys."""
-        staged = self._staged()
-        v = self._versions()
+        folder, v = f"{self.path}/staged", self._versions()
+        batches = staging.whole(self.spark, folder)
+        done = staging.marked(self.spark, f"{self.path}/v={v[-1]}") if v else {}
+        new = {name: time for name, time in batches.items() if done.get(name) != time}
         now = self.table()
+        staged = staging.read(self.spark, folder, new)
         both = now.unionByName(staged.select(*now.columns)) if staged is not None else now
         out = latest(both)
-        out = remove(out, removed) if removed is not None else out
-        number = v[-1] + 1 if v else 1
-        out.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/v={number}")
-        tables.remove(self.spark, f"{self.path}/staged")
+        self._write(remove(out, removed) if removed is not None else out, v, batches)
+        staging.remove(self.spark, folder, batches)
         for old in v[:-1]:  # the version before stays for its readers
             tables.remove(self.spark, f"{self.path}/v={old}")
 
     def merge_from(self, other: DataFrame) -> None:
         """Fold another table (say, shards from elsewhere) into a new version: its newer rows win, equal versions keep the store's."""
         v = self._versions()
-        number = v[-1] + 1 if v else 1
-        out = merge_with(self.table(), latest(other).select(*self.table().columns))
-        out.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/v={number}")
+        done = staging.marked(self.spark, f"{self.path}/v={v[-1]}") if v else {}
+        self._write(merge_with(self.table(), latest(other).select(*self.table().columns)), v, done)
+
+    def _write(self, df: DataFrame, versions: list[int], batches: dict[str, int]) -> None:
+        path = f"{self.path}/v={versions[-1] + 1 if versions else 1}"
+        df.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd").parquet(path)
+        staging.mark(self.spark, path, batches)
 
     def truncate(self) -> None:
         tables.remove(self.spark, self.path)

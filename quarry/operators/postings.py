@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import tables
+
 BEST = (F.desc, "score")
 
 
@@ -54,9 +56,26 @@ def merge_with(a: DataFrame, b: DataFrame) -> DataFrame:
     return fold_records(a.unionByName(b)) if "score" in a.columns else a.unionByName(b).distinct()
 
 
+#: Tokens with the longest lists, whose sizes are sent to all tasks.
+LONGEST = 10_000
+
+
+def with_token_size(df: DataFrame, size: str = "size", longest: int = LONGEST) -> DataFrame:
+    """Each record with the number of records of its token; df should be a written table.
+
+    The sizes of the longest lists, a bounded table, are broadcast, and their
+    records are not shuffled; the records of the other tokens are joined by token.
+    """
+    sizes = df.groupBy("token").agg(F.count(F.lit(1)).alias(size))
+    heavy = sizes.orderBy(F.desc(size), "token").limit(longest).withColumn("__heavy", F.lit(True))
+    hot = df.join(F.broadcast(heavy), "token").drop("__heavy")
+    rest = df.join(F.broadcast(heavy.select("token")), "token", "left_anti")
+    return hot.unionByName(rest.join(sizes, "token"))
+
+
 def with_list_size(df: DataFrame) -> DataFrame:
     """Each record with the number of records of its token (size)."""
-    return df.join(df.groupBy("token").agg(F.count(F.lit(1)).alias("size")), "token")
+    return with_token_size(tables.cut(df, "records")[0])
 
 
 def transform(df: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import tables
 from quarry.functions import scoring
+from quarry.operators.postings import with_token_size
 
 RANK = (F.desc, F.asc)
 
@@ -46,7 +48,24 @@ def many_domains(results: DataFrame, domain: str = "domain") -> DataFrame:
 
 def relative_threshold(df: DataFrame, share: float = 0.8, key: str = "domain", count: str = "count") -> DataFrame:
     """Rows with at least a share of their key's greatest count."""
-    return df.withColumn("__top", F.max(count).over(Window.partitionBy(key))).where(F.col(count) >= share * F.col("__top")).drop("__top")
+    top = df.groupBy(F.col(key).alias("__k")).agg(F.max(count).alias("__top"))
+    return df.join(top, F.col(key).eqNullSafe(F.col("__k"))).where(F.col(count) >= share * F.col("__top")).drop("__k", "__top")
+
+
+def dense_ids(df: DataFrame, *order: str, id_name: str = "id") -> DataFrame:
+    """Rows numbered from 0 in the order of the columns, without a task that sees all of them.
+
+    Rows are ranged and sorted, numbered in their partition, and written, since
+    ranges may differ from run to run; a partition's base is the sum of the sizes
+    before it, a window over a row for each partition.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed, _ = tables.cut(place, "ranged")
+    sizes = placed.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return placed.join(bases, F.col("__part") == F.col("__p")).select(*df.columns, (F.col("__base") + F.col("__at")).alias(id_name))
 
 
 def top_per_key(df: DataFrame, most: int, key: str = "domain", count: str = "count", value: str = "word") -> DataFrame:
@@ -75,10 +94,10 @@ def bm25(counts: DataFrame, document: str = "value", k1: float = 1.2, b: float =
 
 
 def _scored(counts: DataFrame, document: str, formula: Callable[[dict[str, Column]], Column]) -> DataFrame:
-    sizes = counts.groupBy(document).agg(F.sum("count").alias("__size"))
+    written, _ = tables.cut(counts, "counts")  # it is read four times
+    sizes = written.groupBy(document).agg(F.sum("count").alias("__size"))
     whole = sizes.agg(F.count(F.lit(1)).alias("__documents"), F.avg("__size").alias("__mean"))
-    tokens = counts.groupBy("token").agg(F.count(F.lit(1)).alias("__with"))
-    all_ = counts.join(sizes, document).join(tokens, "token").crossJoin(F.broadcast(whole))
+    all_ = with_token_size(written, "__with").join(sizes, document).crossJoin(F.broadcast(whole))
     parts = {"tf": F.col("count") / F.col("__size"), "size": F.col("__size"), "documents": F.col("__documents"), "mean_size": F.col("__mean"), "with_token": F.col("__with")}
     return all_.select(*(c for c in counts.columns if c != "score"), formula(parts).alias("score"))
 

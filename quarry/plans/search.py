@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scoring
@@ -84,8 +84,9 @@ def site_search(query: str, urls: DataFrame, links: DataFrame, most_links: int =
     best = rk.per_domain(hits.withColumn("domain", domain), most_links, "domain", F.desc("score"), F.asc("value"))
     grouped = best.groupBy("target").agg(F.sum(scoring.grouped_link_curve(F.col("score"))).alias("link_score"))
     both = found.join(grouped, found["value"] == grouped["target"], "left")
-    out = both.select("domain", "value", (2 * F.col("score") + scoring.length_bonus(F.col("url_length")) + F.coalesce("link_score", F.lit(0.0))).alias("score"), F.count(F.lit(1)).over(Window.partitionBy("domain")).alias("total"))
-    return rk.per_domain(out, most)
+    out = both.select("domain", "value", (2 * F.col("score") + scoring.length_bonus(F.col("url_length")) + F.coalesce("link_score", F.lit(0.0))).alias("score"))
+    total = found.groupBy(F.col("domain").alias("__d")).agg(F.count(F.lit(1)).alias("total"))
+    return rk.per_domain(out, most).join(total, F.col("domain").eqNullSafe(F.col("__d"))).drop("__d")
 
 
 def federated_search(query: str, domains: DataFrame, urls: DataFrame, links: DataFrame, most_domains: int = 1000, each: int = 5, max_words: int = 10) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators import key_value as kv
 from quarry.operators import postings as po
+from quarry.operators import staging as st
 
 FILES_PER_TRIGGER = 500
 
@@ -42,10 +43,20 @@ def ingest_postings(stream: DataFrame, make: Callable[[DataFrame], DataFrame], s
 
 
 def merge_postings(spark: SparkSession, current: DataFrame | None, staging: str, target: str, most: int | None = None, **aggregates) -> DataFrame:
-    """Fold the staged postings and the current index into a new folder; the current one stays as it is."""
-    staged = spark.read.parquet(staging).drop("batch")
-    base = staged if current is None else current.unionByName(staged)
-    out = po.fold(base, **aggregates)
-    out = po.cap(out, most) if most else out
-    out.write.parquet(target)
+    """Fold the staged postings and the current index into a new folder; the current one stays as it is.
+
+    The batches that are whole at the start are taken, and removed when the new
+    index is valid, so each counts once.  The same call again, after one that was
+    broken off, ends what that one began.  At least one batch or an index must be there.
+    """
+    done = st.marked(spark, target)
+    if done is None:
+        done = st.whole(spark, staging)
+        staged = st.read(spark, staging, done)
+        parts = [df for df in (current, staged) if df is not None]
+        out = po.fold(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), **aggregates)
+        out = po.cap(out, most) if most else out
+        out.write.mode("overwrite").parquet(target)
+        st.mark(spark, target, done)
+    st.remove(spark, staging, done)
     return spark.read.parquet(target)

@@ -285,3 +285,55 @@ def test_graphs_without_edges(spark):
     none = e.where("false")
     assert {x.harmonic for x in graph.harmonic_exact(v, none, 5).collect()} == {x.harmonic for x in graph.hyper_ball(v, none).collect()} == {0.0}
     assert graph.harmonic_exact(v.where("false"), none, 5).count() == 0
+
+
+# --- merges of staged batches
+def test_a_batch_staged_during_a_merge_waits(spark, monkeypatch):
+    store = kv.Store(spark, tables.new_path(spark, "kv"))
+    row = lambda k, s: spark.createDataFrame([(k, f"v{s}", 1, s)], "key string, value string, version long, seq long")
+    store.add(row("a", 1), 0)
+    write = store._write
+
+    def meanwhile(df, versions, batches):
+        write(df, versions, batches)
+        store.add(row("b", 2), 1)  # another batch
+        store.add(row("c", 3), 0)  # a batch of the same number, after this one was read
+
+    monkeypatch.setattr(store, "_write", meanwhile)
+    store.merge()
+    monkeypatch.undo()
+    assert [r.key for r in store.table().collect()] == ["a"]
+    store.merge()
+    assert sorted(r.key for r in store.table().collect()) == ["a", "b", "c"]
+    store.merge()
+    assert store.table().count() == 3
+
+
+def test_a_merge_that_was_broken_off(spark, monkeypatch):
+    store = kv.Store(spark, tables.new_path(spark, "kv"))
+    store.add(spark.createDataFrame([("a", "v", 1, 1), ("b", "v", 1, 2)], "key string, value string, version long, seq long"), 0)
+    with monkeypatch.context() as m:
+        m.setattr(kv.staging, "mark", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.merge()
+    assert store.table().count() == 0
+    with monkeypatch.context() as m:  # after the mark, before the batches are removed
+        m.setattr(kv.staging, "remove", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.merge(spark.createDataFrame([("b",)], "key string"))
+    store.merge()  # the removed key does not come back with its batch
+    assert [r.key for r in store.table().collect()] == ["a"]
+
+
+def test_dense_ids(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k", "'own' as v").repartition(5)
+    assert [(r.k, r.id) for r in ranking.dense_ids(df, "k").orderBy("k").collect()] == [(i, i) for i in range(1000)]
+    assert ranking.dense_ids(df.where("false"), "k").count() == 0
+
+
+@pytest.mark.parametrize("longest", [1, 3, 100])
+def test_token_sizes(spark, longest):
+    df = spark.range(500).selectExpr("concat('t', int(sqrt(id))) as token", "id as value")
+    got = {r.token: r.size for r in po.with_token_size(df, longest=longest).collect()}
+    assert got == {r.token: r["count"] for r in df.groupBy("token").count().collect()}
+    assert po.with_token_size(df, longest=longest).count() == 500
