@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry import tables
 from quarry.catalog import relations as r
 from quarry.catalog import sql as q
 from quarry.functions import text as tx
@@ -36,9 +37,9 @@ def word_stats(spark, sf_dir: str) -> DataFrame:
 
 
 def merged(spark, sf_dir: str) -> DataFrame:
-    """An index of the documents of even ids merged with one of every third: the fold makes equal records one."""
-    p = r.scored_counts(spark, sf_dir)
-    return po.merge_with(p.where("value % 2 = 0"), p.where("value % 3 = 0").withColumn("score", F.col("score") * 2))
+    """The index of the documents merged with one of the benchmark's items, whose ids overlap: the fold makes equal records one."""
+    items = r.counts_of(r.table(spark, sf_dir, "benchmark"), "item_id").select("token", "value", (F.col("count") * 2).cast("double").alias("score"))
+    return po.merge_with(r.scored_counts(spark, sf_dir), items)
 
 
 def staged_merge(spark, sf_dir: str) -> DataFrame:
@@ -58,23 +59,33 @@ def crawl(spark, sf_dir: str) -> DataFrame:
     return e
 
 
+def _names(spark, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: r.table(spark, sf_dir, t).select(F.col(f"{t[0]}_name").alias("name")) for t in ("customer", "supplier", "part")}
+
+
 def bloom_check(spark, sf_dir: str) -> DataFrame:
-    """(missed, few_false): whether the filter of every other customer misses none, and holds less than 1 in 100 of the others."""
-    c = r.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    inside = c.where("k % 2 = 0")
-    bits = 1 << 24
-    maybe = sketches.bloom_might_contain(c, "k", sketches.bloom(inside, "k", bits), bits)
-    counted = c.distinct().join(maybe.withColumn("m", F.lit(True)), "k", "left").agg(F.count_if((F.col("k") % 2 == 0) & F.col("m").isNull()).alias("missed"), (F.count_if((F.col("k") % 2 != 0) & F.col("m")) < F.count(F.lit(1)) / 100).alias("few_false"))
-    return counted
+    """The names, of customers and suppliers, that a filter of the customers' names may hold: all it holds, and no other with so many bits."""
+    n, bits = _names(spark, sf_dir), 1 << 24
+    return sketches.bloom_might_contain(n["customer"].union(n["supplier"]), "name", sketches.bloom(n["customer"], "name", bits), bits)
+
+
+def bloom_stored(spark, sf_dir: str) -> DataFrame:
+    """Filters of customers and of suppliers, written, read and merged, asked for all names."""
+    n, bits = _names(spark, sf_dir), 1 << 24
+    paths = [tables.new_path(spark, "bloom") for _ in range(2)]
+    for t, path in zip(("customer", "supplier"), paths, strict=True):
+        sketches.bloom(n[t], "name", bits).write.parquet(path)
+    both = sketches.bloom_merge(*map(spark.read.parquet, paths))
+    return sketches.bloom_might_contain(n["customer"].union(n["supplier"]).union(n["part"]), "name", both, bits)
 
 
 def hll_check(spark, sf_dir: str) -> DataFrame:
-    """(within_bound, union_within_bound) of the estimates of distinct words and of a union of two halves."""
-    words = r.table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.full_text_words(F.col("text"))).alias("w"))
-    sums = words.agg(F.count_distinct("w").alias("n"), sketches.hll_count(sketches.hll(F.col("w"))).alias("e"))
-    halves = words.groupBy((F.col("doc_id") % 2).alias("half")).agg(sketches.hll(F.col("w")).alias("s")).agg(sketches.hll_count(sketches.hll_union(F.col("s"))).alias("u"))
-    near = lambda c: F.abs(F.col(c) - F.col("n")) <= sketches.hll_bound() * F.col("n")
-    return sums.crossJoin(halves).select(near("e").alias("within_bound"), near("u").alias("union_within_bound"))
+    """(source, words, within_bound): the distinct words of each source, and whether the estimate is near; source null is the union of the sources' sketches."""
+    words = r.table(spark, sf_dir, "documents").select("source", F.explode(tx.full_text_words(F.col("text"))).alias("w"))
+    each = words.groupBy("source").agg(F.count_distinct("w").alias("words"), sketches.hll(F.col("w")).alias("s"))
+    union = each.agg(sketches.hll_union(F.col("s")).alias("s")).crossJoin(words.agg(F.count_distinct("w").alias("words"))).select(F.lit(None).cast("string").alias("source"), "words", "s")
+    near = F.abs(sketches.hll_count(F.col("s")) - F.col("words")) <= sketches.hll_bound() * F.col("words")
+    return each.select("source", "words", "s").unionByName(union).select("source", "words", near.alias("within_bound"))
 
 
 QUERIES = {
@@ -95,7 +106,8 @@ QUERIES = {
     "idx4_find_top_add": _postings(lambda p: po.find_top(p, WORDS, 25, _mod)),
     "idx5_find_top_mul": _postings(lambda p: po.find_top(p, WORDS, 25, _mod, "mul")),
     "idx4_find_top_all": _postings(lambda p: po.find_top(p, [], 25)),
-    "idx6_find_sum": _postings(lambda p: po.find_any_sum(p, WORDS, 50)),
+    "idx6_find_sum": _postings(lambda p: po.find_any_sum(p, WORDS)),
+    "idx6_find_sum_limited": _postings(lambda p: po.find_any_sum(p, WORDS, 50)),
     "agg3_sum_sorted": lambda s, d: po.sum_sorted(r.scored_counts(s, d).select("value", "score"), r.scored_counts(s, d).select("value", (F.col("score") * 2).alias("score"))),
     "idx7_group_by": lambda s, d: po.find_group_by(r.scored_counts(s, d).withColumn("target", F.col("value") % 7), WORDS, "target", lambda x: x * 2),
     "agg10_find_count": _postings(lambda p: po.find_total(p, WORDS)),
@@ -114,18 +126,19 @@ QUERIES = {
     "win1_per_domain": _parts(lambda p: rk.per_domain(po.fold_counts(p, "quantity"), 5, "token", F.desc("count"), F.asc("value"))),
     "win3_relative_threshold": _parts(lambda p: rk.relative_threshold(po.fold_counts(p, "quantity"), 0.8, "token")),
     "win5_page": _parts(lambda p: rk.page_of(po.fold_counts(p, "quantity"), 100, 50, F.desc("count"), F.asc("token"), F.asc("value"))),
-    "win6_dense_ids": lambda s, d: r.table(s, d, "nation").selectExpr("n_name", "row_number() over (order by n_name) - 1 as id"),
+    "win6_dense_ids": lambda s, d: rk.dense_ids(r.table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber"),
     "win8_many_domains": lambda s, d: rk.many_domains(r.table(s, d, "customer"), "c_mktsegment"),
     "srt1_top_k": _parts(lambda p: po.top(po.fold_counts(p, "quantity"), 100, F.desc("count"), F.asc("token"), F.asc("value"))),
     "srt9_lower_bound": _parts(lambda p: po.lower_bound(p.select("value").distinct(), 1001)),
     "set1_union": lambda s, d: joins.union_distinct(r.table(s, d, "customer").select(F.col("c_nationkey").alias("k")), r.table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))),
     "set2_intersect": lambda s, d: joins.existing(r.table(s, d, "nation").select("n_nationkey"), r.table(s, d, "supplier"), {"n_nationkey": "s_nationkey"}),
     "set5_keep_one": lambda s, d: joins.keep_one(r.table(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey"), "l_orderkey", "l_suppkey"),
-    "set6_absent": lambda s, d: joins.absent(r.table(s, d, "customer").select("c_custkey", "c_name"), r.table(s, d, "orders"), {"c_custkey": "o_custkey"}),
+    "set6_absent": lambda s, d: joins.absent(r.table(s, d, "documents").select("doc_id", "lang"), r.table(s, d, "labels").select(F.col("doc_id").alias("labelled")), {"doc_id": "labelled"}),
     "flt4_hash_range": lambda s, d: joins.in_range(r.table(s, d, "orders").select("o_orderkey", ((F.col("o_orderkey") % 2) * F.lit(-(1 << 63)) + F.col("o_orderkey")).alias("h")), "h", 100, (1 << 63) + 501),
     "flt6_prefix_member": lambda s, d: joins.existing_prefix(r.table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber"), r.table(s, d, "supplier").select(F.col("s_suppkey").alias("k")), "k", 4),
     "skt1_distinct": hll_check,
     "skt4_bloom": bloom_check,
+    "skt5_bloom_stored": bloom_stored,
 }
 
 _C = q.with_(q.COUNTS)
@@ -138,7 +151,7 @@ SQL = {
     "agg1_fold_best": "SELECT l_partkey AS token, l_orderkey AS value, max(l_quantity::BIGINT) AS score FROM lineitem GROUP BY ALL",
     "win2_cap_per_key": _F + "SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY token ORDER BY count DESC, value) <= 10",
     "idx13_merge": _F + "SELECT * FROM folded",
-    "idx14_merge_with": _C + "SELECT token, value, CASE WHEN value % 3 = 0 THEN 2.0 * count ELSE count END::DOUBLE AS score FROM counts WHERE value % 2 = 0 OR value % 3 = 0",
+    "idx14_merge_with": _C + f"SELECT token, value, max(score)::DOUBLE AS score FROM (SELECT token, value, count AS score FROM counts UNION ALL SELECT token, item_id, 2 * count(*) FROM (SELECT item_id, unnest({q.words('text')}) AS token FROM benchmark) GROUP BY ALL) GROUP BY ALL",
     "idx15_sorted_lists": _F + "SELECT * FROM folded",
     "idx16_list_size": _F + "SELECT token, value, count, round(count / count(*) OVER (PARTITION BY token), 6) AS share FROM folded",
     "idx1_find": _C + "SELECT token, value, count::DOUBLE AS score FROM counts WHERE token = 'the'",
@@ -149,7 +162,8 @@ SQL = {
     "idx4_find_top_add": q.with_(q.COUNTS, _AND) + "SELECT value, score + (value % 10) / 10.0::DOUBLE AS score FROM hits ORDER BY score DESC, value LIMIT 25",
     "idx5_find_top_mul": q.with_(q.COUNTS, _AND) + "SELECT value, score * (value % 10) / 10.0::DOUBLE AS score FROM hits ORDER BY score DESC, value LIMIT 25",
     "idx4_find_top_all": _C + "SELECT value, max(count)::DOUBLE AS score FROM counts GROUP BY value ORDER BY score DESC, value LIMIT 25",
-    "idx6_find_sum": _C + f"SELECT value, sum(count)::DOUBLE AS score FROM (SELECT * FROM counts WHERE token IN {_IN} QUALIFY row_number() OVER (PARTITION BY token ORDER BY value) <= 50) GROUP BY value",
+    "idx6_find_sum": _C + f"SELECT value, sum(count)::DOUBLE AS score FROM counts WHERE token IN {_IN} GROUP BY value",
+    "idx6_find_sum_limited": _C + f"SELECT value, sum(count)::DOUBLE AS score FROM (SELECT * FROM counts WHERE token IN {_IN} QUALIFY row_number() OVER (PARTITION BY token ORDER BY value) <= 50) GROUP BY value",
     "agg3_sum_sorted": _C + "SELECT value, 3.0::DOUBLE * sum(count) AS score FROM counts GROUP BY value",
     "idx7_group_by": q.with_(q.COUNTS, _AND) + f", sizes AS (SELECT token, count(*) AS n FROM counts WHERE token IN {_IN} GROUP BY token), rare AS (SELECT value, arg_min(count, n * 2 + (token = 'the')::INT) AS score FROM counts JOIN sizes USING (token) WHERE value IN (SELECT value FROM hits) GROUP BY value) SELECT value % 7 AS target, sum(2 * score)::DOUBLE AS score, count(*) AS count FROM rare GROUP BY target",
     "agg10_find_count": q.with_(q.COUNTS, _AND) + "SELECT count(*) AS total FROM hits",
@@ -166,16 +180,17 @@ SQL = {
     "win1_per_domain": _F + "SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY token ORDER BY count DESC, value) <= 5",
     "win3_relative_threshold": _F + "SELECT * FROM folded QUALIFY count >= 0.8 * max(count) OVER (PARTITION BY token)",
     "win5_page": _F + "SELECT * FROM folded ORDER BY count DESC, token, value LIMIT 100 OFFSET 50",
-    "win6_dense_ids": "SELECT n_name, (row_number() OVER (ORDER BY n_name) - 1)::INTEGER AS id FROM nation",
+    "win6_dense_ids": "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS id FROM lineitem",
     "win8_many_domains": "SELECT count(DISTINCT c_mktsegment) > 1 AS many FROM customer",
     "srt1_top_k": _F + "SELECT * FROM folded ORDER BY count DESC, token, value LIMIT 100",
     "srt9_lower_bound": "SELECT min(l_orderkey) AS value FROM lineitem WHERE l_orderkey >= 1001",
     "set1_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set2_intersect": "SELECT n_nationkey FROM nation INTERSECT SELECT s_nationkey FROM supplier",
     "set5_keep_one": "SELECT l_orderkey, l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL",
-    "set6_absent": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "set6_absent": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
     "flt4_hash_range": "SELECT o_orderkey, (o_orderkey + (o_orderkey % 2) * -9223372036854775808::HUGEINT)::BIGINT AS h FROM orders WHERE (o_orderkey + (o_orderkey % 2) * 9223372036854775808::HUGEINT) BETWEEN 100 AND 9223372036854775808::HUGEINT + 501",
     "flt6_prefix_member": "SELECT l_orderkey AS k, l_linenumber FROM lineitem WHERE l_orderkey >> 4 IN (SELECT s_suppkey >> 4 FROM supplier)",
-    "skt1_distinct": "SELECT true AS within_bound, true AS union_within_bound",
-    "skt4_bloom": "SELECT 0::BIGINT AS missed, true AS few_false",
+    "skt1_distinct": f"SELECT source, count(DISTINCT w) AS words, true AS within_bound FROM (SELECT source, unnest({q.words('text')}) AS w FROM documents) GROUP BY GROUPING SETS ((source), ())",
+    "skt4_bloom": "SELECT DISTINCT c_name AS name FROM customer",
+    "skt5_bloom_stored": "SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier",
 }

@@ -46,10 +46,14 @@ def url_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ib.url_postings(urls(spark, sf_dir), centrality(links(spark, sf_dir)))
 
 
+def counts_of(df: DataFrame, key: str) -> DataFrame:
+    """(token, value, count): full-text words of the texts."""
+    words = df.select(F.col(key).alias("value"), F.explode(tx.full_text_words(F.col("text"))).alias("token"))
+    return words.groupBy("token", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token, value, count): full-text words of the documents."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("value"), F.explode(tx.full_text_words(F.col("text"))).alias("token"))
-    return docs.groupBy("token", "value").agg(F.count(F.lit(1)).alias("count"))
+    return counts_of(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def scored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ def site(web: Web) -> DataFrame:
 
 
 def federated(web: Web) -> DataFrame:
-    return _rounded(se.federated_search("and", _with_stopwords(web), web.postings, web.links, most_domains=20), "score", "domain_score")
+    return _rounded(se.federated_search("and", _with_stopwords(web), web.postings, web.links), "score", "domain_score")
 
 
 def _with_stopwords(web: Web) -> DataFrame:
@@ -199,7 +199,7 @@ SQL = {
     "rnk13_domain_info": q.with_(*q.WEB, _TITLE_WORDS, _ANCHOR_WORDS, _FIRST_WORDS) + "SELECT list, word, count FROM (SELECT 'title' AS list, domain, word, count FROM title_words UNION ALL SELECT 'anchor', domain, word, count FROM anchor_words UNION ALL SELECT 'first_page', domain, word, 1 FROM first_words) WHERE domain = 'therha.example.com' QUALIFY row_number() OVER (PARTITION BY list ORDER BY count DESC, word) BETWEEN 6 AND 55",
     "rnk14_word_lookup": q.with_(*q.WEB, q.URL_POSTINGS) + "SELECT token, domain AS value, round(score, 6) AS score FROM postings WHERE token = 'and' AND domain = 'therha.example.com'",
     "rnk14_harmonic_of": q.with_(*q.WEB) + "SELECT url, round(coalesce(harmonic, 0), 6) AS harmonic FROM urls LEFT JOIN centrality USING (host)",
-    "rnk15_federated": q.with_(*_W, _SITE("('and')", 1)) + f", domains AS (SELECT host AS d, coalesce(harmonic, 0) AS domain_score FROM (SELECT DISTINCT host FROM (SELECT host, unnest({q.words('title')}) AS word FROM urls) WHERE word = 'and') LEFT JOIN centrality USING (host) ORDER BY domain_score DESC, d LIMIT 20) SELECT domain, value, round(score, 6) AS score, total, round(domain_score, 6) AS domain_score FROM (SELECT * FROM site QUALIFY row_number() OVER (PARTITION BY domain ORDER BY score DESC, value) <= 5) JOIN domains ON domain = d",
+    "rnk15_federated": q.with_(*_W, _SITE("('and')", 1)) + f", domains AS (SELECT host AS d, coalesce(harmonic, 0) AS domain_score FROM (SELECT DISTINCT host FROM (SELECT host, unnest({q.words('title')}) AS word FROM urls) WHERE word = 'and') LEFT JOIN centrality USING (host) ORDER BY domain_score DESC, d LIMIT 1000) SELECT domain, value, round(score, 6) AS score, total, round(domain_score, 6) AS domain_score FROM (SELECT * FROM site QUALIFY row_number() OVER (PARTITION BY domain ORDER BY score DESC, value) <= 5) JOIN domains ON domain = d",
     "idx20_phrase": q.with_(q.URLS) + f"SELECT value, count(*)::DOUBLE AS score FROM (SELECT value, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM (SELECT url_key AS value, {q.words('text')} AS w FROM urls)) WHERE g = 'of the' GROUP BY value ORDER BY score DESC, value LIMIT 1000",
     "agg16_host_words": q.with_(q.URLS) + f"SELECT * FROM (SELECT host, word, count(*) AS n FROM (SELECT host, unnest({q.words('text')}) AS word FROM urls) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY host ORDER BY n DESC, word) <= 100",
     "win4_top_anchor_words": q.with_(*q.WEB, _ANCHOR_WORDS) + "SELECT * FROM anchor_words QUALIFY row_number() OVER (PARTITION BY domain ORDER BY count DESC, word) <= 100",

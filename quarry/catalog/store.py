@@ -9,12 +9,16 @@ from pyspark.sql import types as T
 from quarry import tables
 from quarry.catalog import relations as r
 from quarry.catalog import sql as q
+from quarry.catalog.text import _exotic
 from quarry.functions import html as ht
+from quarry.functions import url as ur
+from quarry.functions.wordlists import TOP_LEVEL_DOMAINS
 from quarry.operators import graph as gr
 from quarry.operators import joins
 from quarry.operators import key_value as kv
 from quarry.plans import jobs
-from quarry.sources import sinks, tsv
+from quarry.schemas import EDGE
+from quarry.sources import archive, robots, sinks, tsv, warc
 from quarry.streaming import ingest
 
 
@@ -102,13 +106,121 @@ def split(spark, sf_dir: str) -> DataFrame:
 
 def _web_links(name: str):
     def run(spark, sf_dir: str) -> DataFrame:
-        # Known pages are those of even ids, so that some links lead out.
-        known = r.urls(spark, sf_dir).where("page_id % 2 = 0").select("page_id", "host", "url_key")
-        return jobs.relevant_links(r.links(spark, sf_dir), known)[name]
+        # Known pages are those that a nofollow link points to, so that some links lead out.
+        linked = r.links(spark, sf_dir)
+        known = jobs.urls_with_direct_links(r.urls(spark, sf_dir), linked.where("nofollow")).select("page_id", "host", "url_key")
+        return jobs.relevant_links(linked, known)[name]
 
     return run
 
 
+def large_hosts(spark, sf_dir: str) -> DataFrame:
+    """Hosts of at least three pages."""
+    return jobs.count_per_host(r.urls(spark, sf_dir)).where("n >= 3").select("host")
+
+
+def split_links(spark, sf_dir: str) -> DataFrame:
+    """(target_host, nodes, n): links split by the host of their target into 8 nodes and read again."""
+    path = tables.new_path(spark, "split")
+    jobs.split_links(r.links(spark, sf_dir).select("host", "path", "target_host", "target_path"), 8, path, 50)
+    rows = tsv.read(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in ("host", "path", "target_host", "target_path")] + [T.StructField("node", T.IntegerType())]))
+    return rows.groupBy("target_host").agg(F.count_distinct("node").alias("nodes"), F.count(F.lit(1)).alias("n"))
+
+
+def saved_hosts(spark, sf_dir: str) -> DataFrame:
+    """The urls and titles of large hosts, saved and read again."""
+    path = tables.new_path(spark, "hosts")
+    jobs.save_hosts(r.urls(spark, sf_dir).select("host", "url", "title"), large_hosts(spark, sf_dir), path)
+    return tsv.read(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in ("host", "url", "title")]))
+
+
+def read_batch(spark, sf_dir: str) -> DataFrame:
+    """(url, title) of all files that a manifest of 8 folders lists, read in two slices."""
+    path = tables.new_path(spark, "batch")
+    columns = [c if c in ("url", "title", "h1") else F.lit("").alias(c) for c in ("url", "title", "h1", "meta", "text", "date", "ip")]
+    rows = r.urls(spark, sf_dir).withColumn("node", jobs.node_of(F.col("host"), 8))
+    sinks.write_tsv(rows.select("node", *columns), f"{path}/rows", None, ("node",))
+    sinks.write_lines(rows.select(F.concat(F.lit("node="), "node").alias("name")).distinct().coalesce(1), f"{path}/manifest", "name")
+    half = [tsv.read_batch(spark, f"{path}/manifest", f"{path}/rows", limit=4), tsv.read_batch(spark, f"{path}/manifest", f"{path}/rows", offset=4)]
+    return half[0].unionByName(half[1]).select("url", "title", "h1")
+
+
+def manifests(spark, sf_dir: str) -> DataFrame:
+    """(kind, path): a manifest of WARC files rewritten for each kind of file made of them."""
+    path = tables.new_path(spark, "manifest")
+    names = r.table(spark, sf_dir, "pages").select(F.concat(F.lit("crawl/segment.warc/"), F.col("page_id").cast("string"), F.lit(".warc.gz")).alias("name"))
+    sinks.write_lines(names, path, "name")
+    kinds = [tsv.manifest(spark, path, k).select(F.lit(k).alias("kind"), "path") for k in ("urls", "links", "direct")]
+    return kinds[0].union(kinds[1]).union(kinds[2])
+
+
+def line_columns(spark, sf_dir: str) -> DataFrame:
+    """(third, n): a column of lines that is empty where a line is too short, as a set with its counts."""
+    path = tables.new_path(spark, "lines")
+    sinks.write_lines(r.urls(spark, sf_dir).select("host", "url_key", "title"), path, "host", "url_key", "title")
+    lines = spark.read.text(path)
+    counts = tsv.column(lines, 2).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return tsv.column_set(lines, 2).join(counts, "value").select(F.col("value").alias("third"), "n")
+
+
+def archived(spark, sf_dir: str) -> DataFrame:
+    """Centralities written as text, packed into an archive, unpacked, and read again."""
+    path = tables.new_path(spark, "archive")
+    sinks.write_lines(r.centrality(r.links(spark, sf_dir)).withColumn("harmonic", F.round("harmonic", 6)), f"{path}/lines", "host", "harmonic")
+    archive.pack(spark, f"{path}/lines", f"{path}/packed")
+    archive.unpack_to(spark, f"{path}/packed", f"{path}/unpacked" if "://" in path else f"file://{path}/unpacked")
+    rows = spark.read.text(f"{path}/unpacked").select(F.split("value", "\t").alias("c"))
+    return rows.select(F.col("c")[0].alias("host"), F.col("c")[1].cast("double").alias("harmonic"))
+
+
+def missing(spark, sf_dir: str) -> DataFrame:
+    """Expected files, one for each host, of which those of large hosts alone are in the folder."""
+    path = tables.new_path(spark, "files")
+    hosts = r.urls(spark, sf_dir).select("host").distinct()
+    archive_rows = large_hosts(spark, sf_dir).select(F.col("host").alias("name"), F.encode(F.repeat(F.lit("x"), F.lit(1000)), "utf-8").alias("content"))
+    archive_rows.write.parquet(f"{path}/packed")
+    archive.unpack_to(spark, f"{path}/packed", f"{path}/there" if "://" in path else f"file://{path}/there")
+    return archive.missing_files(hosts.select(F.concat(F.lit("crawl/"), "host").alias("path")), archive.list_files(spark, f"{path}/there"))
+
+
+ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/2\nDisallow: /*page=2\n\nUser-agent: OtherBot\nDisallow: /\n"
+
+
+def robots_of_pages(spark, sf_dir: str) -> DataFrame:
+    return r.table(spark, sf_dir, "pages").select("page_id", robots.robots_allowed("Bot")(F.lit(ROBOTS), F.col("url")).alias("bot"), robots.robots_allowed("OtherBot")(F.lit(ROBOTS), F.col("url")).alias("other"))
+
+
+def _warc(spark, sf_dir: str) -> DataFrame:
+    path = tables.new_path(spark, "warc")
+    sinks.write_warc(r.table(spark, sf_dir, "pages"), path)
+    return warc.responses(spark, path)
+
+
+def warc_responses(spark, sf_dir: str) -> DataFrame:
+    """All pages as WARC files, and the responses that these hold."""
+    raw = _warc(spark, sf_dir)
+    return raw.select("url", "date", "ip", warc.http_status(F.col("http")).alias("status"), warc.http_header(F.col("http"), "Content-Type: ").alias("content_type"), F.col("body").cast("string").alias("html"))
+
+
+def warc_pages(spark, sf_dir: str) -> DataFrame:
+    """The pages that the reader of WARC files makes of them: known top-level domains, past the gate, parsed."""
+    return warc.pages(_warc(spark, sf_dir)).select("url", "title", "h1", "meta", "text", "date", "ip")
+
+
+def graph_files(spark, sf_dir: str) -> DataFrame:
+    """(src, dst): the host graph written as vertices and edges, and read again."""
+    path = tables.new_path(spark, "graph")
+    hosts, edges = host_graph(spark, sf_dir)
+    sinks.write_lines(edges, f"{path}/edges", "src", "dst")
+    return tsv.read(spark, f"{path}/edges", EDGE)
+
+
+def top_level(spark, sf_dir: str) -> DataFrame:
+    """(tld, known, n): pages by top-level domain."""
+    t = ur.tld(F.col("url"))
+    return r.table(spark, sf_dir, "pages").groupBy(t.alias("tld"), t.isin(*sorted(TOP_LEVEL_DOMAINS)).alias("known")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "kv3_latest": _history(kv.latest),
     "kv4_remove": _history(lambda h: kv.remove(kv.latest(h), h.where("value = 'purchase' AND version % 7 = 0").select("key").distinct())),
@@ -130,14 +242,26 @@ QUERIES = {
     "bat3_reached_urls": _web_links("reached"),
     "bat3_relevant_links": _web_links("relevant"),
     "jn15_lookup": lambda s, d: joins.lookup(r.urls(s, d).select("page_id", "host"), r.centrality(r.links(s, d)), "host", "host", "harmonic", "harmonic").withColumn("harmonic", F.round("harmonic", 6)),
-    "jn18_find_links": lambda s, d: jobs.links_to_hosts(r.links(s, d), r.urls(s, d).where("page_id % 10 = 0").select("host")),
+    "jn18_find_links": lambda s, d: jobs.links_to_hosts(r.links(s, d), large_hosts(s, d)),
     "agg4_urls_per_host": lambda s, d: jobs.count_per_host(r.urls(s, d)),
     "agg6_distinct_url_keys": lambda s, d: r.urls(s, d).select("url_key").distinct(),
     "flt2_host_equals": lambda s, d: r.urls(s, d).where("host = 'therha.example.com'").select("page_id", "url"),
-    "flt3_host_in": lambda s, d: joins.existing(r.urls(s, d).select("page_id", "host"), r.urls(s, d).where("page_id % 20 = 0"), {"host": "host"}),
+    "flt3_host_in": lambda s, d: joins.existing(r.urls(s, d).select("page_id", "host"), large_hosts(s, d).select(F.col("host").alias("known")), {"host": "known"}),
     "flt8_round_robin": lambda s, d: tsv.round_robin(r.table(s, d, "pages").select("page_id", "url"), "page_id", 4, 1),
     "flt9_linked_urls": lambda s, d: tsv.urls_with_links(r.links(s, d).groupBy(F.concat("target_host", "target_path").alias("url")).agg(F.count(F.lit(1)).alias("links"))),
     "src7_tsv_round_trip": tsv_round_trip,
+    "src1_warc_responses": warc_responses,
+    "src3_warc_pages": warc_pages,
+    "src8_manifest": manifests,
+    "src9_columns": line_columns,
+    "src14_archive": archived,
+    "src15_missing_files": missing,
+    "src17_robots": robots_of_pages,
+    "snk7_graph_files": graph_files,
+    "bat2_split_links": split_links,
+    "bat4_save_hosts": saved_hosts,
+    "bat5_read_batch": read_batch,
+    "flt7_top_level_domains": top_level,
     "src12_positions": lambda s, d: tsv.positions(r.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("p")), "l_orderkey", 33, "p"),
     "src12_find_all": lambda s, d: tsv.find_all(r.table(s, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey"), "k", r.table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))),
     "src13_dictionary": lambda s, d: tsv.dictionary(r.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey"),
@@ -160,7 +284,7 @@ def _distance(depth: int) -> str:
 
 
 _ALL_LINKS = q.with_(q.URLS, q.LINKS)
-_KNOWN = "known AS (SELECT page_id, host, url_key FROM urls WHERE page_id % 2 = 0), direct AS (SELECT * FROM links WHERE target_host || target_path IN (SELECT url_key FROM known)), reached AS (SELECT * FROM known WHERE url_key IN (SELECT target_host || target_path FROM direct))"
+_KNOWN = "known AS (SELECT page_id, host, url_key FROM urls WHERE url_key IN (SELECT target_host || target_path FROM links WHERE nofollow)), direct AS (SELECT * FROM links WHERE target_host || target_path IN (SELECT url_key FROM known)), reached AS (SELECT * FROM known WHERE url_key IN (SELECT target_host || target_path FROM direct))"
 
 SQL = {
     "kv3_latest": _H + _LATEST,
@@ -183,14 +307,26 @@ SQL = {
     "bat3_reached_urls": _ALL_LINKS + f", {_KNOWN} SELECT * FROM reached",
     "bat3_relevant_links": _ALL_LINKS + f", {_KNOWN} SELECT * FROM links WHERE target_host IN (SELECT host FROM reached)",
     "jn15_lookup": q.with_(*q.WEB) + "SELECT page_id, host, round(coalesce(harmonic, 0), 6) AS harmonic FROM urls LEFT JOIN centrality USING (host)",
-    "jn18_find_links": _ALL_LINKS + "SELECT * FROM links WHERE target_host IN (SELECT host FROM urls WHERE page_id % 10 = 0)",
+    "jn18_find_links": _ALL_LINKS + "SELECT * FROM links WHERE target_host IN (SELECT host FROM urls GROUP BY host HAVING count(*) >= 3)",
     "agg4_urls_per_host": q.with_(q.URLS) + "SELECT host, count(*) AS n FROM urls GROUP BY host",
     "agg6_distinct_url_keys": q.with_(q.URLS) + "SELECT DISTINCT url_key FROM urls",
     "flt2_host_equals": q.with_(q.URLS) + "SELECT page_id, url FROM urls WHERE host = 'therha.example.com'",
-    "flt3_host_in": q.with_(q.URLS) + "SELECT page_id, host FROM urls WHERE host IN (SELECT host FROM urls WHERE page_id % 20 = 0)",
+    "flt3_host_in": q.with_(q.URLS) + "SELECT page_id, host FROM urls WHERE host IN (SELECT host FROM urls GROUP BY host HAVING count(*) >= 3)",
     "flt8_round_robin": "SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages) WHERE n % 4 = 1",
     "flt9_linked_urls": _ALL_LINKS + "SELECT target_host || target_path AS url FROM links GROUP BY 1 HAVING count(*) > 1",
     "src7_tsv_round_trip": _ALL_LINKS + "SELECT host, path, target_host, target_path, substr(text, 1, 1000) AS text, nofollow FROM links",
+    "src1_warc_responses": "SELECT url, '2024-01-01T00:00:00Z' AS date, '192.0.2.1' AS ip, 200 AS status, 'text/html; charset=utf-8' AS content_type, html FROM pages",
+    "src3_warc_pages": q.with_(q.URLS) + f"SELECT url, title, h1, meta, text, '2024-01-01T00:00:00Z' AS date, '192.0.2.1' AS ip FROM urls WHERE title <> '' AND strlen(title) <= 400 AND strlen(h1) <= 400 AND NOT {_exotic('title')}",
+    "src8_manifest": "SELECT kind, 'crawl/segment.warc/' || page_id || e AS path FROM pages, (VALUES ('urls', '.gz'), ('links', '.links.gz'), ('direct', '.direct.links.gz')) k(kind, e)",
+    "src9_columns": q.with_(q.URLS) + "SELECT title AS third, count(*) AS n FROM urls GROUP BY title",
+    "src14_archive": q.with_(*q.WEB) + "SELECT host, round(harmonic, 6) AS harmonic FROM centrality",
+    "src15_missing_files": q.with_(q.URLS) + "SELECT 'crawl/' || host AS path FROM urls GROUP BY host HAVING count(*) < 3",
+    "src17_robots": f"SELECT page_id, CASE WHEN p LIKE '/%page=2%' THEN false WHEN p LIKE '/en/2%' THEN true WHEN p LIKE '/en/%' THEN false ELSE true END AS bot, false AS other FROM (SELECT page_id, {q.PATH_QUERY} AS p FROM pages)",
+    "snk7_graph_files": q.with_(q.URLS, q.LINKS, _EDGES) + "SELECT * FROM edges",
+    "bat2_split_links": _ALL_LINKS + "SELECT target_host, 1::BIGINT AS nodes, count(*) AS n FROM links GROUP BY target_host",
+    "bat4_save_hosts": q.with_(q.URLS) + "SELECT host, url, title FROM urls WHERE host IN (SELECT host FROM urls GROUP BY host HAVING count(*) >= 3)",
+    "bat5_read_batch": q.with_(q.URLS) + "SELECT url, title, h1 FROM urls",
+    "flt7_top_level_domains": f"SELECT regexp_extract({q.RAW_HOST}, '[^.]*$') AS tld, true AS known, count(*) AS n FROM pages GROUP BY 1",
     "src12_positions": "SELECT min(l_orderkey * 10 + l_linenumber) FILTER (WHERE l_orderkey = 33) AS first, max(l_orderkey * 10 + l_linenumber) FILTER (WHERE l_orderkey = 33) AS last, min(l_orderkey * 10 + l_linenumber) FILTER (WHERE l_orderkey > 33) AS next FROM lineitem",
     "src12_find_all": "SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)",
     "src13_dictionary": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1",

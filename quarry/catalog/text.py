@@ -128,6 +128,7 @@ QUERIES = {
     "txt10_clean_word": _docs(lambda d: tx.word_counts(d, F.transform(tx.full_text_words(F.col("text")), tx.clean_word))),
     "txt11_without_stopwords": _exploded("conversations", ("conv_id", "turn"), lambda: tx.words_without_stopwords(_text()), "word"),
     "txt12_ngrams": _exploded("pages", ("page_id",), lambda: tx.ngrams(tx.full_text_words(_title()), 3), "ngram"),
+    "txt12_ngrams_of_texts": _exploded("conversations", ("conv_id", "turn"), lambda: tx.ngrams(tx.full_text_words(_text()), 3), "ngram"),
     "txt13_snippets": _exploded("documents", ("doc_id",), lambda: tx.snippets(_text()), "snippet"),
     "txt14_word_counts": _docs(lambda d: tx.word_counts(d, tx.full_text_words(F.col("text")), "doc_id")),
     "txt15_word_frequency": _docs(lambda d: tx.word_frequency(d, tx.clean_words(F.col("text")), "doc_id").withColumn("frequency", F.round("frequency", 9))),
@@ -174,6 +175,7 @@ SQL = {
     "txt10_clean_word": f"SELECT word, count(*) AS n FROM (SELECT regexp_replace(unnest({q.words('text')}), '[^a-z0-9åäö]', '', 'g') AS word FROM documents) GROUP BY word",
     "txt11_without_stopwords": _unnest("conversations", "conv_id, turn", f"list_filter({q.clean_words('text')}, lambda w: w NOT IN ({_STOP}))", "word"),
     "txt12_ngrams": _unnest(f"(SELECT page_id, {q.words(_TITLE)} AS w FROM pages)", "page_id", _NGRAMS, "ngram"),
+    "txt12_ngrams_of_texts": _unnest(f"(SELECT conv_id, turn, {q.words('text')} AS w FROM conversations)", "conv_id, turn", _NGRAMS, "ngram"),
     "txt14_word_counts": f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({q.words('text')}) AS word FROM documents) GROUP BY ALL",
     "txt15_word_frequency": f"SELECT doc_id, word, round(count(*) / n, 9) AS frequency FROM (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM (SELECT doc_id, {q.clean_words('text')} AS w FROM documents)) GROUP BY doc_id, word, n",
     "txt16_utf8": "SELECT doc_id, true AS valid, regexp_replace(text, '[\\x00-\\x1f]', '?', 'g') AS encoded FROM documents",

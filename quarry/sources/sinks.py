@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +43,30 @@ def write_lines(df: DataFrame, path: str, *columns: str) -> None:
     df.select(*columns).write.option("sep", "\t").option("quote", "").option("escape", "").csv(path)
 
 
+def write_warc(pages: DataFrame, path: str, url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", ip: str = "192.0.2.1") -> None:
+    """Pages as WARC files of responses, a gzip member for each record and a file for each partition; a task writes under its attempt's name and then renames."""
+    kept = pages.select(F.coalesce(F.col(url), F.lit("")), F.coalesce(F.col(html), F.lit("")))
+    where, local = fs.FileSystem.from_uri(path)
+    where.create_dir(local, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        to, folder = fs.FileSystem.from_uri(path)
+        name = f"part-{context.partitionId():05d}.warc.gz"
+        hidden, n = f"{folder}/.{name}.{context.taskAttemptId()}", 0
+        with to.open_output_stream(hidden, compression=None) as out:
+            for batch in batches:
+                for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + h.encode("utf-8", "surrogatepass")
+                    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Date: {date}\r\nWARC-IP-Address: {ip}\r\nWARC-Target-URI: {' '.join(u.split())}\r\nContent-Length: {len(body)}\r\n\r\n"
+                    out.write(gzip.compress(head.encode() + body + b"\r\n\r\n", 6))
+                    n += 1
+        to.move(hidden, f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    kept.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def response(results: DataFrame, order: Column, limit: int = 1000, **info: Column) -> DataFrame:
     """A single row (json): status, the fields of ``info`` and the results in order. The limit bounds the row."""
     top = results.orderBy(order).limit(limit)
