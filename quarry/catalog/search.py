@@ -13,6 +13,7 @@ from quarry.functions import scoring
 from quarry.functions import text as tx
 from quarry.operators import postings as po
 from quarry.operators import ranking as rk
+from quarry.operators import staging
 from quarry.plans import domain_index as di
 from quarry.plans import index_build as ib
 from quarry.plans import search as se
@@ -23,21 +24,41 @@ OPTIONS = se.Options(most_links=None, most_domain_links=None, pre_result_limit=N
 
 
 class Web:
-    """The tables of a search, each made once and written, as an index is."""
+    """The tables and indexes of a search, in a folder of the shared one that is named after the pages' file; built where they are not there yet."""
 
-    def __init__(self, spark, sf_dir: str):
-        self.urls, _ = tables.cut(r.urls(spark, sf_dir), "urls")
-        self.linked, _ = tables.cut(r.links(spark, sf_dir), "links")
-        self.centrality, _ = tables.cut(r.centrality(self.linked), "centrality")
-        self.postings = self._indexed(ib.url_postings(self.urls, self.centrality), "url-postings")
-        self.links = self._indexed(ib.link_postings(self.linked, self.urls, self.centrality), "link-postings")
-        self.domain_links = self._indexed(ib.domain_link_postings(self.linked, self.centrality), "domain-link-postings")
+    NAMES = ("urls", "linked", "centrality", "postings", "links", "domain_links")
+
+    def __init__(self, spark, sf_dir: str, build: bool = False):
+        path = f"{tables.shared_folder(spark)}/quarry/web-{tables.fingerprint(spark, f'{sf_dir}/pages.parquet')}"
+        if build or staging.marked(spark, path) is None:
+            self._build(spark, sf_dir, path)
+        self.urls, self.linked, self.centrality, self.postings, self.links, self.domain_links = (spark.read.parquet(f"{path}/{n}") for n in self.NAMES)
 
     @staticmethod
-    def _indexed(df: DataFrame, name: str) -> DataFrame:
-        path = tables.new_path(df.sparkSession, name)
-        sinks.write_postings(df, path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+    def _build(spark, sf_dir: str, path: str) -> None:
+        tables.remove(spark, path)
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{path}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        urls = kept(r.urls(spark, sf_dir), "urls")
+        linked = kept(r.links(spark, sf_dir), "linked")
+        centrality = kept(r.centrality(linked), "centrality")
+        sinks.write_postings(ib.url_postings(urls, centrality), f"{path}/postings")
+        sinks.write_postings(ib.link_postings(linked, urls, centrality), f"{path}/links")
+        sinks.write_postings(ib.domain_link_postings(linked, centrality), f"{path}/domain_links")
+        staging.mark(spark, path, {})  # valid from here on
+
+
+def built(spark, sf_dir: str) -> DataFrame:
+    """(name, n): the tables of a search, built anew, and their rows."""
+    web = Web(spark, sf_dir, build=True)
+    counts = [getattr(web, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in Web.NAMES]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -97,7 +118,7 @@ def response(spark, sf_dir: str) -> DataFrame:
     """The response of a search as JSON: a single row of at most 10 results."""
     web = Web(spark, sf_dir)
     found = rk.decorate(se.search(QUERY, web.postings, web.links, web.domain_links), web.urls)
-    return sinks.response(found.select("url", "title", "snippet", F.round("score", 4).alias("score")), F.desc("score"), 10, query=F.lit(QUERY))
+    return sinks.response(found.select("url", "title", "snippet", F.round("score", 4).alias("score")), [F.desc("score"), F.asc("url")], 10, query=F.lit(QUERY))
 
 
 def phrase(spark, sf_dir: str) -> DataFrame:
@@ -128,6 +149,7 @@ def _with_stopwords(web: Web) -> DataFrame:
 
 
 QUERIES = {
+    "rnk0_web_index": built,
     "rnk1_url_index": url_index,
     "rnk2_link_index": link_index,
     "rnk2_domain_link_index": domain_link_index,
@@ -179,7 +201,11 @@ sbest AS (SELECT * FROM shits QUALIFY row_number() OVER (PARTITION BY regexp_ext
 sgroup AS (SELECT target, sum((exp(20 * score) - 1) / 10) AS s FROM sbest GROUP BY target),
 site AS MATERIALIZED (SELECT domain, value, 2 * score + (1000 - url_length) / 500.0::DOUBLE + coalesce(s, 0) AS score, count(*) OVER (PARTITION BY domain) AS total FROM sfound LEFT JOIN sgroup ON value = target QUALIFY row_number() OVER (PARTITION BY domain ORDER BY 2 * score + (1000 - url_length) / 500.0::DOUBLE + coalesce(s, 0) DESC, value) <= 1000)"""
 
+_JSON = "json_object('url', url, 'title', title, 'snippet', snippet, 'score', round(score, 4))"
+
 SQL = {
+    "rnk0_web_index": q.with_(*_W) + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {t}" for n, t in (("urls", "urls"), ("linked", "links"), ("centrality", "centrality"), ("postings", "postings"), ("links", "link_postings"), ("domain_links", "domain_link_postings"))),
+    "snk9_response": q.with_(*_W, _SCORED) + f"SELECT '{{\"status\":\"success\",\"query\":\"The of, the\",\"results\":[' || string_agg({_JSON}, ',' ORDER BY round(score, 4) DESC, url) || ']}}' AS json FROM (SELECT u.url, u.title, {_SNIP.replace('text', 'u.text')} AS snippet, s.score FROM ({_DEDUP('ranked', 5, 1000)}) s LEFT JOIN urls u ON s.value = u.url_key ORDER BY round(score, 4) DESC, url LIMIT 10)",
     "rnk1_url_index": q.with_(*q.WEB, q.URL_POSTINGS) + "SELECT token, value, round(score, 6) AS score, domain, url_length FROM postings",
     "rnk2_link_index": q.with_(*_W) + "SELECT token, value, round(score, 6) AS score, source_url, target FROM link_postings",
     "rnk2_domain_link_index": q.with_(*_W) + "SELECT token, value, round(score, 6) AS score, source_url, target_domain FROM domain_link_postings",

@@ -67,7 +67,7 @@ def write_warc(pages: DataFrame, path: str, url: str = "url", html: str = "html"
     kept.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
-def response(results: DataFrame, order: Column, limit: int = 1000, **info: Column) -> DataFrame:
+def response(results: DataFrame, order: Column | list[Column], limit: int = 1000, **info: Column) -> DataFrame:
     """A single row (json): status, the fields of ``info`` and the results in order. The limit bounds the row."""
     top = results.orderBy(order).limit(limit)
     ranked = F.array_sort(F.collect_list(F.struct(F.col("__rank"), F.struct(*results.columns).alias("r"))))

@@ -20,36 +20,46 @@ from quarry.functions.wordlists import TOP_LEVEL_DOMAINS
 
 PIECE = 1 << 20
 BATCH_BYTES = 16 << 20
+MAGIC = b"\x1f\x8b\x08"
 
 
 def inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The content of concatenated gzip members; a cut or corrupt end is left out."""
-    engine = zlib.decompressobj(31)
+    """The content of concatenated gzip members; after a corrupt one it goes on at the next that begins, and a cut end is left out."""
+    engine, data, lost = zlib.decompressobj(31), b"", False
     for piece in pieces:
-        while piece:
+        data += piece
+        while data:
+            if lost:
+                at = data.find(MAGIC)
+                if at < 0:
+                    data = data[-2:]
+                    break
+                data, engine, lost = data[at:], zlib.decompressobj(31), False
             try:
-                out = engine.decompress(piece, PIECE)
+                out = engine.decompress(data, PIECE)
             except zlib.error:
-                return
+                data, lost = data[1:], True
+                continue
             if out:
                 yield out
             if engine.eof:
-                piece, engine = engine.unused_data, zlib.decompressobj(31)
+                data, engine = engine.unused_data, zlib.decompressobj(31)
             else:
-                piece = engine.unconsumed_tail
+                data = engine.unconsumed_tail
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """(header, body) of each whole record."""
+    """(header, body) of each whole record; what lies between records is passed over, and not held."""
     held = bytearray()
     for piece in pieces:
         held += piece
         while True:
             begin = held.find(b"WARC/1.")
-            end = held.find(b"\r\n\r\n", max(begin, 0))
+            del held[: begin if begin >= 0 else max(0, len(held) - 6)]
+            end = held.find(b"\r\n\r\n")
             if begin < 0 or end < 0:
                 break
-            header = bytes(held[begin:end])
+            header = bytes(held[:end])
             size = header_value(header, b"Content-Length: ")
             if not size.isdigit():
                 del held[: end + 4]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -41,3 +42,11 @@ def remove(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A name for the state of a file or folder of files: its path with the sizes and times of its files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))
+    return hashlib.sha256(repr((fs.makeQualified(p).toString(), files)).encode()).hexdigest()[:16]

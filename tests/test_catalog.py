@@ -32,7 +32,7 @@ def normal(df: pd.DataFrame) -> list[tuple]:
 
 def test_names():
     assert set(SQL) <= set(QUERIES)
-    assert {k for k in QUERIES if k not in SQL} == {"txt13_snippets", "hash1_token_hashes", "snk9_response"}
+    assert {k for k in QUERIES if k not in SQL} == {"txt13_snippets", "hash1_token_hashes"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -152,3 +152,13 @@ def test_postings_are_merged_once(spark, tmp_path, monkeypatch):
     second = ingest.merge_postings(spark, first, staged, f"{tmp_path}/v2", count=F.sum("count"))
     third = ingest.merge_postings(spark, second, staged, f"{tmp_path}/v3", count=F.sum("count"))
     assert [df.first()["count"] for df in (first, second, third)] == [1, 2, 2]
+
+
+def test_damaged_streams(spark):
+    record = lambda i: f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nbody{i}\r\n\r\n".encode()
+    bad = bytearray(gzip.compress(bytes(range(256)) * 40))
+    bad[40:60] = b"\xff" * 20
+    data = gzip.compress(record(1)) + bytes(bad) + b"no gzip" + gzip.compress(b"\0" * (3 << 20)) + gzip.compress(record(2))
+    for n in (7, 100_000):
+        got = [b for _, b in warc.split_records(warc.inflated(data[i : i + n] for i in range(0, len(data), n)))]
+        assert got == [b"body1", b"body2"]
