@@ -20,6 +20,14 @@ Search over the distinct fingerprints, as May and Ozerov do it:
    copies costs n edges and not n * n pairs.  A group that fills a small list is
    taken out of it by a pivot first (see ``compare``), which loses no pair.
 
+A large group of near copies with fingerprints of their own would make some lists
+as large as itself.  So the fingerprints within the radius of a hot pivot (one that
+a HOT share of a bounded sample is near to) are joined to it at once, and in lists
+only meet those of other groups or none, and only where the triangle inequality
+lets them be near: a list of such a group is cut into blocks of at most LIST, each
+with all it has to meet.  The sample chooses pivots and nothing else: any choice
+gives the same groups.
+
 ``plan`` chooses limits and numbers of centres by the exact law of the whole
 search: the places where a pair differs are split over a repeat's strips
 hypergeometrically, all centres of a strip see the same split, and repeats are
@@ -61,6 +69,9 @@ LEAF = 256
 #: First-level lists are planned to be smaller than this.
 LIST = 4 << 20
 
+#: Share of the SAMPLE fingerprints of least hash that must be near a hot pivot; at most PIVOTS.
+HOT, SAMPLE, PIVOTS = 1 / 64, 4096, 63
+
 #: A byte's eight bits as the eight bytes of an integer.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
@@ -311,15 +322,23 @@ def gather(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def list_edges(x: np.ndarray, row: np.ndarray, centre: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, least member) of the near components that the small lists of a list show; row ``row`` of x lies at second-level centre ``centre``."""
+def list_edges(x: np.ndarray, row: np.ndarray, centre: np.ndarray, radius: int, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, least member) of the near components that the small lists of a list show; row ``row`` of x lies at second-level centre ``centre``.
+
+    With ``right``, only pairs of a row of x that is marked there and one that is not.
+    """
     label = np.arange(len(x))
     order = np.argsort(centre, kind="stable")
     row, centre = row[order], centre[order]
     cuts = np.flatnonzero(np.append(True, centre[1:] != centre[:-1])) if len(centre) else np.zeros(0, np.int64)
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)], strict=bool(len(cuts))):
-        if b - a > 1:
+        if b - a > 1 and right is None:
             compare(x, row[a:b], label, radius)
+        elif b - a > 1:
+            side = right[row[a:b]]
+            one, two = row[a:b][~side], row[a:b][side]
+            if len(one) and len(two):
+                join_near(x[one], one, x[two], two, label, radius)
     joined = np.flatnonzero(label != np.arange(len(x)))
     return joined, label[joined]
 
@@ -329,18 +348,109 @@ def permutation(repeat: int) -> np.ndarray:
     return np.random.default_rng(7919 + repeat).permutation(BITS)
 
 
-def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """(rows, pivots) distances."""
+    return np.stack([distances(x, p) for p in pivots], axis=1) if len(pivots) else np.zeros((len(x), 0), np.int64)
+
+
+def choose_pivots(x: np.ndarray, radius: int, share: float = HOT, most: int = PIVOTS) -> np.ndarray:
+    """Fingerprints of the sample x that at least a share of it is near to and no chosen one before."""
+    near = np.concatenate([np.bitwise_count(x[a : a + 64, None] ^ x[None]).sum(axis=2, dtype=np.int64) <= radius for a in range(0, len(x), 64)]) if len(x) else np.zeros((0, 0), bool)
+    free, out = np.ones(len(x), bool), []
+    while free.any() and len(out) < most:
+        count = near[:, free].sum(axis=1)
+        best = int(count.argmax())
+        if count[best] < max(8, share * len(x)):
+            break
+        out.append(best)
+        free &= ~near[best]
+    return x[out]
+
+
+@dataclass(frozen=True)
+class Hot:
+    """Hot pivots, with the number of fingerprints nearest to each within the radius, and the greatest distance of these."""
+
+    pivots: np.ndarray
+    counts: np.ndarray
+    reach: np.ndarray
+    blocks: np.ndarray
+
+    def labels(self, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the nearest pivot within the radius or -1, distances to all) of each row."""
+        d = to_pivots(x, self.pivots)
+        if not len(self.pivots):
+            return np.full(len(x), -1), d
+        best = d.argmin(axis=1)
+        return np.where(d[np.arange(len(x)), best] <= radius, best, -1), d
+
+
+def cell(group: int, block: np.ndarray | int, other: int, other_block: np.ndarray | int) -> np.ndarray | int:
+    """The part of a list where a block of a hot group meets a block of another one, or (other -1) all that is in none; 0 is that by itself."""
+    return (group + 1) << 46 | (other + 1) << 40 | block << 20 | other_block
+
+
+def find_hot(distinct: DataFrame, radius: int, block: int = LIST) -> Hot:
+    spark = distinct.sparkSession
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()  # SAMPLE rows at most
+    pivots = choose_pivots(np.frombuffer(b"".join(bytes(r["fp"]) for r in sample), np.uint64).reshape(-1, BITS // 64), radius)
+    k = len(pivots)
+    none = Hot(pivots, np.zeros(k, np.int64), np.zeros(k, np.int64), np.ones(k, np.int64))
+    if not k:
+        return none
+    shared = spark.sparkContext.broadcast(none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, d = shared.value.labels(unpacked(batch.column(0)), radius)
+            mine = [d[label == h, h] for h in range(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array([len(v) for v in mine]), pa.array([int(v.max(initial=0)) for v in mine])], names=["h", "n", "far"])
+
+    rows = distinct.select("fp").mapInArrow(run, "h long, n long, far long").groupBy("h").agg(F.sum("n").alias("n"), F.max("far").alias("far")).orderBy("h").collect()  # a row for each pivot
+    counts = np.array([r["n"] for r in rows])
+    return Hot(pivots, counts, np.array([r["far"] for r in rows]), np.maximum(1, -(-counts // block)))
+
+
+def cells_of(label: np.ndarray, d: np.ndarray, lot: np.ndarray, hot: Hot, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray | int, bool]]:
+    """(rows, their cells, whether on the right side) of all that rows with these labels and distances go to; lot is a random number of each row."""
+    yield np.flatnonzero(label < 0), 0, False
+    between = to_pivots(hot.pivots, hot.pivots)
+    for h in range(len(hot.pivots)):
+        mine = np.flatnonzero(label == h)
+        block = lot[mine] % hot.blocks[h]
+        within_reach = d[:, h] <= radius + hot.reach[h]
+        for other in range(-1, h):
+            if other >= 0 and between[h, other] > hot.reach[h] + hot.reach[other] + radius:
+                continue
+            theirs = np.flatnonzero((label == other) & within_reach)
+            blocks = int(hot.blocks[other]) if other >= 0 else 1
+            for b in range(blocks):
+                yield mine, cell(h, block, other, b), False
+            for b in range(int(hot.blocks[h])):
+                yield theirs, cell(h, b, other, lot[theirs] % blocks), True
+
+
+def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, hot_block: int = LIST) -> DataFrame:
     """(a, b) edges whose components are the groups of near fingerprints; distinct has a column fp, n rows."""
     chosen = plan(n, radius, recall)
+    found = find_hot(distinct, radius, hot_block)
+    shared = distinct.sparkSession.sparkContext.broadcast(found)
     kind = np.dtype("<u2" if chosen.centres[1] <= 1 << 16 else "<u4")
     width = BITS // 8
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
         packed = [[centres(r, level, chosen.centres[level]) for level in range(2)] for r in range(chosen.repeats)]
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            x = unpacked(batch.column(0))
             for a in range(0, len(x), 2048):
                 block = x[a : a + 2048]
+                label, d = hot.labels(block, radius)
+                lot = (_text.mix64(block[:, 0] ^ block[:, 3]) >> np.uint64(8)).astype(np.int64)
                 for r in range(chosen.repeats):
                     at = permutation(r)
                     row, second = within(on_strip(block, at[STRIPS[0] : sum(STRIPS)]), packed[r][1], chosen.limits[1])
@@ -356,7 +466,17 @@ def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS, recall: float
                     some = count[row] > 0
                     row, first = row[some], first[some]
                     whole = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([pa.array(first + r * chosen.centres[0], pa.int64()), whole.take(pa.array(row))], names=["list", "data"])
+                    for rows, at_cell, right in cells_of(label[row], d[row], lot[row], hot, radius):
+                        if len(rows):
+                            cells = np.broadcast_to(at_cell, len(rows)).astype(np.int64)
+                            yield pa.RecordBatch.from_arrays([pa.array(first[rows] + r * chosen.centres[0], pa.int64()), pa.array(cells), pa.array(np.full(len(rows), right)), whole.take(pa.array(row[rows]))], names=["list", "cell", "right", "data"])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [p.tobytes() for p in shared.value.pivots]
+        for batch in batches:
+            label, _ = shared.value.labels(unpacked(batch.column(0)), radius)
+            at = np.flatnonzero(label >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([ends[h] for h in label[at].tolist()], pa.binary())], names=["a", "b"])
 
     def edges(key, table):
         column = table.column("data").combine_chunks()
@@ -372,13 +492,15 @@ def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS, recall: float
         new = np.empty(len(x), np.int64)
         new[order] = np.arange(len(x))
         x = np.ascontiguousarray(x[order])
-        i, j = list_edges(x, new[row], second, radius)
+        right = table.column("right").to_numpy()[order] if key[1].as_py() else None
+        i, j = list_edges(x, new[row], second, radius, right)
         out = pa.table({n: pa.array([x[k].tobytes() for k in at.tolist()], pa.binary()) for n, at in (("a", i), ("b", j))})
         _text.release()
         return out
 
-    listed = distinct.select("fp").mapInArrow(lists, "list long, data binary")
-    return listed.groupBy("list").applyInArrow(edges, "a binary, b binary").distinct()
+    listed = distinct.select("fp").mapInArrow(lists, "list long, cell long, right boolean, data binary")
+    out = listed.groupBy("list", "cell").applyInArrow(edges, "a binary, b binary").distinct()
+    return out.unionByName(distinct.select("fp").mapInArrow(stars, "a binary, b binary").where("a <> b")) if len(found.pivots) else out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -146,6 +146,48 @@ def test_pivots_lose_no_pair(spread):
     assert label.tolist() == plain.tolist() == components(len(x), near_pairs([v.tobytes() for v in x]))
 
 
+@pytest.mark.parametrize(("spread", "apart"), [(6, 128), (25, 128), (40, 90), (50, 60)])
+@pytest.mark.parametrize("block", [100, 1 << 20])
+def test_hot_groups_in_blocks(spark, monkeypatch, spread, apart, block):
+    """Two groups that hold most of the fingerprints, tight or wide, far apart or next to each other, and others at all distances of them: the components of all pairs."""
+    r = np.random.default_rng(spread)
+    first = r.integers(0, 2, 256, dtype=np.uint8)
+    second = first.copy()
+    second[r.permutation(256)[:apart]] ^= 1
+
+    def around(c, n, least, most):
+        out = np.repeat(c[None], n, axis=0)
+        for row in out:
+            row[r.permutation(256)[: r.integers(least, most + 1)]] ^= 1
+        return out
+
+    bits = np.concatenate([around(first, 500, 0, spread), around(second, 400, 0, spread), around(first, 60, 40, 115), around(second, 60, 40, 115), r.integers(0, 2, (300, 256), dtype=np.uint8)])
+    fps = sorted({v.tobytes() for v in np.packbits(bits, axis=1, bitorder="little")})
+    df = spark.createDataFrame([(f,) for f in fps], "fp binary").repartition(4)
+    hot = s.find_hot(df, s.RADIUS, block)
+    assert len(hot.pivots) and (hot.blocks.max() > 1) == (block == 100)
+    # every pair of a list shares a cell unless its group or the triangle inequality settles it
+    monkeypatch.setattr(s, "plan", lambda *a: s.Plan(1, s.STRIPS, (1, 1)))
+    edges = [(fps.index(bytes(e.a)), fps.index(bytes(e.b))) for e in s.near_edges(df, len(fps), hot_block=block).collect()]
+    assert components(len(fps), edges) == components(len(fps), near_pairs(fps))
+
+
+def test_a_cell_is_bounded():
+    """A third of the rows in one group: no cell of a list holds more of it than a block."""
+    r = np.random.default_rng(1)
+    pivot = r.integers(0, 1 << 63, (1, 4)).astype(np.uint64)
+    label, lot = np.where(np.arange(9000) % 3 == 0, 0, -1), r.integers(0, 1 << 40, 9000)
+    d = np.where(label == 0, 10, r.integers(60, 170, 9000))[:, None]
+    hot = s.Hot(pivot, np.array([3000]), np.array([20]), np.array([-(-3000 // 100)]))
+    size = defaultdict(lambda: [0, 0])
+    for rows, cells, right in s.cells_of(label, d, lot, hot, s.RADIUS):
+        for c in np.broadcast_to(cells, len(rows)).tolist():
+            size[c][right] += 1
+    assert size.pop(0) == [6000, 0]
+    near = int(((label < 0) & (d[:, 0] <= 20 + s.RADIUS)).sum())  # no other row can be near to one of the group
+    assert len(size) == 30 and all(left <= 150 and right == near for left, right in size.values()) and near < 1000
+
+
 def test_within_is_exact():
     r = np.random.default_rng(8)
     fp, packed = r.integers(0, 1 << 63, (50, 4)).astype(np.uint64), s.centres(3, 0, 5000)
