@@ -69,7 +69,7 @@ LEAF = 256
 #: First-level lists are planned to be smaller than this.
 LIST = 4 << 20
 
-#: Share of the SAMPLE fingerprints of least hash that must be near a hot pivot; at most PIVOTS.
+#: Share of about SAMPLE fingerprints, those of least hash, that must be near a hot pivot; at most PIVOTS.
 HOT, SAMPLE, PIVOTS = 1 / 64, 4096, 63
 
 #: A byte's eight bits as the eight bytes of an integer.
@@ -394,9 +394,11 @@ def cell(group: int, block: np.ndarray | int, other: int, other_block: np.ndarra
     return (group + 1) << 46 | (other + 1) << 40 | block << 20 | other_block
 
 
-def find_hot(distinct: DataFrame, radius: int, block: int = LIST) -> Hot:
+def find_hot(distinct: DataFrame, n: int, radius: int, block: int = LIST) -> Hot:
     spark = distinct.sparkSession
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()  # SAMPLE rows at most
+    # Hashes are uniform: about SAMPLE rows of any n are below this one.
+    below = (1 << 64) * min(n, SAMPLE) // max(n, 1) - (1 << 63)
+    sample = distinct.select("fp").where(F.xxhash64("fp") <= F.lit(min(below, (1 << 63) - 1))).orderBy("fp").collect()
     pivots = choose_pivots(np.frombuffer(b"".join(bytes(r["fp"]) for r in sample), np.uint64).reshape(-1, BITS // 64), radius)
     k = len(pivots)
     none = Hot(pivots, np.zeros(k, np.int64), np.zeros(k, np.int64), np.ones(k, np.int64))
@@ -437,7 +439,7 @@ def cells_of(label: np.ndarray, d: np.ndarray, lot: np.ndarray, hot: Hot, radius
 def near_edges(distinct: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, hot_block: int = LIST) -> DataFrame:
     """(a, b) edges whose components are the groups of near fingerprints; distinct has a column fp, n rows."""
     chosen = plan(n, radius, recall)
-    found = find_hot(distinct, radius, hot_block)
+    found = find_hot(distinct, n, radius, hot_block)
     shared = distinct.sparkSession.sparkContext.broadcast(found)
     kind = np.dtype("<u2" if chosen.centres[1] <= 1 << 16 else "<u4")
     width = BITS // 8

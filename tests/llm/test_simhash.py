@@ -164,7 +164,7 @@ def test_hot_groups_in_blocks(spark, monkeypatch, spread, apart, block):
     bits = np.concatenate([around(first, 500, 0, spread), around(second, 400, 0, spread), around(first, 60, 40, 115), around(second, 60, 40, 115), r.integers(0, 2, (300, 256), dtype=np.uint8)])
     fps = sorted({v.tobytes() for v in np.packbits(bits, axis=1, bitorder="little")})
     df = spark.createDataFrame([(f,) for f in fps], "fp binary").repartition(4)
-    hot = s.find_hot(df, s.RADIUS, block)
+    hot = s.find_hot(df, len(fps), s.RADIUS, block)
     assert len(hot.pivots) and (hot.blocks.max() > 1) == (block == 100)
     # every pair of a list shares a cell unless its group or the triangle inequality settles it
     monkeypatch.setattr(s, "plan", lambda *a: s.Plan(1, s.STRIPS, (1, 1)))
