@@ -81,7 +81,8 @@ def test_entry_without_the_corpus_operators(spark, monkeypatch):
     import __spark_entry__
 
     with monkeypatch.context() as m:
-        m.setitem(sys.modules, "quarry.llm", None)
+        for name in ("quarry.llm", "quarry.llm.registry"):
+            m.setitem(sys.modules, name, None)
         bare = importlib.reload(__spark_entry__)
         assert set(bare.queries()) == set(QUERIES) and set(bare.oracle_sql()) == set(SQL)
         assert bare.entry(spark).columns
