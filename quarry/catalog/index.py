@@ -9,10 +9,11 @@ from quarry import tables
 from quarry.catalog import relations as r
 from quarry.catalog import sql as q
 from quarry.functions import text as tx
-from quarry.operators import joins, sketches
+from quarry.operators import bitmaps, joins, sketches
 from quarry.operators import postings as po
 from quarry.operators import ranking as rk
 from quarry.plans import jobs
+from quarry.sources import sinks
 
 WORDS = ["the", "of"]
 _IN = "('the', 'of')"
@@ -88,6 +89,38 @@ def hll_check(spark, sf_dir: str) -> DataFrame:
     return each.select("source", "words", "s").unionByName(union).select("source", "words", near.alias("within_bound"))
 
 
+def bitmap_index(spark, sf_dir: str) -> DataFrame:
+    """(token, value): the whole index of the documents, its dense pieces as bitmaps, written and read."""
+    dense, rest = bitmaps.split(r.scored_counts(spark, sf_dir))
+    path = tables.new_path(spark, "bitmaps")
+    sinks.write_postings(dense, path, order=("token", "bucket"))
+    return bitmaps.values(spark.read.parquet(path)).unionByName(rest)
+
+
+def bitmap_and(spark, sf_dir: str) -> DataFrame:
+    p = r.scored_counts(spark, sf_dir)
+    return bitmaps.values(bitmaps.all_of(bitmaps.build(p.where(F.col("token").isin(WORDS))), WORDS))
+
+
+def truncated(spark, sf_dir: str) -> DataFrame:
+    """(state, n): the records of a written index, and those after it was emptied."""
+    path = tables.new_path(spark, "postings")
+    sinks.write_postings(r.scored_counts(spark, sf_dir), path)
+
+    def size(state: str) -> DataFrame:
+        return tables.cut(spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(state).alias("state"), "n"), "size")[0]
+
+    before = size("before")
+    sinks.truncate(spark, path)
+    return before.unionByName(size("after"))
+
+
+def domain_blocks(spark, sf_dir: str) -> DataFrame:
+    """Postings of orders as a response in blocks of parts, read back."""
+    found = po.fold_counts(r.orders_of_parts(spark, sf_dir), "quantity").select(F.col("token").alias("domain"), "value", F.col("count").alias("score"))
+    return sinks.read_domain_blocks(sinks.domain_blocks(found)).withColumn("score", F.col("score").cast("double"))
+
+
 QUERIES = {
     # folds
     "agg1_fold_counts": _parts(lambda p: po.fold_counts(p, "quantity")),
@@ -139,6 +172,11 @@ QUERIES = {
     "skt1_distinct": hll_check,
     "skt4_bloom": bloom_check,
     "skt5_bloom_stored": bloom_stored,
+    # stored forms
+    "idx2_bitmap_index": bitmap_index,
+    "jn3_bitmap_and": bitmap_and,
+    "idx18_truncate": truncated,
+    "snk10_domain_blocks": domain_blocks,
 }
 
 _C = q.with_(q.COUNTS)
@@ -193,4 +231,8 @@ SQL = {
     "skt1_distinct": f"SELECT source, count(DISTINCT w) AS words, true AS within_bound FROM (SELECT source, unnest({q.words('text')}) AS w FROM documents) GROUP BY GROUPING SETS ((source), ())",
     "skt4_bloom": "SELECT DISTINCT c_name AS name FROM customer",
     "skt5_bloom_stored": "SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier",
+    "idx2_bitmap_index": _C + "SELECT token, value FROM counts",
+    "jn3_bitmap_and": q.with_(q.COUNTS, _AND) + "SELECT value FROM hits",
+    "idx18_truncate": _C + "SELECT 'before' AS state, count(*) AS n FROM counts UNION ALL SELECT 'after', 0",
+    "snk10_domain_blocks": _F + "SELECT token AS domain, count(*) OVER (PARTITION BY token) AS total, value, count::DOUBLE AS score FROM folded QUALIFY row_number() OVER (PARTITION BY token ORDER BY count DESC, value) <= 1000",
 }

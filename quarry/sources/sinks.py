@@ -5,10 +5,11 @@ from __future__ import annotations
 import gzip
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +29,11 @@ def write_postings(df: DataFrame, path: str, files: int | None = None, order: tu
     ranged.sortWithinPartitions(*order).write.option("parquet.bloom.filter.enabled#token", "true").option("compression", "zstd").parquet(path)
 
 
+def truncate(spark: SparkSession, path: str) -> None:
+    """Empty a written table; its columns stay."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
 def write_postings_table(df: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
     """Postings bucketed by token: an AND of tokens reads their buckets only, and joins on token need no shuffle."""
     out = df.write.bucketBy(buckets, "token").sortBy("token", "value").format("parquet")
@@ -74,3 +80,52 @@ def response(results: DataFrame, order: Column | list[Column], limit: int = 1000
     numbered = top.coalesce(1).withColumn("__rank", F.monotonically_increasing_id())
     body = F.struct(F.lit("success").alias("status"), *(c.alias(k) for k, c in info.items()), F.col("results"))
     return numbered.agg(F.transform(ranked, lambda x: x["r"]).alias("results")).select(F.to_json(body).alias("json"))
+
+
+#: A record of a domain's block: value and score.
+RECORD = np.dtype([("value", "<i8"), ("score", "<f4")])
+
+
+def domain_blocks(results: DataFrame, most: int = 1000, domain: str = "domain") -> DataFrame:
+    """(domain, total, block): how many results a domain has, and its best ``most`` of them as bytes.
+
+    A block is the domain, the number of its records, and for each record its value and
+    score; numbers have 8 bytes and scores 4, all little-endian. The domain is a long.
+    """
+    rank = Window.partitionBy(domain).orderBy(F.desc("score"), F.asc("value"))
+    best = results.withColumn("__n", F.row_number().over(rank)).where(F.col("__n") <= most)
+    lists = best.groupBy(F.col(domain).cast("long").alias("domain")).agg(F.array_sort(F.collect_list(F.struct("__n", F.col("value").cast("long").alias("value"), F.col("score").cast("float").alias("score")))).alias("r"))
+    totals = results.groupBy(F.col(domain).cast("long").alias("domain")).agg(F.count(F.lit(1)).alias("total"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = []
+            for d, values, scores in zip(*(c.to_pylist() for c in batch.columns[:1] + batch.columns[2:]), strict=True):
+                records = np.empty(len(values), RECORD)
+                records["value"], records["score"] = values, scores
+                blocks.append(np.array([d, len(values)], "<i8").tobytes() + records.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, pa.binary())], names=["domain", "total", "block"])
+
+    flat = lists.join(totals, "domain").select("domain", "total", F.col("r.value").alias("v"), F.col("r.score").alias("s"))
+    return flat.mapInArrow(pack, "domain long, total long, block binary")
+
+
+def read_domain_blocks(blocks: DataFrame) -> DataFrame:
+    """(domain, total, value, score) of the blocks."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for total, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                d, n = np.frombuffer(block, "<i8", 2)
+                records = np.frombuffer(block, RECORD, n, 16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d)), pa.array(np.full(n, total)), pa.array(records["value"].copy()), pa.array(records["score"].copy())], names=["domain", "total", "value", "score"])
+
+    return blocks.select("total", "block").mapInArrow(unpack, "domain long, total long, value long, score float")
+
+
+def domain_response(blocks: DataFrame) -> DataFrame:
+    """(body) of a request for some domains, a single row: the sum of their totals, then their blocks by domain. Give it the asked domains' blocks only."""
+    asked = blocks.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.array_sort(F.collect_list(F.struct("domain", "block"))).alias("b"))
+    digits = F.lpad(F.hex("total"), 16, "0")
+    total = F.concat(*(F.unhex(F.substring(digits, 15 - 2 * i, 2)) for i in range(8)))
+    return asked.select(F.aggregate("b", total, lambda out, b: F.concat(out, b["block"])).alias("body"))

@@ -64,3 +64,10 @@ def test_unsigned(spark, n):
     ordered = [r.v for r in df.orderBy(h.unsigned_order(F.col("v"))).collect()]
     assert ordered == sorted(values, key=lambda v: v % (1 << 64))
     assert np.uint64(5) == 5
+
+
+def test_uuid(spark):
+    from quarry.functions import scoring
+
+    ids = [r.u for r in spark.range(1000).select(scoring.new_uuid().alias("u")).collect()]
+    assert len(set(ids)) == 1000 and all(len(u) == 36 and u[14] == "4" for u in ids)

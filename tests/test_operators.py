@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry import tables
-from quarry.operators import arrays, graph, joins, ranking, sketches
+from quarry.operators import arrays, bitmaps, graph, joins, ranking, sketches
 from quarry.operators import key_value as kv
 from quarry.operators import postings as po
 
@@ -337,3 +337,24 @@ def test_token_sizes(spark, longest):
     got = {r.token: r.size for r in po.with_token_size(df, longest=longest).collect()}
     assert got == {r.token: r["count"] for r in df.groupBy("token").count().collect()}
     assert po.with_token_size(df, longest=longest).count() == 500
+
+
+# --- bitmaps
+def test_bitmaps_by_brute_force(spark):
+    pick = random.Random(3)
+    ids = [-70_000, -1, 0, 1, 32_768, 32_769, 1 << 40, *(pick.randrange(100_000) for _ in range(3000))]
+    records = [(t, v) for v in ids for t in "abc" if pick.random() < {"a": 0.9, "b": 0.5, "c": 0.01}[t]] + [("a", 7), ("a", 7), ("b", 7), ("a", None)]
+    df = spark.createDataFrame(records, "token string, value long")
+    have = {t: {v for u, v in records if u == t and v is not None} for t in "abc"}
+    index = bitmaps.build(df)
+    assert rows(bitmaps.values(index)) == sorted((t, v) for t in have for v in have[t])
+    assert rows(bitmaps.sizes(index)) == sorted((t, len(v)) for t, v in have.items())
+    assert [v for (v,) in rows(bitmaps.values(bitmaps.all_of(index, ["a", "b", "a"])))] == sorted(have["a"] & have["b"])
+    assert [v for (v,) in rows(bitmaps.values(bitmaps.any_of(index, ["b", "c"])))] == sorted(have["b"] | have["c"])
+    assert rows(bitmaps.all_of(index, ["a", "none"])) == []
+    dense, rest = bitmaps.split(df, 100)
+    assert 0 < dense.count() < index.count()
+    assert sorted(set(rows(bitmaps.values(dense).unionByName(rest)))) == sorted((t, v) for t in have for v in have[t])
+    odd, even = (bitmaps.build(df.where(f"value % 2 {c} 0")) for c in ("<>", "="))
+    assert rows(bitmaps.merge(odd, even)) == rows(index)
+    assert rows(bitmaps.values(bitmaps.build(df.limit(0)))) == []

@@ -1,4 +1,5 @@
 import gzip
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,21 @@ def test_damaged_streams(spark):
     for n in (7, 100_000):
         got = [b for _, b in warc.split_records(warc.inflated(data[i : i + n] for i in range(0, len(data), n)))]
         assert got == [b"body1", b"body2"]
+
+
+def test_domain_response(spark):
+    df = spark.createDataFrame([(2, 10, 1.5), (2, 11, 2.5), (2, 12, 2.5), (-1, 9, 0.25)], "domain long, value long, score double")
+    blocks = sinks.domain_blocks(df, 2)
+    [(body,)] = sinks.domain_response(blocks).collect()
+    want = struct.pack("<QqQqf", 4, -1, 1, 9, 0.25) + struct.pack("<qQqfqf", 2, 2, 11, 2.5, 12, 2.5)
+    assert bytes(body) == want
+    assert sorted(map(tuple, sinks.read_domain_blocks(blocks).collect())) == [(-1, 1, 9, 0.25), (2, 3, 11, 2.5), (2, 3, 12, 2.5)]
+    [(empty,)] = sinks.domain_response(sinks.domain_blocks(df.limit(0))).collect()
+    assert bytes(empty) == bytes(8)
+
+
+def test_truncate(spark, tmp_path):
+    sinks.write_postings(spark.createDataFrame([("a", 1)], "token string, value int"), f"{tmp_path}/p")
+    sinks.truncate(spark, f"{tmp_path}/p")
+    left = spark.read.parquet(f"{tmp_path}/p")
+    assert left.count() == 0 and left.columns == ["token", "value"]
