@@ -91,7 +91,7 @@ def hll_check(spark, sf_dir: str) -> DataFrame:
 
 def bitmap_index(spark, sf_dir: str) -> DataFrame:
     """(token, value): the whole index of the documents, its dense pieces as bitmaps, written and read."""
-    dense, rest = bitmaps.split(r.scored_counts(spark, sf_dir))
+    dense, rest = bitmaps.split(tables.cut(r.scored_counts(spark, sf_dir), "counts")[0])
     path = tables.new_path(spark, "bitmaps")
     sinks.write_postings(dense, path, order=("token", "bucket"))
     return bitmaps.values(spark.read.parquet(path)).unionByName(rest)

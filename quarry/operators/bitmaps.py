@@ -32,7 +32,7 @@ def build(df: DataFrame) -> DataFrame:
 
 
 def split(df: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Bitmaps of the pieces with at least so many records, and (token, value) of all other records."""
+    """Bitmaps of the pieces with at least so many records, and (token, value) of all other records; df, which is read three times, should be a written table."""
     records = _bucketed(df)
     dense = records.groupBy("token", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     rest = records.join(dense, ["token", "bucket"], "left_anti").select("token", "value")
