@@ -7,6 +7,8 @@ shared folder, so a lost executor costs one round, and the plan does not grow.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def in_neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("vertex"), F.col("src").alias("neighbour")).distinct()
 
 
-def harmonic_exact(vertices: DataFrame, edges: DataFrame, depth: int, vertex: str = "host") -> DataFrame:
-    """(vertex, harmonic): breadth-first from all vertices at once, to at most ``depth`` steps.
+def harmonic_exact(vertices: DataFrame, edges: DataFrame, depth: int | None = None, vertex: str = "host") -> DataFrame:
+    """(vertex, harmonic): breadth-first from all vertices at once, to at most ``depth`` steps; without it until nothing new is reached.
 
     The visited pairs are as many as there are pairs in reach, so this is for
     small graphs or small depths; ``hyper_ball`` is for large ones.
@@ -28,7 +30,7 @@ def harmonic_exact(vertices: DataFrame, edges: DataFrame, depth: int, vertex: st
     back, back_path = tables.cut(in_neighbours(edges), "in-neighbours")
     frontier = vertices.select(F.col(vertex).alias("vertex"), F.col(vertex).alias("reached"))
     levels = [tables.cut(frontier.withColumn("level", F.lit(0)), "level")]
-    for level in range(1, depth + 1):
+    for level in itertools.count(1) if depth is None else range(1, depth + 1):
         visited = levels[0][0]
         for df, _ in levels[1:]:
             visited = visited.unionByName(df)

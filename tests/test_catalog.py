@@ -87,3 +87,23 @@ def test_entry_without_the_corpus_operators(spark, monkeypatch):
         assert set(bare.queries()) == set(QUERIES) and set(bare.oracle_sql()) == set(SQL)
         assert bare.entry(spark).columns
     importlib.reload(__spark_entry__)
+
+
+def from_pages(folder, rows) -> str:
+    """A folder with a pages table of (url, html) rows."""
+    pd.DataFrame({"page_id": range(len(rows)), "url": [u for u, _ in rows], "html": [h for _, h in rows]}).to_parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def as_sql(spark, folder, name, *names) -> bool:
+    with duckdb.connect() as c:
+        for t in names:
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        want = c.execute(SQL[name]).df()
+    return normal(QUERIES[name](spark, folder).toPandas()) == normal(want)
+
+
+def test_internal_harmonic_of_popular_pages(spark, tmp_path):
+    """Pages that 3,000 others link to: a sketch's estimate is off there."""
+    anchors = '<a href="/top">top</a><a href="/also">also</a>'
+    assert as_sql(spark, from_pages(tmp_path, [(f"http://a.com/{i}", anchors) for i in range(3000)]), "grf8_internal_harmonic", "pages")
