@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,20 +39,47 @@ def distinct_count(df: DataFrame, column: str, precision: int = PRECISION) -> Da
 
 # --- Bloom filters
 SEEDS = tuple(range(1, 11))
+PIECE = 32_768
+
+
+def bits_for(n: int) -> int:
+    """A size for n keys: 32 bits each at least, as a power of two."""
+    return max(1 << 20, 1 << (32 * n - 1).bit_length()) if n else 1 << 20
+
+
+def _bucket(c: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(0), c), F.lit(-(-bits // PIECE))) + 1
 
 
 def _places(c: Column, bits: int) -> Column:
-    # a place is from 1 on, as Spark's bitmaps count
-    return F.array(*(F.pmod(F.xxhash64(F.lit(s), c), F.lit(bits)) + 1 for s in SEEDS))
+    """A key's bits, all in its bucket."""
+    return F.array(*(F.pmod(F.xxhash64(F.lit(s), c), F.lit(min(bits, PIECE))).cast("int") for s in SEEDS))
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        bucket, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        place = batch.column(1).flatten().to_numpy()
+        bitmaps = np.zeros((len(bucket), PIECE // 8), np.uint8)
+        np.bitwise_or.at(bitmaps, (np.repeat(at, len(SEEDS)), place >> 3), (1 << (place & 7)).astype(np.uint8))
+        for b, bitmap in zip(bucket.tolist(), bitmaps, strict=True):
+            held[b] = held[b] | bitmap if b in held else bitmap.copy()
+    while held:
+        some = [held.popitem() for _ in range(min(len(held), 1024))]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int64()), pa.array([x.tobytes() for _, x in some], pa.binary())], names=["bucket", "bitmap"])
 
 
 def bloom(df: DataFrame, column: str, bits: int = 1 << 33) -> DataFrame:
     """(bucket, bitmap) rows of a Bloom filter of ``bits`` bits in pieces of 32,768; it is never in one place as a whole.
 
+    A key has all its bits in one piece. Keys go to the task of their piece, which
+    holds its pieces only, so no task's memory grows with the keys that it reads.
     For a join use ``joins.existing``, which is exact; this is the filter itself, to be kept and merged.
     """
-    at = df.where(F.col(column).isNotNull()).select(F.explode(_places(F.col(column), bits)).alias("at"))
-    return at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    c = F.col(column)
+    at = df.where(c.isNotNull()).select(_bucket(c, bits).alias("bucket"), _places(c, bits).alias("places"))
+    return at.repartition("bucket").mapInArrow(_set_bits, "bucket long, bitmap binary")
 
 
 def bloom_merge(*filters: DataFrame) -> DataFrame:
@@ -61,14 +91,19 @@ def bloom_merge(*filters: DataFrame) -> DataFrame:
 
 
 def bloom_might_contain(df: DataFrame, column: str, filter_: DataFrame, bits: int = 1 << 33) -> DataFrame:
-    """(column) distinct values of df that the filter may hold: all that it holds, and a few others."""
-    asked = df.select(column).where(F.col(column).isNotNull()).distinct()
-    at = asked.select(column, F.explode(F.array_distinct(_places(F.col(column), bits))).alias("at"))
-    at = at.select(column, F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
-    byte = F.conv(F.hex(F.substr(F.col("bitmap"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = (F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)), F.lit(2)) == 1)
-    hit = at.join(filter_, "bucket", "left").withColumn("set", F.coalesce(is_set, F.lit(False)))
-    return hit.groupBy(column).agg(F.every("set").alias("all")).where("all").select(column)
+    """(column) distinct values of df that the filter may hold: all that it holds, and a few others.
+
+    A value meets its piece in one row. Values are shuffled before they are made distinct, so that no task holds all that it reads.
+    """
+    c = F.col(column)
+    asked = df.select(column).where(c.isNotNull()).repartition(column).distinct()
+    at = asked.select(column, _bucket(c, bits).alias("bucket"))
+
+    def is_set(place: Column) -> Column:
+        byte = F.conv(F.hex(F.substr(F.col("bitmap"), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        return F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1
+
+    return at.join(filter_, "bucket").where(F.forall(_places(c, bits), is_set)).select(column)
 
 
 def bloom_saturation(filter_: DataFrame, bits: int = 1 << 33) -> DataFrame:

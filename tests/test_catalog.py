@@ -107,3 +107,24 @@ def test_internal_harmonic_of_popular_pages(spark, tmp_path):
     """Pages that 3,000 others link to: a sketch's estimate is off there."""
     anchors = '<a href="/top">top</a><a href="/also">also</a>'
     assert as_sql(spark, from_pages(tmp_path, [(f"http://a.com/{i}", anchors) for i in range(3000)]), "grf8_internal_harmonic", "pages")
+
+
+@pytest.mark.parametrize("name", ["skt4_bloom", "skt5_bloom_stored"])
+def test_bloom_of_many_names(spark, tmp_path, name):
+    """So many names that a filter of a fixed size would hold others too."""
+    for t, n in (("customer", 1_200_000), ("supplier", 60_000), ("part", 40_000)):
+        pd.DataFrame({f"{t[0]}_name": [f"{t}#{i}" for i in range(n)]}).to_parquet(f"{tmp_path}/{t}.parquet")
+    got = QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        for t in ("customer", "supplier"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+        want = {r[0] for r in c.execute(SQL[name]).fetchall()}
+    found = [r.name for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_warc_pages_are_whole(spark, tmp_path):
+    html = f"<html><head><title>long page</title></head><body><h1>h</h1><p>{'word&amp;sign ' * 15_000}lastword</p></body></html>"
+    folder = from_pages(tmp_path, [("http://a.com/1", html), ("http://b.com/2", "<title>t</title><body>text</body>")])
+    assert as_sql(spark, folder, "src3_warc_pages", "pages")
+    assert QUERIES["src3_warc_pages"](spark, folder).where("text LIKE '%lastword'").count() == 1
