@@ -1,6 +1,7 @@
 import gzip
 import struct
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,15 @@ def test_response(spark):
     assert sinks.response(df.where("false"), F.desc("score")).first().json == '{"status":"success","results":[]}'
 
 
+def test_response_numbers(spark):
+    """Numbers are as in the SQL's JSON: no exponent from a millionth to 1e21."""
+    values = [12345678.5, 52756970.3679, 1e20, 0.0005, 1.5e-6, -0.00025, -2e7, 0.0, 5.0, 123.25]
+    df = spark.createDataFrame([(i, f'u"{i}', x) for i, x in enumerate(values)] + [(99, None, None)], "i int, u string, s double")
+    with duckdb.connect() as c:
+        want = [c.execute("SELECT json_object('i', ?::INT, 'u', ?, 's', ?::DOUBLE)", [i, f'u"{i}', x]).fetchone()[0] for i, x in enumerate(values)]
+    assert sinks.response(df, F.asc("i"), took=F.lit(2e7)).first().json == '{"status":"success","took":20000000.0,"results":[' + ",".join([*want, '{"i":99}']) + "]}"
+
+
 def test_jobs(spark, tmp_path):
     pages = spark.createDataFrame([(f"h{i % 5}.com", f"http://h{i % 5}.com/{i}") for i in range(40)], "host string, url string")
     jobs.split_by_host(pages, 4, f"{tmp_path}/split")
