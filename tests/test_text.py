@@ -127,3 +127,11 @@ def test_counts_and_frequency(spark):
     assert {r.word: r.n for r in tx.word_counts(df, words, "id").collect()}["is"] == 2
     freq = {r.word: r.frequency for r in tx.word_frequency(df, words, "id").collect()}
     assert freq["hello"] == pytest.approx(1 / 9) and freq["is"] == pytest.approx(2 / 9)
+
+
+def test_trim_takes_no_sign_before_a_line_separator(spark):
+    """Only the end of the text is its end: a sign before a last U+0085 or U+2028 stays. Words need no regex."""
+    df = spark.createDataFrame([("(a.\u0085",), ("b- ",), ("\x0b\"c~\n",), ("d+#_",)], "t string").select(tx.trim(F.col("t")).alias("t"), tx.full_text_words(F.col("t")).alias("w"))
+    assert [r.t for r in df.collect()] == ["a.\u0085", "b- ", "c", "d+#"]
+    plan = df.select("w")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "(?" not in plan
