@@ -128,3 +128,17 @@ def test_warc_pages_are_whole(spark, tmp_path):
     folder = from_pages(tmp_path, [("http://a.com/1", html), ("http://b.com/2", "<title>t</title><body>text</body>")])
     assert as_sql(spark, folder, "src3_warc_pages", "pages")
     assert QUERIES["src3_warc_pages"](spark, folder).where("text LIKE '%lastword'").count() == 1
+
+
+def test_url_index_of_pages_with_one_key(spark, tmp_path):
+    """Pages that differ by scheme, www. or fragment have one key, and the weights of their tokens are added up; others are folded alone."""
+    html = "<html><title>{0} a-b {0}</title><body><h1>{0} h a</h1><p>{0} text a-b b {1}</p></body></html>"
+    sites = ("http://a.com/x", "https://a.com/x", "https://www.a.com/x#top", "http://b.org/y?q=1", "http://www.b.org/y?q=1", "http://c.net/z", "http://d.net/")
+    folder = from_pages(tmp_path, [(u, html.format(f"w{i % 3}", f"only{i}")) for i, u in enumerate(sites * 3 + ("http://c.net/alone", "http://c.net/empty"))])
+    assert as_sql(spark, folder, "rnk1_url_index", "pages")
+
+
+def test_url_index_shuffles_no_pages(spark, sf_dir):
+    """Pages were shuffled by their host, of which a few can have most of the text."""
+    plan = QUERIES["rnk1_url_index"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(host" not in plan and plan.count("Exchange hashpartitioning") == 1
