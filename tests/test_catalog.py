@@ -142,3 +142,23 @@ def test_url_index_shuffles_no_pages(spark, sf_dir):
     """Pages were shuffled by their host, of which a few can have most of the text."""
     plan = QUERIES["rnk1_url_index"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(host" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.fixture()
+def copied_pages(spark, sf_dir, tmp_path):
+    """Pages in four files, of which no index is there yet."""
+    spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+def test_web_index_is_written_where_its_pages_are(spark, copied_pages):
+    """Each file is a sorted run; the list of a frequent word, which was a task's and a file's, is spread over them."""
+    from quarry.catalog.search import Web
+
+    web = Web(spark, copied_pages, build=True)
+    for df in (web.postings, web.links, web.domain_links):
+        for path in df.inputFiles():
+            rows = [(r.token, r.value) for r in spark.read.parquet(path).select("token", "value").collect()]
+            assert rows == sorted(rows, key=lambda t: (t[0].encode(), t[1].encode()))
+    files = [path for path in web.postings.inputFiles() if spark.read.parquet(path).where("token = 'the'").count()]
+    assert len(files) > 1
