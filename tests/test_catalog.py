@@ -162,3 +162,13 @@ def test_web_index_is_written_where_its_pages_are(spark, copied_pages):
             assert rows == sorted(rows, key=lambda t: (t[0].encode(), t[1].encode()))
     files = [path for path in web.postings.inputFiles() if spark.read.parquet(path).where("token = 'the'").count()]
     assert len(files) > 1
+
+
+@pytest.mark.parametrize(("name", "built"), [("rnk4_domain_dedup", {"centrality", "postings"})])
+def test_a_search_builds_what_it_reads(spark, copied_pages, name, built):
+    """It built all tables of the web index, of which it reads some."""
+    from quarry.catalog.search import Web
+
+    assert as_sql(spark, copied_pages, name, "pages")
+    web = Web(spark, copied_pages)
+    assert {n for n in Web.NAMES if web._there(n)} == built

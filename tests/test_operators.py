@@ -358,3 +358,18 @@ def test_bitmaps_by_brute_force(spark):
     odd, even = (bitmaps.build(df.where(f"value % 2 {c} 0")) for c in ("<>", "="))
     assert rows(bitmaps.merge(odd, even)) == rows(index)
     assert rows(bitmaps.values(bitmaps.build(df.limit(0)))) == []
+
+
+def test_deduplicate_cuts_domains_before_it_ranks_them(spark):
+    """A domain of nearly all results: as a plain sort has it, and no window takes the whole domain."""
+    rows = [(i, "hot" if i % 50 else f"d{i}", float((i * 7919) % 997)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "value int, domain string, score double")
+    seen: dict[str, int] = {}
+    marked = []
+    for value, domain, score in sorted(rows, key=lambda r: (-r[2], r[0])):
+        seen[domain] = seen.get(domain, 0) + 1
+        marked.append((seen[domain] > 2, -score, value))
+    want = sorted(sorted(marked)[:700], key=lambda r: r[1:])
+    out = ranking.deduplicate(df, 700, 2)
+    assert [r.value for r in out.collect()] == [v for _, _, v in want]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
