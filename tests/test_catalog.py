@@ -164,7 +164,7 @@ def test_web_index_is_written_where_its_pages_are(spark, copied_pages):
     assert len(files) > 1
 
 
-@pytest.mark.parametrize(("name", "built"), [("rnk4_domain_dedup", {"centrality", "postings"})])
+@pytest.mark.parametrize(("name", "built"), [("rnk4_domain_dedup", {"centrality", "postings"}), ("rnk15_federated", {"urls", "linked", "centrality", "postings", "links"})])
 def test_a_search_builds_what_it_reads(spark, copied_pages, name, built):
     """It built all tables of the web index, of which it reads some."""
     from quarry.catalog.search import Web
