@@ -69,3 +69,9 @@ def test_domain_index(web):
     assert got["page", "one.com"] == 0.1 and got["shop", "two.org"] == 0.2
     assert {r.word for r in di.domain_info(urls, links, "one.com").where("list = 'title'").collect()} == {"red", "cat", "blue", "dog"}
     assert {r.harmonic for r in di.harmonic_of(urls, hosts.where("host = 'one.com'")).collect()} == {0.1, 0.0}
+
+
+def test_link_postings_are_parted_by_their_words(spark, web):
+    """They had the partitions of the links' join, whose sizes are those of links without their words."""
+    plan = ib.link_postings(web[1], web[0], web[2])._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
